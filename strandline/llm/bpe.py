@@ -26,7 +26,8 @@ from strandline.runtime import own, ship
 #: The pre-tokens of byte-level vocabularies, with white space as Unicode's White_Space.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-CACHED_WORDS = 200_000
+#: Bounds of what a worker remembers; beyond them it starts anew.
+CACHED_WORDS, CACHED_PAIRS = 300_000, 300_000
 
 
 def byte_characters() -> list[str]:
@@ -41,6 +42,26 @@ def byte_characters() -> list[str]:
     return out
 
 
+class Words(dict):
+    """Ids of pre-tokens met before, as bytes: two generations, so that frequent ones stay when the older is let go."""
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.old = codec, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = np.array(self.codec.encode_word(word), dtype=np.int32).tobytes()
+            if len(word) > 64:
+                return ids
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Codec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -65,12 +86,15 @@ class Codec:
             self.merge[x, y] = m
             if z not in self.halves:
                 self.halves[z], self.rank[z] = (x, y), m
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.fits: dict[int, bool] = {}
+        self.words = Words(self)
+        self.single: dict[str, int] = {}
         self.automaton = ahocorasick.Automaton()
         for s, i in vocab.items():
             b = raw(s)
-            if len(b) == 1 or (i in self.halves and self._meets(*self.halves[i], below=self.rank[i])):
+            if len(b) == 1:
+                self.single[b.decode("latin-1")] = i
+            elif i in self.halves and self._meets(*self.halves[i], below=self.rank[i]):
                 self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
         self.pre = regex.compile(PATTERN)
@@ -97,51 +121,55 @@ class Codec:
                 right_until, b = rb, self.halves[b][0]
 
     def compatible(self, a: int, b: int) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > 4 * CACHED_WORDS:
-                self.fits.clear()
-            got = self.fits[a, b] = self._meets(a, b)
+        if len(self.fits) > CACHED_PAIRS:
+            self.fits.clear()
+        got = self.fits[a << 24 | b] = self._meets(a, b)
         return got
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        chars = word.encode("utf-8").decode("latin-1")
-        last: list[int] = [-1] * (len(chars) + 1)
-        size = [0] * (len(chars) + 1)
-        compatible = self.compatible
+    def encode_word(self, word: str) -> list[int]:
+        """Tokens of one byte stand in no automaton: of the one candidate that holds, they are it where no longer one is."""
+        chars = word if word.isascii() else word.encode("utf-8").decode("latin-1")
+        last = [-1] * (len(chars) + 1)
+        size = last[:]
+        fits, single, done = self.fits.get, self.single, 0
         for end, (token, n) in self.automaton.iter(chars):
+            while done < end:
+                done += 1
+                if last[done] < 0:
+                    last[done], size[done] = single[chars[done - 1]], 1
             end += 1
             if last[end] < 0:
                 start = end - n
-                if not start or (last[start] >= 0 and compatible(last[start], token)):
-                    last[end], size[end] = token, n
+                if start:
+                    before = last[start]
+                    ok = fits(before << 24 | token)
+                    if ok is None:
+                        ok = self.compatible(before, token)
+                    if not ok:
+                        continue
+                last[end], size[end] = token, n
+        while done < len(chars):
+            done += 1
+            if last[done] < 0:
+                last[done], size[done] = single[chars[done - 1]], 1
         out, at = [], len(chars)
         while at:
             out.append(last[at])
             at -= size[at]
-        return tuple(reversed(out))
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        words = self.words
-        for i, part in enumerate(self.cut.split(text)) if self.cut else [(0, text)]:
-            if i % 2:
-                out.append(self.specials[part])
-                continue
-            for w in self.pre.findall(part):
-                ids = words.get(w)
-                if ids is None:
-                    ids = self.encode_word(w)
-                    if len(w) <= 64:
-                        if len(words) >= CACHED_WORDS:
-                            words.clear()
-                        words[w] = ids
-                out += ids
+        out.reverse()
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        parts = self.cut.split(text) if self.cut else [text]
+        raw = [np.int32(self.specials[p]).tobytes() if i % 2 else b"".join(map(self.words.__getitem__, self.pre.findall(p))) for i, p in enumerate(parts)]
+        return np.frombuffer(b"".join(raw), dtype=np.int32)
+
     def decode(self, ids: list[int]) -> str:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids if i in of]).decode("utf-8", errors="replace")
+        try:
+            raw = b"".join(map(self.bytes_of.__getitem__, ids))
+        except KeyError:
+            raw = b"".join(self.bytes_of[i] for i in ids if i in self.bytes_of)
+        return raw.decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)
@@ -150,11 +178,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _lists(rows: list[list[int] | None]) -> pa.Array:
-    at = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r or ()) for r in rows], out=at[1:])
-    flat = np.fromiter((i for r in rows for i in (r or ())), dtype=np.int32, count=int(at[-1]))
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -185,7 +211,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         c = codec(path)
         for batch in batches:
             for b in _slices(batch, 1, 4 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists([c.encode(t or "") for t in b.column(1).to_pylist()])], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists([c.encode(t.as_py() or "") for t in b.column(1)])], names=[id_col, "ids"])
 
     return d.mapInArrow(run, schema)
 
@@ -203,8 +229,9 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
         c = codec(path)
         for batch in batches:
             for b in _slices(batch, 1, 4 << 20):
-                ids = b.column(1)
-                texts = pa.array([c.decode(x or []) for x in ids.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), ids.cast(pa.list_(pa.int32())), texts], names=[id_col, "ids", "text"])
+                ids = b.column(1).cast(pa.list_(pa.int32()))
+                flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()])
+                texts = pa.array([c.decode(flat[s:e].tolist()) for s, e in zip(ends, ends[1:])], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, texts], names=[id_col, "ids", "text"])
 
     return d.mapInArrow(run, schema)
