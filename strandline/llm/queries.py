@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat, htmltext, mixing, tiff, topk, urlfilter
+from strandline.llm import bpe, chat, htmltext, minhash, mixing, tiff, topk, urlfilter
 from strandline.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=0.8)
+
+
 def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = tiff.text_media(table(spark, sf_dir, "documents"))
     stored = media.select("doc_id", "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
@@ -69,6 +73,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op2_tiff_media": op2_tiff_media,
         "op4_bpe": op4_bpe,
         "op5_url_rules": op5_url_rules,
