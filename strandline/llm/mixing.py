@@ -79,21 +79,43 @@ def thresholds(sized: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = (
     return left
 
 
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    d = own(df, id_col, text_col, source_col).toDF("doc_id", "text", "source")
+    return d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNotNull().alias("has"), word_count(F.col("text")).alias("size"), stable_hash(F.col("doc_id")).alias("h"))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """One row per source: its target, whole rounds, and the largest hash taken once more. Written, as each level of the search reads it."""
+    key = ["source", "has"]
+    target = targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, most)
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = shared_table(target.withColumn("rounds", rounds).withColumn("rest", F.col("target") - (F.col("rounds") * F.col("source_size")).cast("double")))
+    return shared_table(plan.join(thresholds(sized, plan), key, "left"))
+
+
+def _copies() -> Column:
+    return F.col("rounds") + F.when(F.col("h") <= F.coalesce("upto_hash", F.lit(-1)), 1).otherwise(0)
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row.
+    """doc_id, size, source, source_size, target, taken, copies for every row.
 
     Size: the words of the text (null: 0). Targets: see targets(). taken: every document as often as whole rounds of its
     source fit the target, and once more below the source's hash threshold, times its size. Rows of equal source
     and id are taken alike, and reruns agree. A null source is a source of its own, ordered last. An empty table
     gives an empty result; a source without words has target 0.
     """
-    d = own(df, id_col, text_col, source_col).toDF("doc_id", "text", "source")
-    sized = shared_table(d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNotNull().alias("has"), word_count(F.col("text")).alias("size"), stable_hash(F.col("doc_id")).alias("h")))
-    key = ["source", "has"]
-    # a few numbers per source; written, as each level of the search reads them again
-    plan = shared_table(targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size"))).withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - (F.col("rounds") * F.col("source_size")).cast("double")))
-    cut = shared_table(thresholds(sized, plan))
+    sized = shared_table(_sized(df, id_col, text_col, source_col))
     # one row per source on the right; the planner broadcasts it if its measured size allows, else both sides are shuffled
-    out = sized.join(plan.join(cut, key, "left"), key)
-    rounds = F.col("rounds") + F.when(F.col("h") <= F.coalesce("upto_hash", F.lit(-1)), 1).otherwise(0)
-    return out.select("doc_id", "size", F.when(F.col("has"), F.col("source")).alias("source"), "source_size", "target", (F.col("size") * rounds).alias("taken"), rounds.alias("copies"))
+    out = sized.join(_plan(sized, weights, most), ["source", "has"])
+    return out.select("doc_id", "size", F.when(F.col("has"), F.col("source")).alias("source"), "source_size", "target", (F.col("size") * _copies()).alias("taken"), _copies().alias("copies"))
+
+
+def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of df, all columns, each as often as the mix takes it; those it doesn't take are gone."""
+    plan = _plan(shared_table(_sized(df, id_col, text_col, source_col)), weights, most).select(F.col("source").alias("s"), F.col("has").alias("k"), "rounds", "upto_hash")
+    names = df.columns
+    at = {n: f"c{names.index(n)}" for n in (id_col, source_col)}
+    d = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("h", stable_hash(F.col(at[id_col])))
+    d = d.join(plan, (F.coalesce(at[source_col], F.lit("")) == F.col("s")) & (F.col(at[source_col]).isNotNull() == F.col("k"))).withColumn("n", _copies()).where("n > 0")
+    return d.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat, htmltext, minhash, mixing, tiff, topk, urlfilter
+from strandline.llm import bpe, chat, htmltext, linededup, minhash, mixing, tiff, topk, toxicity, urlfilter
 from strandline.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,12 @@ def op2_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "n_bytes", F.length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=0.3).withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -67,6 +73,11 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.drop_lines(table(spark, sf_dir, "documents"), min_docs=10, marks=("n_lines", "n_dropped"))
+    return cut.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
 
@@ -75,11 +86,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
         "op2_tiff_media": op2_tiff_media,
+        "op3_toxicity": op3_toxicity,
         "op4_bpe": op4_bpe,
         "op5_url_rules": op5_url_rules,
         "op6_quote_links": op6_quote_links,
         "op7_main_text": op7_main_text,
         "op8_mix": op8_mix,
+        "op9_line_templates": op9_line_templates,
         "op10_top_k": op10_top_k,
     }
 
