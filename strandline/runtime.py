@@ -18,6 +18,9 @@ _OWN_DIRS: dict[str, str] = {}
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so Python stages can import it there."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # the default; long texts make such batches too large
+        spark.conf.set(batch, "2000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
