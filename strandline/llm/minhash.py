@@ -9,7 +9,7 @@ others are decided on the full shingle sets.
 Texts with equal shingle sets form one class first. Within a bucket of a band every class is compared to the
 bucket's least one (and in a second round to another one), which joins large groups without
 listing their pairs. Only buckets that still hold several components are then compared pair by pair, in tiles of bounded
-size, and only pairs across components whose estimate passes are emitted and verified. No bucket is cut or sampled.
+size, which return no more links than join their components. No bucket is cut or sampled.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from strandline.runtime import own, shared_table, ship
 REGISTERS = 128
 ROWS = 4  # registers in a band; 32 bands of 4 miss a pair of similarity 0.8 with probability 4.7e-8
 MANTISSA = 10
-TILE = 512
+TILE = 256
+BANDS = REGISTERS // ROWS
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -134,42 +135,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket whose estimate passes, tile by tile.
+def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of a bucket, decided on full sets, tile by tile.
 
-    members: (key, rep, component) of buckets that hold several components. A bucket of m rows is cut into tiles of about TILE rows; each
-    pair of tiles is one unit of work, so memory is bounded and units spread over tasks however large the bucket is.
+    members: (key, band, rep, component) of buckets that hold several components. A bucket of m rows is cut into tiles of about TILE rows; each
+    pair of tiles is one unit of work, so memory is bounded and units spread over tasks however large the bucket is. Every pair of different components
+    is looked at in the first band in which its registers agree, and compared in full if its estimate passes and the unit hasn't
+    joined the two components yet. So a unit returns fewer links than it has rows.
     """
     tiles = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     mine = F.pmod(F.xxhash64("rep", "key"), F.col("tiles")).cast("int")
     rows = members.join(tiles, "key").withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rep", "component").join(classes.select("rep", "n", "sig"), "rep")
-    rows = rows.select("key", "i", "j", "t", "rep", "component", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", "band", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rep", "component").join(classes.select("rep", "n", "sig"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "z"), "rep")
+    rows = rows.select("key", "band", "i", "j", "t", "rep", "component", "n", "sig", "z").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    least, percent = passes(threshold), round(threshold * 100)
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame | None:
         if unit["component"].nunique() < 2:
             return None
         sig = np.frombuffer(b"".join(unit["sig"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        rep, comp, n, t = (unit[c].to_numpy() for c in ("rep", "component", "n", "t"))
+        rep, comp, n, t, band = (unit[c].to_numpy() for c in ("rep", "component", "n", "t", "band"))
+        z = unit["z"].tolist()
+        d = zstandard.ZstdDecompressor()
+        sets: dict[int, frozenset[int]] = {}
+        joined: dict[int, int] = {}
+
+        def set_of(i: int) -> frozenset[int]:
+            if i not in sets:
+                sets[i] = frozenset(shingle_set(d.decompress(z[i]).decode(), width).tolist())
+            return sets[i]
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         own_tile = unit["i"].iat[0] == unit["j"].iat[0]
         left = np.arange(len(unit)) if own_tile else np.flatnonzero(t == unit["i"].iat[0])
         right = left if own_tile else np.flatnonzero(t == unit["j"].iat[0])
         out = []
         for p in left:
-            equal = (sig[right] == sig[p]).mean(axis=1)
-            ok = (estimate(equal, n[right], n[p]) >= least) & (comp[right] != comp[p])
-            ok &= (rep[right] > rep[p]) if own_tile else True
-            if ok.any():
-                q = right[ok]
-                out.append(pd.DataFrame({"a": np.minimum(rep[p], rep[q]), "b": np.maximum(rep[p], rep[q])}))
-        return pd.concat(out) if out else None
+            q = right[(comp[right] != comp[p]) & ((rep[right] > rep[p]) if own_tile else True)]
+            equal = sig[q] == sig[p]
+            first = equal.reshape(len(q), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            for i in q[(first == band[p]) & (estimate(equal.mean(axis=1), n[q], n[p]) >= least)]:
+                x, y = root(comp[p]), root(comp[i])
+                if x != y and min(n[p], n[i]) * 100 >= percent * max(n[p], n[i]):
+                    a, b = set_of(p), set_of(i)
+                    both = len(a & b)
+                    if both and 100 * both >= percent * (len(a) + len(b) - both):
+                        joined[x] = y
+                        out.append((min(rep[p], rep[i]), max(rep[p], rep[i])))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for f in frames:
             f = f if kept is None else pd.concat([kept, f], ignore_index=True)
-            at = np.flatnonzero((f[["key", "i", "j"]].to_numpy()[1:] != f[["key", "i", "j"]].to_numpy()[:-1]).any(axis=1)) + 1
-            cuts = [0, *at.tolist()]
+            of = f[["key", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1).tolist()]
             for s, e in zip(cuts, cuts[1:]):
                 if (x := compare(f.iloc[s:e])) is not None:
                     yield x
@@ -192,10 +216,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketched = shared_table(_sketches(docs, width))
     known = sketched.where("doc_id is not null and n > 0")
     classes = shared_table(known.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
-    banded = classes.select("rep", band.alias("key"))
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
+    banded = classes.select("rep", band.alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = shared_table(banded.join(buckets, "key").select("key", "rep", "low", "high"))
+    members = shared_table(banded.join(buckets, "key").select("key", "band", "rep", "low", "high"))
     texts = shared_table(_packed(docs).join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     sigs = shared_table(classes.join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("set", "n", "sig")).alias("x")).select("rep", "x.n", "x.sig"))
     # an id with several texts joins their classes
@@ -209,10 +233,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max_by("component", "rep").alias("ch")).where("c0 < c1")
         open_rows = shared_table(labelled.join(mixed, "key"))
         if last:
-            pairs = _across(open_rows.select("key", "rep", "component"), sigs, least)
+            new = _across(open_rows.select("key", "band", "rep", "component"), sigs, texts, width, threshold)
         else:
-            pairs = _likely(open_rows.where("rep < high and component <> ch").select(F.col("rep").alias("a"), F.col("high").alias("b")).distinct(), sigs, least)
-        links = shared_table(links.union(_verified(pairs, texts, width, threshold)))
+            pairs = open_rows.where("rep < high and component <> ch").select(F.col("rep").alias("a"), F.col("high").alias("b")).distinct()
+            new = _verified(_likely(pairs, sigs, least), texts, width, threshold)
+        links = shared_table(links.union(new))
         found = shared_table(components(links))
     labelled = sketched.join(classes.select("set", "rep"), "set", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

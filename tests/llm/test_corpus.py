@@ -82,19 +82,31 @@ def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_tiles_find_every_pair_across_components(spark):
+def test_tiles_join_what_brute_force_joins(spark):
     rng = random.Random(3)
-    sets = [shingles.shingle_set(edited(rng, " ".join(WORDS[:100]), 8), 1) for _ in range(1200)]
-    rows = [(1, i, i % 7) for i in range(1200)]
+    texts = [edited(rng, " ".join(WORDS[:100]), rng.randrange(3, 12)) for _ in range(700)]
+    sets = [shingles.shingle_set(t, 2) for t in texts]
+    rows = [(1, 0, i, i) for i in range(700)]
     classes = spark.createDataFrame([(i, len(s), bytearray(minhash.sketch(s).tobytes())) for i, s in enumerate(sets)], "rep long, n long, sig binary")
-    got = {(r["a"], r["b"]) for r in minhash._across(spark.createDataFrame(rows, "key long, rep long, component long"), classes, 0.85).collect()}
+    packed = minhash._packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {(r["a"], r["b"]) for r in minhash._across(spark.createDataFrame(rows, "key long, band int, rep long, component long"), classes, packed, 2, 0.8).collect()}
     sig = np.array([minhash.sketch(s) for s in sets])
-    n = np.array([len(s) for s in sets])
-    want = set()
-    for i in range(1200):
-        ok = minhash.estimate((sig == sig[i]).mean(axis=1), n, n[i]) >= 0.85
-        want |= {(i, j) for j in np.flatnonzero(ok) if j > i and i % 7 != j % 7}
-    assert got == want and want
+    of = [set(s.tolist()) for s in sets]
+
+    def groups(links):
+        parent = list(range(700))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(700)]
+
+    want = {(i, j) for i, j in itertools.combinations(range(700), 2) if (sig[i][:4] == sig[j][:4]).all() and 100 * len(of[i] & of[j]) >= 80 * len(of[i] | of[j])}
+    assert groups(got) == groups(want) and got <= want and 0 < len(got) < len(want)
 
 
 def test_estimate_is_unbiased_for_compressed_registers():
