@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from strandline.functions import names, pixels
 from strandline.functions.natural import natural_key
 from strandline.operators import grouping, lookup, masks, matching, morphology, planner, rows, textblocks
+from strandline.plans import library
 from strandline.runtime import table
 from strandline.sources import archives
+from strandline.streaming.sessions import sessions
 
 LIMIT = 10_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -416,3 +418,40 @@ def q_page_limit(spark: SparkSession, d: str) -> DataFrame:
 def q_mask_overlap(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "part").select("p_partkey", (F.lit(10) + F.col("p_size")).alias("a"), (F.lit(5) + F.col("p_size") % 20).alias("b")).withColumn("i", F.floor(F.least("a", "b") / 2))
     return x.select("p_partkey", pixels.overlap_score(F.col("i"), F.col("a"), F.col("b")).alias("overlap"))
+
+
+@query("SELECT doc_id, lang, CASE WHEN n = 3 THEN 4 WHEN n = 4 AND c >= 4 THEN 3 ELSE n END AS n FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY lang) AS c FROM documents)")
+def q_reorder(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("lang").orderBy("doc_id")
+    x = docs(spark, d).select("doc_id", "lang", F.row_number().over(w).cast("long").alias("n"))
+    return library.move(x, ["lang"], "n", F.lit(3), 1)
+
+
+@query("SELECT p_partkey::VARCHAR AS series, CASE WHEN p_partkey = 6 THEN 'none' WHEN p_partkey = 7 THEN 'CBZ' WHEN p_partkey % 3 = 0 THEN 'CBZ' ELSE 'none' END AS pack FROM part WHERE p_partkey <> 5")
+def q_update_in_place(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("series"), F.when(F.col("p_partkey") % 3 == 0, F.lit("CBZ")).alias("pack"))
+    x = library.remove(library.set_pack(library.set_pack(x, "6", "CBZ"), "7", "CBZ"), "5")
+    return x.select("series", F.coalesce("pack", F.lit("none")).alias("pack"))
+
+
+@query(f"WITH {NAMED} SELECT p_partkey, e IN ('zip', 'cbz', 'rar', 'cbr', '7z', 'cb7') AS archive FROM p")
+def q_route(spark: SparkSession, d: str) -> DataFrame:
+    a, b = library.route(_named_parts(spark, d), "file")
+    return a.select("p_partkey", F.lit(True).alias("archive")).unionByName(b.select("p_partkey", F.lit(False).alias("archive")))
+
+
+@query(f"WITH RECURSIVE {BUNDLES} SELECT lang AS series, bundle, doc_id AS segment, (sum(n_chars) OVER (PARTITION BY lang, bundle ORDER BY doc_id) * 240 // 720)::BIGINT AS y, CASE WHEN tall THEN 'red' ELSE 'green' END AS colour FROM f")
+def q_cut_marks(spark: SparkSession, d: str) -> DataFrame:
+    x = q_group_height(spark, d).select(F.col("lang").alias("series"), "bundle", F.col("doc_id").alias("segment"), F.col("n_chars").alias("rendered"), F.col("tall").alias("forced"))
+    return library.cut_marks(x, 240, 720)
+
+
+@query("SELECT count(*) AS files, sum(n_chars)::BIGINT AS bytes, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS files_after, (coalesce(sum(n_chars) FILTER (doc_id IN (SELECT doc_id FROM labels)), 0))::BIGINT AS bytes_after FROM documents")
+def q_cache_report(spark: SparkSession, d: str) -> DataFrame:
+    return library.swept(docs(spark, d), table(spark, d, "labels"), "doc_id", "n_chars")[1]
+
+
+@query("SELECT user_id, min(ts) AS first_ts, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def q_event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    return sessions(e, ["user_id"], "t", "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("first_ts"), "events")

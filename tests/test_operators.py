@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions import names, pixels
 from strandline.functions.natural import natural_key
 from strandline.operators import grouping, lookup, masks, matching, morphology, planner, rows, textblocks
-from strandline.plans import strips
+from strandline.plans import library, strips
 from strandline.sources import archives, images
 from strandline.sources.settings import Settings
 from strandline.streaming.sessions import sessions
@@ -277,3 +277,26 @@ def test_series_of_pages_become_strips(spark):
 def test_sessions(spark):
     e = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:04:00"), ("u", "2024-01-01 01:00:00"), ("v", "2024-01-01 00:00:00")], "k string, t string").withColumn("t", F.to_timestamp("t"))
     assert sorted((r["k"], r["events"]) for r in sessions(e, ["k"], "t", "5 minutes").collect()) == [("u", 1), ("u", 2), ("v", 1)]
+
+
+def test_library(spark):
+    lib = spark.createDataFrame([("a", "a.zip", None, ["u1", "u2", "u3"], ["one", None]), ("b", None, "CBZ", ["u1"], [])], "series string, origin string, pack string, uris array<string>, titles array<string>")
+    pages = library.pages_of(lib)
+    assert [tuple(r) for r in pages.orderBy("series", "page").collect()] == [("a", 0, "u1", "one"), ("a", 1, "u2", "Halaman 2"), ("a", 2, "u3", "Halaman 3"), ("b", 0, "u1", "Halaman 1")]
+    packs = lambda d: {r["series"]: r["pack"] for r in d.collect()}
+    assert packs(library.set_pack(lib, "a", "CBZ")) == {"a": "CBZ", "b": "CBZ"} and packs(library.set_pack(lib, "b", "CBZ")) == {"a": None, "b": None}
+    assert packs(library.remove(lib, "a")) == {"b": "CBZ"}
+    order = lambda d: [r["uri"] for r in d.where("series = 'a'").orderBy("page").collect()]
+    assert order(library.move(pages, ["series"], "page", F.lit(1), -1)) == ["u2", "u1", "u3"] and order(library.move(pages, ["series"], "page", F.lit(2), 1)) == ["u1", "u2", "u3"]
+    fresh = library.new_uris(spark.createDataFrame([("x", 1), ("u1", 2), ("x", 3)], "uri string, n int"), pages, "uri", "n")
+    assert [tuple(r) for r in fresh.collect()] == [("x", 1)]
+    packed = archives.pack(spark.createDataFrame([("k", 1, "p10.png", b"a"), ("k", 2, "p2.png", b"b")], "g string, i int, name string, content binary"), ["g"], ["i"], "name", "content").select(F.lit("in/k.cbz").alias("path"), F.col("archive").alias("content"))
+    got, failed = library.import_archives(packed.unionByName(spark.createDataFrame([("x.7z", b"z"), ("y.zip", b"z")], "path string, content binary")))
+    assert [(r["series"], r["page"], r["title"]) for r in got.orderBy("page").collect()] == [("k", 0, "p2.png"), ("k", 1, "p10.png")]
+    assert library.failures(failed, "archive", "error")() == "x.7z, y.zip" and library.failures(failed, "archive", "error", 1)() == "x.7z (+1)"
+    strip = spark.createDataFrame([("a", 1, 1, 100, True, False, False), ("a", 1, 2, 50, False, False, False), ("a", 2, 3, 70, False, False, False)], "series string, bundle int, segment int, rendered long, tall boolean, seam_cut boolean, forced boolean")
+    assert [tuple(r) for r in library.outcomes(lib, Settings(), strip).orderBy("series").collect()] == [("a", "a.zip", 2, 1, None), ("b", "b.cbz", 0, 0, "no readable page")]
+    assert [(r["segment"], r["y"]) for r in library.cut_marks(strip, 1, 2).orderBy("segment").collect()] == [(1, 50), (2, 75), (3, 35)]
+    files = spark.createDataFrame([("f1", 10), ("f2", 5)], "path string, length long")
+    gone, report = library.swept(files, files.where("path = 'f1'"))
+    assert [r["path"] for r in gone.collect()] == ["f2"] and tuple(report.first()) == (2, 15, 1, 10)
