@@ -138,14 +138,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
 def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links (a, b) that join the components of a bucket, decided on full sets, tile by tile.
 
-    members: (key, band, rep, component) of buckets that hold several components. A bucket of m rows is cut into tiles of about TILE rows; each
-    pair of tiles is one unit of work, so memory is bounded and units spread over tasks however large the bucket is. Every pair of different components
+    members: (key, band, rep, component) of buckets that hold several components. The rows of a bucket's largest component and its others are cut
+    into tiles of about TILE rows each. A pair of tiles is one unit of work, but for pairs inside the largest component, so memory is bounded and
+    units spread over tasks however large the bucket is. Every pair of different components
     is looked at in the first band in which its registers agree, and compared in full if its estimate passes and the unit hasn't
     joined the two components yet. So a unit returns fewer links than it has rows.
     """
-    tiles = members.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    mine = F.pmod(F.xxhash64("rep", "key"), F.col("tiles")).cast("int")
-    rows = members.join(tiles, "key").withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("m"))
+    tiles = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("most"), F.sum("m").alias("m")).select("key", F.col("most.component").alias("major"), F.ceil((F.col("m") - F.col("most.m")) / TILE).cast("int").alias("few"), F.ceil(F.col("most.m") / TILE).cast("int").alias("many"))
+    rows = members.join(tiles, "key").withColumn("in", F.col("component") == F.col("major"))
+    mine = F.when(F.col("in"), F.col("few") + F.pmod(F.xxhash64("rep", "key"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep", "key"), F.col("few"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("in"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    rows = rows.withColumn("t", mine).withColumn("o", F.explode(others))
     rows = rows.select("key", "band", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rep", "component").join(classes.select("rep", "n", "sig"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "z"), "rep")
     rows = rows.select("key", "band", "i", "j", "t", "rep", "component", "n", "sig", "z").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     least, percent = passes(threshold), round(threshold * 100)
