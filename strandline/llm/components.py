@@ -13,7 +13,7 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return r["n"], r["s"] or 0
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes but the smallest of each component, from edges (a, b); component is the smallest node reachable.
 
     Every round writes its edges to the shared folder, and only their count and a checksum reach the driver. The number of
@@ -22,9 +22,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = shared_table(e)
     before = _mark(e)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         # large star: neighbours above a node move to the least of its neighbours and itself
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
