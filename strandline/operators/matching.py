@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.runtime import ship
+
 
 def ncc(a: Column, b: Column) -> Column:
     """Zero-mean correlation of two arrays of numbers, 0 if either is flat, between -1 and 1. One pass over sums, exact for whole numbers."""
@@ -23,21 +27,46 @@ def ncc(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, zero, add, end)
 
 
-def best_template(regions: DataFrame, templates: DataFrame, vec: str, template_id: str, template_vec: str, score=ncc, most: int = 1000) -> DataFrame:
-    """regions with best_template and best_score: the highest score above 0, of equal ones the least id; null and 0.0 if none is.
+def best_template(regions: DataFrame, templates: DataFrame, vec: str, template_id: str, template_vec: str, digits: int | None = None, most: int = 1000) -> DataFrame:
+    """regions with best_template and best_score: the highest correlation above 0, of equal ones the least id; null and 0.0 if none is.
 
-    The templates are held as one array beside each row, so their number must be small: most is checked when the plan is made.
+    The templates travel with the tasks as one matrix, so their number must be small: most is checked first. A batch of regions is
+    one matrix product. Vectors of another length than a template's score 0 with it. digits: scores are rounded before they compete.
     """
-    rows = templates.select(F.col(template_id).alias("i"), F.col(template_vec).alias("v")).limit(most + 1)
-    n = rows.count()
-    if n > most:
+    ship(regions.sparkSession)
+    rows = templates.select(F.col(template_id).alias("i"), F.col(template_vec).alias("v")).limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError(f"more than {most} templates")
-    held = rows.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_t"))
-    d = regions.join(F.broadcast(held))  # one row
-    scored = F.transform("_t", lambda t: F.struct(score(F.col(vec), t["v"]).alias("s"), t["i"].alias("i")))
+    by_size: dict[int, list] = {}
+    for r in sorted((r for r in rows if r["v"]), key=lambda r: r["i"]):
+        by_size.setdefault(len(r["v"]), []).append(r)
+    held = {n: ([r["i"] for r in rs], _unit(np.array([r["v"] for r in rs], dtype=np.float64))) for n, rs in by_size.items()}
     kind = templates.schema[template_id].dataType.simpleString()
-    best = F.aggregate(scored, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast(kind).alias("i")), lambda m, x: F.when(x["s"] > m["s"], x).otherwise(m))
-    return d.withColumn("_b", best).withColumn("best_template", F.col("_b.i")).withColumn("best_score", F.col("_b.s")).drop("_t", "_b")
+
+    @F.pandas_udf(f"i {kind}, s double")
+    def best(vectors: pd.Series) -> pd.DataFrame:
+        ids, scores = [None] * len(vectors), np.zeros(len(vectors))
+        sizes = np.array([0 if v is None else len(v) for v in vectors])
+        for n, (names, unit) in held.items():
+            at = np.flatnonzero(sizes == n)
+            if len(at):
+                s = np.clip(_unit(np.stack(vectors.iloc[at]).astype(np.float64)) @ unit.T, -1, 1)
+                s = s if digits is None else np.round(s, digits)
+                top = s.argmax(axis=1)
+                for row, k in zip(range(len(at)), top):
+                    if s[row, k] > 0:
+                        ids[at[row]], scores[at[row]] = names[k], s[row, k]
+        return pd.DataFrame({"i": pd.Series(ids, dtype=object), "s": scores})
+
+    d = regions.withColumn("_b", best(vec))
+    return d.withColumn("best_template", F.col("_b.i")).withColumn("best_score", F.col("_b.s")).drop("_b")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows with mean 0 and length 1; flat rows are 0."""
+    x = x - x.mean(axis=1, keepdims=True)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-9)
 
 
 def gate(df: DataFrame, keys: list[str], order: str, matches, vec: str, least: int = 3, out: str = "grouped") -> DataFrame:

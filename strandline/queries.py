@@ -238,7 +238,7 @@ best AS (SELECT vec_id, CASE WHEN max(s) > 0 THEN max(s) ELSE 0.0 END AS score,
 @query(f"WITH {NCC} SELECT vec_id, template, score::DOUBLE AS score FROM best")
 def q_ncc_best(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
-    best = matching.best_template(v, _first_per_label(v), "lum", "ref_id", "ref", lambda a, b: F.round(matching.ncc(a, b), 6))
+    best = matching.best_template(v, _first_per_label(v), "lum", "ref_id", "ref", digits=6)
     return best.select("vec_id", F.col("best_template").alias("template"), F.col("best_score").alias("score"))
 
 
