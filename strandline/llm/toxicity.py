@@ -10,7 +10,7 @@ the labelled rows turns them into a score that is compared with a threshold.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -88,41 +88,43 @@ def fit(texts: list[str], labels: list[int], least: int = 4, share: float = 0.00
     prior = float(np.mean(labels)) if labels else 0.0
     if len(set(labels)) < 2:
         return Model(b"", b"", prior)
-    raw = [t.encode() for t in texts]
-    split = [b.lower().split() for b in raw]
-    rows: tuple[Counter, Counter] = (Counter(), Counter())
-    number = [0, 0]
-    contexts: dict[bytes, set[bytes]] = defaultdict(set)
-    seen: set[bytes] = set()
-    for b, words, y in zip(raw, split, labels):
-        if b in seen:
-            continue
-        seen.add(b)
-        number[y] += 1
-        rows[y].update({s for w in set(words) for s in _stems(w)})
-        if y:
-            for w, after in zip(words, words[1:] + [b""]):
-                for s in _stems(w):
-                    contexts[s].add(after)
+    # Texts are split again in each pass: their words together would take many times their room.
+    fresh = list({t: i for i, t in reversed(list(enumerate(texts)))}.values())
+    words = lambda i: texts[i].encode().lower().split()
+    bad, good = [i for i in fresh if labels[i]], [i for i in fresh if not labels[i]]
+    held: Counter = Counter()
+    for i in bad:
+        held.update({s for w in set(words(i)) for s in _stems(w)})
+    often = max(least, round(share * len(bad)))
+    held = Counter({s: n for s, n in held.items() if n >= often})
+    elsewhere: Counter = Counter()
+    for i in good:
+        elsewhere.update({s for w in set(words(i)) for s in _stems(w) if s in held})
+    ratio = odds * min(1.0, len(good) / 1000)
+    apart = lambda s, n: n >= often and n / len(bad) >= ratio * (elsewhere[s] + 0.5) / max(1, len(good))
+    contexts: dict[bytes, set[bytes]] = {s: set() for s, n in held.items() if apart(s, n)}
     # copies of one text repeat its words, but with the same words after them
-    often = max(least, round(share * number[1]))
-    ratio = odds * min(1.0, number[0] / 1000)
-    marked = {s for s, r in rows[1].items() if (c := min(r, len(contexts[s]))) >= often and c / number[1] >= ratio * (rows[0][s] + 0.5) / number[0]}
+    for i in bad:
+        w = words(i)
+        for word, after in zip(w, w[1:] + [b""]):
+            for s in _stems(word):
+                if s in contexts:
+                    contexts[s].add(after)
+    marked = {s for s, after in contexts.items() if apart(s, min(held[s], len(after)))}
 
     def span(word: bytes) -> bytes:
         w = b" " + word + b" "
         return next((w[:n] for n in reversed(STEMS) if n <= len(w) and w[:n].lower() in marked), b"")
 
-    toxic = [b"".join(span(w) for w in b.split()) for b, y in zip(raw, labels) if y]
+    toxic = [b"".join(span(w) for w in t.encode().split()) for t, y in zip(texts, labels) if y]
     toxic = [s for s in toxic if len(s) > 8]
     if not toxic:
         return Model(b"", b"", prior)
-    ordinary = [w for b in [b for b, y in zip(raw, labels) if not y][:1500] for w in windows(b)]
+    ordinary = [w for t in [t for t, y in zip(texts, labels) if not y][:1500] for w in windows(t.encode())]
     model = Model(_trained(ordinary, ORDINARY_BYTES), _trained(toxic * max(3, -(-200 // len(toxic))), TOXIC_BYTES, k=32, d=6), prior)
     pair = model.compressors()
-    at = [i for i, y in enumerate(labels)][:4000]
-    x = np.array([model.features(texts[i], pair) for i in at])
-    y = np.array([labels[i] for i in at], dtype=np.float64)
+    x = np.array([model.features(t, pair) for t in texts[:4000]])
+    y = np.array(labels[:4000], dtype=np.float64)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(a.shape[1])
