@@ -151,15 +151,29 @@ def _arrays(rows: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bytes(busy), dtype=np.bool_), np.array(ink, dtype=np.int64)
 
 
-def plan_cuts(df: DataFrame, keys: list[str], order: str, busy: str, ink: str, most: int, least: int | None = None, beyond: int | None = None, margin: int = 8, band: int | None = None) -> DataFrame:
-    """keys, n (from 1), y, forced: the tiered plan of each group; y counts the group's rows in order from 0."""
+def plan_cuts(df: DataFrame, keys: list[str], order: str, busy: str, ink: str, most: int | Column, least: int | Column | None = None, beyond: int | None = None, margin: int = 8, band: int | None = None) -> DataFrame:
+    """keys, n (from 1), y, forced: the tiered plan of each group; y counts the group's rows in order from 0.
 
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        b, i = _arrays(rows)
-        for n, (y, forced) in enumerate(tiered(b, i, most, least, beyond, margin, band), 1):
-            yield n, y, forced
+    most and least may be columns that hold one value in each group.
+    """
 
-    return fold_sorted(df, keys, [order], [busy, ink], fold, "n long, y long, forced boolean")
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        limits: list[int] = []
+
+        def profile() -> Iterator[tuple]:
+            for b, i, m, low in rows:
+                if not limits:
+                    limits.extend((m, low))
+                yield b, i
+
+        b, i = _arrays(profile())
+        if limits:
+            for n, (y, forced) in enumerate(tiered(b, i, limits[0], limits[1], beyond, margin, band), 1):
+                yield n, y, forced
+
+    value = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("long")
+    d = df.withColumn("_m", value(most)).withColumn("_l", value(least) if least is not None else F.floor(F.col("_m") / 3))
+    return fold_sorted(d, keys, [order], [busy, ink, "_m", "_l"], fold, "n long, y long, forced boolean")
 
 
 def plan_bands(df: DataFrame, keys: list[str], order: str, safe: str, limit: int, least: int | None = None, overflow: int = 0, how: str = "centre", reach: float = 0.5, ink: str | None = None) -> DataFrame:

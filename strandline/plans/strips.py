@@ -44,12 +44,8 @@ def plan_series(scanned: DataFrame, settings: Settings) -> tuple[DataFrame, Data
     rows = shared_table(masks.zones(rows, ["series"], "y", "structured").withColumn("taken", F.col("busy") | F.col("zone") | F.col("keep")))
     stats = rows.groupBy("series").agg(masks.percent_true("taken").alias("busy_percent"), masks.percent_true("zone").alias("zone_percent"))
     most = F.greatest(F.lit(16), F.floor(F.lit(limit) * SCAN_WIDTH / F.col("strip_width")))
-    widths = {r["strip_width"]: r["most"] for r in widest.select("strip_width", most.cast("int").alias("most")).distinct().limit(1000).collect()}
-    plans = None
-    for width, m in sorted(widths.items()):  # one plan per strip width, of which a library has few
-        part = rows.join(widest.where(F.col("strip_width") == width), "series", "left_semi")
-        p = planner.plan_cuts(part, ["series"], "y", "taken", "ink", m, m * 4 // 5, 0, margin)
-        plans = p if plans is None else plans.unionByName(p)
+    sized = rows.join(widest.select("series", most.alias("most")), "series")
+    plans = planner.plan_cuts(sized, ["series"], "y", "taken", "ink", F.col("most"), F.floor(F.col("most") * 4 / 5), 0, margin)
     at = lookup.page_at(d.select("series", "start", F.struct("start", "page").alias("at")), plans.select("series", "y", "forced"), ["series"], "start", "y", "at")
     placed = at.select("series", "y", "forced", F.col("at.page").alias("page"), F.col("at.start").alias("start")).join(rows.select("series", "y", "keep"), ["series", "y"])
     placed = placed.join(scanned.select("series", "page", "height", F.size("busy").alias("scan_rows"), "width"), ["series", "page"]).join(widest, "series")
