@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.runtime import ship
@@ -76,11 +76,11 @@ def gate(df: DataFrame, keys: list[str], order: str, matches, vec: str, least: i
     """
     need = max(2, least)
     refs = df.groupBy(*keys).agg(F.min_by(vec, order).alias("_f"), F.max_by(vec, order).alias("_l"))
-    d = df.join(refs, keys).withColumn("_mf", matches(F.col("_f"), F.col(vec))).withColumn("_ml", matches(F.col("_l"), F.col(vec)))
-    w = Window.partitionBy(*keys)
-    d = d.withColumn("_nf", F.count_if("_mf").over(w)).withColumn("_nl", F.count_if("_ml").over(w))
+    d = df.join(refs, keys).withColumn("_mf", matches(F.col("_f"), F.col(vec))).withColumn("_ml", matches(F.col("_l"), F.col(vec))).drop("_f", "_l")
+    # counted before the shuffle, so a large group isn't gathered in one task as a window would
+    counts = d.groupBy(*keys).agg(F.count_if("_mf").alias("_nf"), F.count_if("_ml").alias("_nl"))
     hit = F.when(F.col("_nf") >= need, F.col("_mf")).when(F.col("_nl") >= need, F.col("_ml")).otherwise(F.lit(False))
-    return d.withColumn(out, hit).drop("_f", "_l", "_mf", "_ml", "_nf", "_nl")
+    return d.join(counts, keys).withColumn(out, hit).drop("_mf", "_ml", "_nf", "_nl")
 
 
 def crop_decision(score_tier: Column, in_gate: Column) -> Column:
