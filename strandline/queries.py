@@ -120,24 +120,51 @@ def q_sessions(spark: SparkSession, d: str) -> DataFrame:
     return masks.sessionise(event_rows(spark, d), ["user_id"], "y", "busy", 3).select("user_id", F.col("first").alias("first_row"), F.col("last").alias("last_row"))
 
 
-@query()
+PROFILE = EVENTS + """, w AS (SELECT user_id, y, busy, floor(value)::BIGINT AS ink, count(*) OVER (PARTITION BY user_id) AS h, bool_or(busy) OVER (PARTITION BY user_id ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS blocked FROM e),
+c AS (SELECT *, y >= 5 AND y + 5 < h AND NOT bool_or(blocked) OVER (PARTITION BY user_id ORDER BY y ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS clear, y - row_number() OVER (PARTITION BY user_id, blocked ORDER BY y) AS g FROM w),
+r AS (SELECT *, min(y) OVER (PARTITION BY user_id, blocked, g) AS b0, max(y) OVER (PARTITION BY user_id, blocked, g) + 1 AS b1 FROM c)"""
+
+
+@query(f"""WITH RECURSIVE {PROFILE}, p AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS y, false AS forced FROM r
+  UNION ALL SELECT user_id, n + 1, coalesce(c1, c2.y, CASE WHEN c4 IS NOT NULL THEN least(greatest(c4.b0, y0 + 21), c4.b1 - 1) END, c5.y), c1 IS NULL AND (c2 IS NOT NULL OR c4 IS NULL) FROM (
+    SELECT p.user_id, p.n, p.y AS y0, max(r.y) FILTER (clear AND r.y BETWEEN p.y + 16 AND p.y + 20) AS c1,
+      min({{'s': 2 * (p.y + 20 - r.y) + ink, 'y': r.y}}) FILTER (NOT blocked AND r.y <= p.y + 20) AS c2,
+      min({{'b0': b0, 'b1': b1}}) FILTER (NOT blocked AND r.y > p.y + 20 AND b1 > p.y + 21) AS c4,
+      min({{'s': ink * 1000 + (p.y + 20 - r.y), 'y': r.y}}) FILTER (r.y <= p.y + 20) AS c5
+    FROM p JOIN r ON r.user_id = p.user_id AND r.y BETWEEN p.y + 5 AND p.y + 25 AND r.h - p.y > 20 GROUP BY p.user_id, p.n, p.y))
+SELECT user_id, n, y, forced FROM p WHERE n > 0""")
 def q_cut_plan(spark: SparkSession, d: str) -> DataFrame:
     return planner.plan_cuts(event_rows(spark, d), ["user_id"], "y", "busy", "ink", most=20, least=5, margin=1)
 
 
-@query()
+def _cuts_sql(pick: str, low: int) -> str:
+    """Cuts of the rows that aren't busy, at most 20 apart: pick says which of the rows from low to 20 after the last cut."""
+    return f"""WITH RECURSIVE {EVENTS}, w AS (SELECT user_id, y, busy, floor(value)::BIGINT AS ink, count(*) OVER (PARTITION BY user_id) AS h, y - row_number() OVER (PARTITION BY user_id, busy ORDER BY y) AS g FROM e),
+r AS (SELECT *, max(y) OVER (PARTITION BY user_id, busy, g) AS last FROM w),
+p AS (SELECT DISTINCT user_id, h, 0::BIGINT AS n, 0::BIGINT AS y FROM r
+  UNION ALL SELECT p.user_id, p.h, p.n + 1, {pick} FROM p JOIN r ON r.user_id = p.user_id AND NOT busy AND r.y BETWEEN p.y + {low} AND p.y + 20 AND FITS GROUP BY p.user_id, p.h, p.n, p.y),
+t AS (SELECT user_id, max(n) AS cuts, h - max(y) <= 20 AS tail_safe FROM p GROUP BY user_id, h)
+SELECT user_id, CASE WHEN cuts = 0 THEN -1 ELSE n END AS n, CASE WHEN cuts = 0 THEN -1 ELSE y END AS y, tail_safe FROM p JOIN t USING (user_id) WHERE n > 0 OR cuts = 0"""
+
+
+def _cuts(spark: SparkSession, d: str, **how) -> DataFrame:
+    safe = event_rows(spark, d).withColumn("safe", ~F.col("busy"))
+    return planner.plan_bands(safe, ["user_id"], "y", "safe", 20, **how).select("user_id", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("y", F.lit(-1)).alias("y"), "tail_safe")
+
+
+@query(_cuts_sql("(min(r.y) + least(min({'y': r.y, 'last': last}).last, p.y + 20)) // 2", 10).replace("FITS", "r.h - p.y > 20"))
 def q_band_center_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return planner.plan_bands(event_rows(spark, d).withColumn("safe", ~F.col("busy")), ["user_id"], "y", "safe", 20)
+    return _cuts(spark, d)
 
 
-@query()
+@query(_cuts_sql("max(r.y)", 10).replace("FITS", "p.y + 20 < r.h"))
 def q_search_up_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return planner.plan_bands(event_rows(spark, d).withColumn("safe", ~F.col("busy")), ["user_id"], "y", "safe", 20, how="up")
+    return _cuts(spark, d, how="up")
 
 
-@query()
+@query(_cuts_sql("min({'s': p.y + 20 - r.y + ink * 10000, 'y': r.y}).y", 10).replace("FITS", "p.y + 20 < r.h"))
 def q_ink_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return planner.plan_bands(event_rows(spark, d).withColumn("safe", ~F.col("busy")), ["user_id"], "y", "safe", 20, how="ink", ink="ink")
+    return _cuts(spark, d, how="ink", ink="ink")
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, p AS (SELECT user_id, y FROM e WHERE event_type = 'purchase'),
