@@ -209,7 +209,15 @@ def q_row_median(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select("vec_id", pixels.median(F.col("lum")).alias("med"))
 
 
-@query()
+@query(f"""WITH {LUM}, u AS (SELECT vec_id, unnest(range(0, 62)) AS i, unnest(lum[2:63]) AS v FROM v),
+a AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY vec_id ORDER BY i)) AS step, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM u),
+m AS (SELECT vec_id, list_sort(list(v))[32] AS med FROM u GROUP BY vec_id),
+b AS (SELECT vec_id, max(c) AS bin FROM (SELECT vec_id, v, count(*) AS c FROM u GROUP BY vec_id, v) GROUP BY vec_id),
+g AS (SELECT vec_id, v <= lo + 16 AS dark, i - row_number() OVER (PARTITION BY vec_id, v <= lo + 16 ORDER BY i) AS g FROM a),
+r AS (SELECT vec_id, count(*) AS runs, max(c) AS longest FROM (SELECT vec_id, g, count(*) AS c FROM g WHERE dark GROUP BY vec_id, g) GROUP BY vec_id),
+s AS (SELECT vec_id, count(*) FILTER (step > 24) AS ink, max(hi - lo) AS spread, count(*) FILTER (abs(v - med) > 16) AS dev, count(*) FILTER (abs(v - med) > 16 AND i >= 15 AND i < 47) AS central FROM a JOIN m USING (vec_id) GROUP BY vec_id),
+x AS (SELECT *, ink > 1 OR (spread > 40 AND ink > 0) OR (dev > 2 AND (4 * central >= dev OR 5 * bin >= 124)) AS busy FROM s JOIN b USING (vec_id) JOIN r USING (vec_id))
+SELECT vec_id, busy, ink::INT AS ink, busy AND runs >= 3 AND longest >= 4 AS structured, (CASE WHEN busy THEN longest ELSE 0 END)::INT AS max_run FROM x""")
 def q_row_profile(spark: SparkSession, d: str) -> DataFrame:
     return rows.row_profile(vectors(spark, d), "lum").select("vec_id", "busy", "ink", "structured", "max_run")
 
@@ -405,7 +413,14 @@ def q_keep_out(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.size(F.filter("enclosed_rows", lambda x: x)).alias("rows"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS}, l AS (SELECT user_id, y, y * 20 AS t, y * 20 + 10 + floor(value)::BIGINT % 9 AS b, event_id % 50 * 10 AS l, event_id % 50 * 10 + 200 AS r FROM e),
+f AS (SELECT user_id, y, 1 AS n, t, b, l, r, greatest(1, b - t) AS h, 1 AS c FROM l WHERE y = 0
+  UNION ALL SELECT user_id, y, n + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN t ELSE t2 END, CASE WHEN joins THEN greatest(b, b2) ELSE b2 END, CASE WHEN joins THEN least(l, l2) ELSE l2 END,
+    CASE WHEN joins THEN greatest(r, r2) ELSE r2 END, CASE WHEN joins THEN greatest(h, h2) ELSE h2 END, CASE WHEN joins THEN c + 1 ELSE 1 END
+  FROM (SELECT f.user_id, l.y, n, f.t, f.b, f.l, f.r, h, c, l.t AS t2, l.b AS b2, l.l AS l2, l.r AS r2, greatest(1, l.b - l.t) AS h2,
+    l.t - f.b <= 5 * greatest(h, l.b - l.t, 1) AND (least(f.r, l.r) - greatest(f.l, l.l)) / greatest(1, least(f.r - f.l, l.r - l.l))::DOUBLE > 0.3 AS joins FROM f JOIN l ON l.user_id = f.user_id AND l.y = f.y + 1)),
+z AS (SELECT *, CASE WHEN c > 1 THEN 10 ELSE least(greatest(h, 8), 40) END AS pad, row_number() OVER (PARTITION BY user_id, n ORDER BY y DESC) AS k FROM f)
+SELECT user_id, greatest(0, t - pad)::BIGINT AS first, (b + pad)::BIGINT AS last, c::BIGINT AS lines FROM z WHERE k = 1""")
 def q_text_blocks(spark: SparkSession, d: str) -> DataFrame:
     e = event_rows(spark, d).withColumn("top", F.col("y") * 20).withColumn("bottom", F.col("top") + 10 + F.col("ink") % 9).withColumn("left", F.col("event_id") % 50 * 10).withColumn("right", F.col("left") + 200)
     return textblocks.text_blocks(e, ["user_id"])
