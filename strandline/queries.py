@@ -72,7 +72,16 @@ def q_group_height(spark: SparkSession, d: str) -> DataFrame:
     return grouping.by_height(docs(spark, d), ["lang"], "doc_id", "n_chars", LIMIT)
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, {'id': doc_id, 'h': n_chars, 'safe': doc_id % 7 <> 0, 'linked': coalesce(lag(source) OVER (PARTITION BY lang ORDER BY doc_id) = source, false)} AS x FROM documents),
+f AS (SELECT lang, 0::BIGINT AS n, [x][1:0] AS held, false AS seam, 0::BIGINT AS bundle, [{'b': 0::BIGINT, 'of': [x][1:0], 'tall': false, 'seam': false}][1:0] AS done FROM r WHERE n = 1
+  UNION ALL SELECT lang, n, CASE WHEN tall THEN [x][1:0] WHEN over THEN held[cut + 1:] || [x] ELSE held || [x] END,
+    CASE WHEN tall THEN false WHEN over THEN (cut = len(held) AND (x.linked OR NOT x.safe)) OR unsafe ELSE seam END, bundle + CASE WHEN tall THEN 1 + least(1, len(held)) WHEN over THEN 1 ELSE 0 END,
+    CASE WHEN tall THEN [{'b': bundle + 1, 'of': held, 'tall': false, 'seam': seam}][1:least(1, len(held))] || [{'b': bundle + 1 + least(1, len(held)), 'of': [x], 'tall': true, 'seam': false}]
+      WHEN over THEN [{'b': bundle + 1, 'of': held[1:cut], 'tall': false, 'seam': seam OR unsafe}] ELSE [{'b': 0::BIGINT, 'of': held, 'tall': false, 'seam': false}][1:0] END
+  FROM (SELECT *, cut < len(held) AND NOT held[cut + 1].safe AS unsafe FROM (SELECT f.lang, r.n, held, seam, bundle, x, x.h > 10000 AS tall, len(held) > 0 AND coalesce(list_sum([y.h FOR y IN held]), 0) + x.h > 10000 AS over,
+    CASE WHEN x.linked THEN coalesce(list_max([j FOR j IN range(1, len(held)) IF NOT held[j + 1].linked]), len(held)) ELSE len(held) END AS cut FROM f JOIN r ON r.lang = f.lang AND r.n = f.n + 1))),
+e AS (SELECT lang, unnest(done) AS d FROM f UNION ALL SELECT lang, {'b': bundle + 1, 'of': held, 'tall': false, 'seam': seam} FROM f WHERE len(held) > 0 AND n = (SELECT max(n) FROM r WHERE r.lang = f.lang)),
+o AS (SELECT lang, d.b AS bundle, d.tall AS tall, d.seam AS seam_cut, unnest(d.of) AS x FROM e) SELECT lang, x.id AS doc_id, x.h AS n_chars, bundle, tall, seam_cut FROM o""")
 def q_group_height_linked(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("lang").orderBy("doc_id")
     x = docs(spark, d).withColumn("linked", F.coalesce(F.lag("source").over(w) == F.col("source"), F.lit(False))).withColumn("safe", F.col("doc_id") % 7 != 0)
