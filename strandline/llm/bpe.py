@@ -235,3 +235,20 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
                 yield pa.RecordBatch.from_arrays([b.column(0), ids, texts], names=[id_col, "ids", "text"])
 
     return d.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text) per row: what encode() gives, and what decode() makes of it, in one Python stage instead of two."""
+    ship(df.sparkSession)
+    d = own(df, id_col, text_col)
+    schema = T.StructType([d.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            for b in _slices(batch, 1, 4 << 20):
+                ids = [c.encode(t.as_py() or "") for t in b.column(1)]
+                texts = pa.array([c.decode(x.tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), texts], names=[id_col, "ids", "text"])
+
+    return d.mapInArrow(run, schema)
