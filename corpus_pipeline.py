@@ -42,8 +42,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and the text decoded from the ids."""
-    path = queries.tokenizer_path()
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "text")
+    return bpe.round_trip(docs, queries.tokenizer_path()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
