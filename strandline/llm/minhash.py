@@ -18,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -154,12 +153,12 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     rows = rows.select("key", "band", "i", "j", "t", "rep", "component", "n", "sig", "z").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     least, percent = passes(threshold), round(threshold * 100)
 
-    def compare(unit: pd.DataFrame) -> pd.DataFrame | None:
-        if unit["component"].nunique() < 2:
+    def compare(unit: pa.Table) -> pa.RecordBatch | None:
+        tile_i, tile_j, t, rep, comp, n, band = (unit.column(c).to_numpy() for c in ("i", "j", "t", "rep", "component", "n", "band"))
+        if len(np.unique(comp)) < 2:
             return None
-        sig = np.frombuffer(b"".join(unit["sig"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        rep, comp, n, t, band = (unit[c].to_numpy() for c in ("rep", "component", "n", "t", "band"))
-        z = unit["z"].tolist()
+        sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        z = unit.column("z").to_pylist()
         d = zstandard.ZstdDecompressor()
         sets: dict[int, frozenset[int]] = {}
         joined: dict[int, int] = {}
@@ -174,9 +173,9 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
                 c = joined[c]
             return c
 
-        own_tile = unit["i"].iat[0] == unit["j"].iat[0]
-        left = np.arange(len(unit)) if own_tile else np.flatnonzero(t == unit["i"].iat[0])
-        right = left if own_tile else np.flatnonzero(t == unit["j"].iat[0])
+        own_tile = tile_i[0] == tile_j[0]
+        left = np.arange(len(rep)) if own_tile else np.flatnonzero(t == tile_i[0])
+        right = left if own_tile else np.flatnonzero(t == tile_j[0])
         out = []
         for p in left:
             q = right[(comp[right] != comp[p]) & ((rep[right] > rep[p]) if own_tile else True)]
@@ -189,23 +188,24 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
                     both = len(a & b)
                     if both and 100 * both >= percent * (len(a) + len(b) - both):
                         joined[x] = y
-                        out.append((min(rep[p], rep[i]), max(rep[p], rep[i])))
-        return pd.DataFrame(out, columns=["a", "b"]) if out else None
+                        out.append((int(rep[p]), int(rep[i])))
+        return pa.RecordBatch.from_arrays([pa.array(map(min, out), pa.int64()), pa.array(map(max, out), pa.int64())], names=["a", "b"]) if out else None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
-        for f in frames:
-            f = f if kept is None else pd.concat([kept, f], ignore_index=True)
-            of = f[["key", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1).tolist()]
+        for batch in batches:
+            f = pa.Table.from_batches([batch])
+            f = f if kept is None else pa.concat_tables([kept, f])
+            of = np.stack([f.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1).tolist()]
             for s, e in zip(cuts, cuts[1:]):
-                if (x := compare(f.iloc[s:e])) is not None:
+                if (x := compare(f.slice(s, e - s))) is not None:
                     yield x
-            kept = f.iloc[cuts[-1] :]
-        if kept is not None and len(kept) and (x := compare(kept)) is not None:
+            kept = f.slice(cuts[-1])
+        if kept is not None and kept.num_rows and (x := compare(kept)) is not None:
             yield x
 
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -230,8 +230,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same_id = known.join(classes.select("set", "rep"), "set").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all")).where("a < b").select("a", F.explode("all").alias("b"))
     least = passes(threshold)
     first = members.where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = shared_table(_verified(_likely(first, sigs, least), texts, width, threshold).union(same_id))
-    found = shared_table(components(links))
+    found = components(_verified(_likely(first, sigs, least), texts, width, threshold).union(same_id))
     for last in (False, True):
         labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max_by("component", "rep").alias("ch")).where("c0 < c1")
@@ -241,8 +240,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         else:
             pairs = open_rows.where("rep < high and component <> ch").select(F.col("rep").alias("a"), F.col("high").alias("b")).distinct()
             new = _verified(_likely(pairs, sigs, least), texts, width, threshold)
-        links = shared_table(links.union(new))
-        found = shared_table(components(links))
+        new = shared_table(new)
+        if not new.isEmpty():
+            # what is joined already is one link a node, which keeps the rounds few
+            found = components(found.toDF("a", "b").union(new))
     labelled = sketched.join(classes.select("set", "rep"), "set", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     out = labelled.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
