@@ -279,11 +279,11 @@ b AS (SELECT vec_id, ref_id, round(CASE WHEN aa <= 0 OR bb <= 0 THEN 0 ELSE leas
 best AS (SELECT vec_id, CASE WHEN max(s) > 0 THEN max(s) ELSE 0.0 END AS score, CASE WHEN max(s) > 0 THEN min(ref_id) FILTER (s = m) END AS template FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS m FROM b) GROUP BY vec_id)"""
 
 
-@query(f"WITH {NCC} SELECT vec_id, template, score::DOUBLE AS score FROM best")
+@query(f"WITH {NCC} SELECT vec_id, coalesce(template, -1) AS template, score::DOUBLE AS score FROM best")
 def q_ncc_best(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     best = matching.best_template(v, _first_per_label(v), "lum", "ref_id", "ref", digits=6)
-    return best.select("vec_id", F.col("best_template").alias("template"), F.col("best_score").alias("score"))
+    return best.select("vec_id", F.coalesce("best_template", F.lit(-1)).alias("template"), F.col("best_score").alias("score"))
 
 
 @query(f"WITH {NCC} SELECT vec_id, CASE WHEN score >= 0.9 THEN 'strong' WHEN score >= 0.7 THEN 'medium' ELSE 'none' END AS tier FROM best")
