@@ -5,26 +5,38 @@ number of tokens, then its leading tokens. Within the leaf its templates are the
 the line with one of the equal blocks of its remaining tokens generalised to a variable field. So lines that differ
 in one field, of one token or of a few, share a template. A template is an id of 64 bits; the tree is never built in one
 place, but counted by template over all documents. Lines of templates that recur are dropped.
+
+A passage that recurs inside lines, whatever stands around it, is found by runs of words that begin at content-defined
+cuts: a word is a cut if the hash of the words from it on is the least among its neighbours, so the cuts of a passage
+do not depend on the rest of its line. Runs are counted like templates, and the words of recurring runs are cut out of the line.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from strandline.llm.shingles import slices
+from strandline.llm.shingles import mixed, slices
 from strandline.runtime import own, shared_table, ship
 
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
 DEPTH = 2  # leading tokens on the path
 BLOCKS = 4  # parts of the rest that may be a variable field
 LONG = 10  # tokens from which a line has generalised templates
+ANCHOR = 10  # words whose hash decides on a cut
+REACH = 11  # neighbouring words of which one is a cut
+RUNS = {1: 20}  # words of a run by kind; kind 0 is a line's template
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_WORD = re.compile(rb"\S+")
 
 
 def _signed(x: int) -> int:
@@ -51,47 +63,132 @@ def templates(line: bytes) -> list[int]:
     return out
 
 
+def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, first word, kind) of the runs of all lines. A line's runs begin at its cuts and its first word, and one ends with it.
+
+    So of a passage that two lines share, all but REACH - 1 words at either end is in runs that both have, if it has
+    REACH - 1 words more than a run.
+    """
+    split = [(i, w) for i, x in enumerate(lines) if len(w := x.split()) >= min(RUNS.values())]
+    size = np.array([len(w) for _, w in split], dtype=np.int64)
+    n = int(size.sum())
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(w for _, w in split)), np.uint64, n)
+    line = np.repeat([i for i, _ in split], size)
+    at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(size, size) - at
+    upto = np.r_[np.uint64(0), np.cumsum(h * np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _STEP)]))]
+    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BACK)])
+
+    def run(words: int, where: np.ndarray) -> np.ndarray:
+        return mixed((upto[where + words] - upto[where]) * back[where])
+
+    most = np.iinfo(np.uint64).max
+    anchor = np.full(n + REACH, most, np.uint64)
+    fits = np.flatnonzero(left >= ANCHOR)
+    anchor[fits] = run(ANCHOR, fits)
+    least = anchor[:n].copy()
+    for i in range(1, REACH):
+        np.minimum(least, anchor[i : n + i], out=least)
+    least[left < ANCHOR + REACH - 1] = 0
+    top = least.copy()
+    for i in range(1, REACH):
+        np.maximum(top[i:], least[: n - i], out=top[i:])
+    cut = ((anchor[:n] == top) & (left >= ANCHOR)) | (at == 0)
+    out = []
+    for kind, words in RUNS.items():
+        where = np.flatnonzero((cut & (left >= words)) | (left == words))
+        out.append((_keyed(run(words, where).view(np.int64), kind), line[where], at[where], np.full(len(where), kind)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _keyed(x: np.ndarray, kind: int) -> np.ndarray:
+    """Ids with the kind in their last two bits."""
+    return (x & ~3) | kind
+
+
+def cut_text(text: str, places: list[int], firsts: list[bool]) -> tuple[str, int]:
+    """The text without what recurs at places, and the number of lines that lost all or some of their words.
+
+    A line goes if it has recurring templates and is the first to hold none of them; words of a recurring run go where the
+    run is held first elsewhere. Words of a run that is held here first stay in any case, so the corpus keeps them.
+    """
+    whole: dict[int, bool] = {}
+    spans: dict[int, list[tuple[bool, int, int]]] = {}
+    for place, first in zip(places, firsts):
+        i, at, kind = place >> 32, (place >> 2) & 0x3FFFFFFF, place & 3
+        if kind in RUNS:
+            spans.setdefault(i, []).append((first, at, RUNS[kind]))
+        else:
+            whole[i] = whole.get(i, True) and not first
+    lines, out, lost = text.encode().split(b"\n"), [], 0
+    for i, x in enumerate(lines):
+        if i not in spans:
+            if whole.get(i):
+                lost += 1
+            else:
+                out.append(x)
+            continue
+        words = [m.start() for m in _WORD.finditer(x)]
+        gone = np.full(len(words), whole.get(i, False))
+        for first, at, n in sorted(spans[i]):  # what is first here comes last
+            gone[at : at + n] = not first
+        lost += bool(gone.any())
+        if gone.all():
+            continue
+        if gone.any():
+            ends = [*words[1:], len(x)]
+            x = x[: words[0]] + b"".join(x[s:e] for s, e, g in zip(words, ends, gone) if not g)
+            x = x.rstrip() if gone[-1] else x
+        out.append(x)
+    return b"\n".join(out).decode(), lost
+
+
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True) -> DataFrame:
-    """(doc_id, text_key, drop array<int>): the lines (from 0) to drop of each text that has any; text_key is xxhash64 of the text.
+    """(doc_id, text_key, places array<long>, firsts array<boolean>): what recurs in each text that has any; text_key is xxhash64 of the text.
 
-    A template recurs if min_docs rows or more hold it. Of keep_first, the document with the smallest id that holds a template keeps
-    its lines, so no text is lost from the corpus.
+    A place is the line (from 0) in the upper 32 bits, the first word of a run, and the kind in the last two bits. A template or run recurs
+    if min_docs rows or more hold it. Of keep_first, the document with the smallest id that holds it is marked, so that no text is
+    lost from the corpus.
     """
     spark = df.sparkSession
     ship(spark)
     d = own(df, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    schema = T.StructType([d.schema[0], d.schema[1], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("lines", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([d.schema[0], d.schema[1], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, 2):
-                keys, lines = [], []
-                for t in b.column(2):
-                    k, n = [], []
-                    for i, line in enumerate((t.as_py() or "").encode().split(b"\n")):
-                        for x in templates(line):
-                            k.append(x)
-                            n.append(i)
-                    keys.append(k)
-                    lines.append(n)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.int32()))], names=schema.names)
-
-    # ids of lines, not texts; written once, as counting and dropping both read them
+                texts = [(t.as_py() or "").encode().split(b"\n") for t in b.column(2)]
+                lines = list(chain.from_iterable(texts))
+                count = np.array([len(t) for t in texts])
+                of = np.repeat(np.arange(len(texts)), count)
+                at = np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count)
+                found = [(x, i) for i, line in enumerate(lines) for x in templates(line)]
+                key, line, word, kind = runs(lines)
+                key = np.r_[_keyed(np.array([x for x, _ in found], np.int64), 0), key]
+                line = np.r_[np.array([i for _, i in found], np.int64), line]
+                place = (at[line] << 32) | (np.r_[np.zeros(len(found), np.int64), word] << 2) | np.r_[np.zeros(len(found), np.int64), kind]
+                order = np.argsort(of[line], kind="stable")
+                ends = pa.array(np.r_[0, np.cumsum(np.bincount(of[line], minlength=len(texts)))], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(key[order])), pa.ListArray.from_arrays(ends, pa.array(place[order]))], names=schema.names)
+
+    # ids of lines and runs, not texts; written once, as counting and dropping both read them
     keyed = shared_table(d.mapInArrow(run, schema))
     held = keyed.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
     often = held.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("key", "first")
-    lines = keyed.select("doc_id", "text_key", F.explode(F.arrays_zip("keys", "lines")).alias("x")).select("doc_id", "text_key", F.col("x.keys").alias("key"), F.col("x.lines").alias("line"))
+    lines = keyed.select("doc_id", "text_key", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "text_key", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     # one row per key on the right: broadcast if its measured size allows, else both sides are shuffled, and split where skewed
     hit = lines.join(shared_table(often), "key")
-    # A line goes only if every template of it that recurs has its first document elsewhere.
-    mine = F.max(F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = hit.groupBy("doc_id", "text_key", "line").agg(mine.alias("first_here"))
-    gone = gone.where(~F.col("first_here")) if keep_first else gone
-    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line")).alias("drop"))
+    mine = F.col("doc_id").eqNullSafe(F.col("first")) if keep_first else F.lit(False)
+    marked = hit.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", mine.alias("mine"))).alias("x"))
+    # equal rows give equal places; a place whose templates differ in their first holder is in the set twice
+    return marked.where(F.exists("x", lambda x: ~x["mine"])).select("doc_id", "text_key", F.col("x.place").alias("places"), F.col("x.mine").alias("firsts"))
 
 
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, marks: tuple[str, str] = ("_lines", "_dropped")) -> DataFrame:
-    """df with the recurring lines cut from the texts, and the numbers of lines and of dropped lines as columns marks.
+    """df with the recurring lines and runs cut from the texts, and as columns marks the numbers of lines and of lines that lost all or some of their words.
 
     All columns and rows of df stay. A null text stays null; blank lines are never dropped; repeated rows are treated alike and
     each counts as a document. Rows without id count too, and are nobody's first document unless none has an id.
@@ -100,9 +197,20 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     names = df.columns
     at, key = names.index(text_col), names.index(id_col)
     d = df.toDF(*(f"c{i}" for i in range(len(names))))
-    d = d.withColumn("k", F.xxhash64(f"c{at}")).join(drops.toDF("did", "tk", "drop"), F.col(f"c{key}").eqNullSafe(F.col("did")) & (F.col("k") == F.col("tk")), "left")
-    lines = F.split(f"c{at}", "\n", -1)
-    cut = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop", i)), "\n")
-    text = F.when(F.col("drop").isNull(), F.col(f"c{at}")).otherwise(cut)
-    out = [(text if i == at else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
-    return d.select(*out, F.coalesce(F.size(lines), F.lit(0)).alias(marks[0]), F.coalesce(F.size("drop"), F.lit(0)).alias(marks[1]))
+    d = d.withColumn("k", F.xxhash64(f"c{at}")).join(drops.toDF("did", "tk", "places", "firsts"), F.col(f"c{key}").eqNullSafe(F.col("did")) & (F.col("k") == F.col("tk")), "left")
+    lines = F.coalesce(F.size(F.split(f"c{at}", "\n", -1)), F.lit(0))
+    d = d.select(*(f"c{i}" for i in range(len(names))), lines.alias("lines"), "places", "firsts")
+    schema = T.StructType([*d.schema[:-2], T.StructField("lost", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, at):
+                texts, lost = [], []
+                for t, p, f in zip(b.column(at), b.column(len(names) + 1), b.column(len(names) + 2)):
+                    x, n = cut_text(t.as_py(), p.as_py(), f.as_py()) if p.is_valid else (t.as_py(), 0)
+                    texts.append(x)
+                    lost.append(n)
+                columns = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(names) + 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int32())], names=schema.names)
+
+    return d.mapInArrow(run, schema).toDF(*names, *marks)

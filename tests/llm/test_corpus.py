@@ -171,6 +171,27 @@ def test_line_templates_equal_brute_force(spark):
     assert linededup.drop_lines(df.where("false")).count() == 0
 
 
+def test_recurring_passages_inside_lines_are_cut(spark):
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    some = lambda n: " ".join(word() for _ in range(n))
+    shared = some(45)
+    inserted = shared.split()
+    inserted.insert(22, "unheard")
+    own = [(some(3 + i), some(12 - i)) for i in range(12)]
+    rows = [(i, f"first line\n{a} {' '.join(inserted) if i == 11 else shared} {b}\n\nlast") for i, (a, b) in enumerate(own)]
+    got = {r["doc_id"]: r for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), marks=("n", "gone")).collect()}
+    assert got[0]["text"] == rows[0][1]
+    for i in range(1, 12):
+        a, b = own[i]
+        line = next(x for x in got[i]["text"].split("\n") if a in x)
+        rest = set(line.split()) - set(a.split()) - set(b.split())
+        assert line.startswith(a) and line.endswith(b) and got[i]["n"] == 4
+        # at most REACH - 1 words on either side of a passage stay
+        assert len(rest - {"unheard"}) <= 2 * (linededup.REACH - 1) * (1 if i < 11 else 2)
+        assert ("unheard" in rest) == (i == 11)
+
+
 def test_templates_generalise_fields():
     t = linededup.templates
     a, b = b"User alice signed in from the north office at noon today", b"User alice signed in from the south office at noon today"
