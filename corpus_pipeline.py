@@ -17,7 +17,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines and runs of words that recur in 10 documents or more, but for the first document that holds them.
+    """Texts without lines and runs of words that recur in 10 documents or more (2 if of 50 words or more), but for the first document that holds them.
 
     A document all of whose words were in such lines goes; n_chars follows the text.
     """

@@ -9,6 +9,7 @@ place, but counted by template over all documents. Lines of templates that recur
 A passage that recurs inside lines, whatever stands around it, is found by runs of words that begin at content-defined
 cuts: a word is a cut if the hash of the words from it on is the least among its neighbours, so the cuts of a passage
 do not depend on the rest of its line. Runs are counted like templates, and the words of recurring runs are cut out of the line.
+For lines and stretches of 50 words two documents are enough; shorter ones may recur by chance or habit, and need min_docs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,9 @@ BLOCKS = 4  # parts of the rest that may be a variable field
 LONG = 10  # tokens from which a line has generalised templates
 ANCHOR = 10  # words whose hash decides on a cut
 REACH = 11  # neighbouring words of which one is a cut
-RUNS = {1: 20}  # words of a run by kind; kind 0 is a line's template
+RUN = 20  # words of a run
+LONG_WORDS = 50  # of a line or a stretch of runs that long_docs documents hold
+LINE, RUN_KIND, LONG_LINE = 0, 1, 2  # kinds of ids, in their last two bits: templates, runs, the whole line of LONG_WORDS or more
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(rb"\S+")
@@ -63,17 +67,17 @@ def templates(line: bytes) -> list[int]:
     return out
 
 
-def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, first word, kind) of the runs of all lines. A line's runs begin at its cuts and its first word, and one ends with it.
+def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, first word) of the runs of all lines. A line's runs begin at its cuts and its first word, and one ends with it.
 
     So of a passage that two lines share, all but REACH - 1 words at either end is in runs that both have, if it has
     REACH - 1 words more than a run.
     """
-    split = [(i, w) for i, x in enumerate(lines) if len(w := x.split()) >= min(RUNS.values())]
+    split = [(i, w) for i, x in enumerate(lines) if len(w := x.split()) >= RUN]
     size = np.array([len(w) for _, w in split], dtype=np.int64)
     n = int(size.sum())
     if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(w for _, w in split)), np.uint64, n)
     line = np.repeat([i for i, _ in split], size)
     at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
@@ -96,30 +100,40 @@ def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     for i in range(1, REACH):
         np.maximum(top[i:], least[: n - i], out=top[i:])
     cut = ((anchor[:n] == top) & (left >= ANCHOR)) | (at == 0)
-    out = []
-    for kind, words in RUNS.items():
-        where = np.flatnonzero((cut & (left >= words)) | (left == words))
-        out.append((_keyed(run(words, where).view(np.int64), kind), line[where], at[where], np.full(len(where), kind)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    where = np.flatnonzero((cut & (left >= RUN)) | (left == RUN))
+    return run(RUN, where).view(np.int64), line[where], at[where]
 
 
-def _keyed(x: np.ndarray, kind: int) -> np.ndarray:
-    """Ids with the kind in their last two bits."""
-    return (x & ~3) | kind
+def _eligible(n: int, spans: list[tuple[bool, int, bool]]) -> list[tuple[bool, int]]:
+    """Of a line's runs (first here, first word, held by min_docs) those that count: of min_docs, or in a stretch of LONG_WORDS.
 
+    Runs of one passage begin at most REACH words apart; others that only touch are two stretches. Up to REACH - 1 words at either end of
+    a passage inside a line are in no shared run and don't count, so no stretch is longer than what is shared.
+    """
+    out, group, end = [], [], -1
+    for first, at, often in [*sorted(spans, key=lambda x: x[1]), (False, n + RUN, False)]:
+        if group and at > end - RUN + REACH:
+            long = end - group[0][1] >= LONG_WORDS
+            out += [(f, a) for f, a, o in group if o or long]
+            group = []
+        group.append((first, at, often))
+        end = at + RUN
+    return out
 
-def cut_text(text: str, places: list[int], firsts: list[bool]) -> tuple[str, int]:
+
+def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]) -> tuple[str, int]:
     """The text without what recurs at places, and the number of lines that lost all or some of their words.
 
     A line goes if it has recurring templates and is the first to hold none of them; words of a recurring run go where the
-    run is held first elsewhere. Words of a run that is held here first stay in any case, so the corpus keeps them.
+    run is held first elsewhere. As first holders have ever smaller ids, one at last keeps each word. In a line that goes, words of
+    runs that count and are held here first stay, as other documents lose theirs.
     """
     whole: dict[int, bool] = {}
-    spans: dict[int, list[tuple[bool, int, int]]] = {}
-    for place, first in zip(places, firsts):
-        i, at, kind = place >> 32, (place >> 2) & 0x3FFFFFFF, place & 3
-        if kind in RUNS:
-            spans.setdefault(i, []).append((first, at, RUNS[kind]))
+    spans: dict[int, list[tuple[bool, int, bool]]] = {}
+    for place, first, o in zip(places, firsts, often):
+        i, at = place >> 32, (place >> 2) & 0x3FFFFFFF
+        if place & 3 == RUN_KIND:
+            spans.setdefault(i, []).append((first, at, o))
         else:
             whole[i] = whole.get(i, True) and not first
     lines, out, lost = text.encode().split(b"\n"), [], 0
@@ -132,8 +146,8 @@ def cut_text(text: str, places: list[int], firsts: list[bool]) -> tuple[str, int
             continue
         words = [m.start() for m in _WORD.finditer(x)]
         gone = np.full(len(words), whole.get(i, False))
-        for first, at, n in sorted(spans[i]):  # what is first here comes last
-            gone[at : at + n] = not first
+        for first, at in sorted(_eligible(len(words), spans[i]), reverse=True):  # what is first elsewhere comes last
+            gone[at : at + RUN] = not first
         lost += bool(gone.any())
         if gone.all():
             continue
@@ -145,12 +159,12 @@ def cut_text(text: str, places: list[int], firsts: list[bool]) -> tuple[str, int
     return b"\n".join(out).decode(), lost
 
 
-def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True) -> DataFrame:
-    """(doc_id, text_key, places array<long>, firsts array<boolean>): what recurs in each text that has any; text_key is xxhash64 of the text.
+def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, long_docs: int = 2) -> DataFrame:
+    """(doc_id, text_key, places array<long>, firsts array<boolean>, often array<boolean>): what recurs in each text that has any; text_key is xxhash64 of the text.
 
-    A place is the line (from 0) in the upper 32 bits, the first word of a run, and the kind in the last two bits. A template or run recurs
-    if min_docs rows or more hold it. Of keep_first, the document with the smallest id that holds it is marked, so that no text is
-    lost from the corpus.
+    A place is the line (from 0) in the upper 32 bits, the first word of a run, and the kind in the last two bits. A template recurs
+    if min_docs rows or more hold it, a run or a whole line of LONG_WORDS if long_docs do (or min_docs, if that is less); often marks what min_docs hold.
+    Of keep_first, the document with the smallest id that holds it is marked, so that no text is lost from the corpus.
     """
     spark = df.sparkSession
     ship(spark)
@@ -165,52 +179,66 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 count = np.array([len(t) for t in texts])
                 of = np.repeat(np.arange(len(texts)), count)
                 at = np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count)
-                found = [(x, i) for i, line in enumerate(lines) for x in templates(line)]
-                key, line, word, kind = runs(lines)
-                key = np.r_[_keyed(np.array([x for x, _ in found], np.int64), 0), key]
-                line = np.r_[np.array([i for _, i in found], np.int64), line]
-                place = (at[line] << 32) | (np.r_[np.zeros(len(found), np.int64), word] << 2) | np.r_[np.zeros(len(found), np.int64), kind]
+                found = [(x, i, LINE if n or len(line) < 2 * LONG_WORDS - 1 or len(line.split()) < LONG_WORDS else LONG_LINE) for i, line in enumerate(lines) for n, x in enumerate(templates(line))]
+                key, line, word = runs(lines)
+                kind = np.r_[np.array([k for _, _, k in found], np.int64), np.full(len(key), RUN_KIND)]
+                key = (np.r_[np.array([x for x, _, _ in found], np.int64), key] & ~3) | kind
+                line = np.r_[np.array([i for _, i, _ in found], np.int64), line]
+                place = (at[line] << 32) | (np.r_[np.zeros(len(found), np.int64), word] << 2) | kind
                 order = np.argsort(of[line], kind="stable")
                 ends = pa.array(np.r_[0, np.cumsum(np.bincount(of[line], minlength=len(texts)))], pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(key[order])), pa.ListArray.from_arrays(ends, pa.array(place[order]))], names=schema.names)
 
     # ids of lines and runs, not texts; written once, as counting and dropping both read them
-    keyed = shared_table(d.mapInArrow(run, schema))
+    keyed = shared_table(d.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     held = keyed.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    often = held.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs).select("key", "first")
-    lines = keyed.select("doc_id", "text_key", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("doc_id", "text_key", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
+    least = F.when(F.col("key").bitwiseAND(F.lit(3)) == LINE, F.lit(min_docs)).otherwise(F.lit(min(min_docs, long_docs)))
+    counted = held.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least).select("key", "first", (F.col("docs") >= min_docs).alias("often"))
+    lines = keyed.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     # one row per key on the right: broadcast if its measured size allows, else both sides are shuffled, and split where skewed
-    hit = lines.join(shared_table(often), "key")
-    mine = F.col("doc_id").eqNullSafe(F.col("first")) if keep_first else F.lit(False)
-    marked = hit.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", mine.alias("mine"))).alias("x"))
-    # equal rows give equal places; a place whose templates differ in their first holder is in the set twice
-    return marked.where(F.exists("x", lambda x: ~x["mine"])).select("doc_id", "text_key", F.col("x.place").alias("places"), F.col("x.mine").alias("firsts"))
+    hit = lines.join(shared_table(counted), "key").groupBy("row").agg(F.collect_list(F.struct("place", "first", "often")).alias("x"))
+    # equal rows have equal places: those of one of them
+    heads = keyed.groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
+    mine = F.transform("x.first", lambda x: x.eqNullSafe(F.col("doc_id")) if keep_first else F.lit(False))
+    return hit.join(heads, "row").select("doc_id", "text_key", F.col("x.place").alias("places"), mine.alias("firsts"), F.col("x.often").alias("often")).where(F.exists("firsts", lambda x: ~x))
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, marks: tuple[str, str] = ("_lines", "_dropped")) -> DataFrame:
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, marks: tuple[str, str] = ("_lines", "_dropped"), long_docs: int = 2) -> DataFrame:
     """df with the recurring lines and runs cut from the texts, and as columns marks the numbers of lines and of lines that lost all or some of their words.
 
     All columns and rows of df stay. A null text stays null; blank lines are never dropped; repeated rows are treated alike and
     each counts as a document. Rows without id count too, and are nobody's first document unless none has an id.
     """
-    drops = recurring_lines(df, id_col, text_col, min_docs, keep_first)
+    drops = recurring_lines(df, id_col, text_col, min_docs, keep_first, long_docs)
     names = df.columns
     at, key = names.index(text_col), names.index(id_col)
     d = df.toDF(*(f"c{i}" for i in range(len(names))))
-    d = d.withColumn("k", F.xxhash64(f"c{at}")).join(drops.toDF("did", "tk", "places", "firsts"), F.col(f"c{key}").eqNullSafe(F.col("did")) & (F.col("k") == F.col("tk")), "left")
-    lines = F.coalesce(F.size(F.split(f"c{at}", "\n", -1)), F.lit(0))
-    d = d.select(*(f"c{i}" for i in range(len(names))), lines.alias("lines"), "places", "firsts")
-    schema = T.StructType([*d.schema[:-2], T.StructField("lost", T.IntegerType())])
+    n = len(names)
+    d = d.withColumn("k", F.xxhash64(f"c{at}"))
+    packed = T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(d.schema)])
+    schema = T.StructType([*d.schema[:n], T.StructField("lines", T.IntegerType()), T.StructField("lost", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for b in slices(batch, at):
-                texts, lost = [], []
-                for t, p, f in zip(b.column(at), b.column(len(names) + 1), b.column(len(names) + 2)):
-                    x, n = cut_text(t.as_py(), p.as_py(), f.as_py()) if p.is_valid else (t.as_py(), 0)
-                    texts.append(x)
-                    lost.append(n)
-                columns = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(names) + 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int32())], names=schema.names)
-
-    return d.mapInArrow(run, schema).toDF(*names, *marks)
+                z = pa.array([c.compress(t.as_py().encode()) if t.is_valid else None for t in b.column(at)], pa.binary())
+                yield pa.RecordBatch.from_arrays([z if i == at else b.column(i) for i in range(n + 1)], names=packed.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for b in slices(batch, at, 1 << 20):
+                texts, lines, lost = [], [], []
+                for z, *x in zip(b.column(at), *(b.column(n + 1 + i) for i in range(3))):
+                    t = c.decompress(z.as_py()).decode() if z.is_valid else None
+                    lines.append(t.count("\n") + 1 if t is not None else 0)
+                    t, gone = cut_text(t, *(i.as_py() for i in x)) if x[0].is_valid else (t, 0)
+                    texts.append(t)
+                    lost.append(gone)
+                columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(lost, pa.int32())], names=schema.names)
+
+    # texts go through the shuffle compressed
+    joined = d.mapInArrow(pack, packed).join(drops.toDF("did", "tk", "places", "firsts", "often"), F.col(f"c{key}").eqNullSafe(F.col("did")) & (F.col("k") == F.col("tk")), "left")
+    return joined.select(*packed.names, "places", "firsts", "often").mapInArrow(run, schema).toDF(*names, *marks)

@@ -192,6 +192,24 @@ def test_recurring_passages_inside_lines_are_cut(spark):
         assert ("unheard" in rest) == (i == 11)
 
 
+def test_long_passages_recur_in_two_documents(spark):
+    rng = random.Random(32)
+    some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(n))
+    line, short, inside = some(60), some(30), some(75)
+    # in the numbers a long line may differ
+    number = [f"Item {i} of {inside.split()[0]} " + " ".join(line.split()[::-1]) for i in (4, 5)]
+    a, b = (some(9), some(8)), (some(7), some(6))
+    rows = [(1, f"{line}\n{short}\n{a[0]} {inside} {a[1]}\n{number[0]}"), (2, f"{line}\n{short}\n{b[0]} {inside} {b[1]}\n{number[1]}"), (3, some(60)), (4, line)]
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), marks=("n", "gone")).collect()}
+    assert got[1] == (rows[0][1], 0) and got[3] == (rows[2][1], 0) and got[4] == ("", 1)
+    kept = got[2][0].split("\n")
+    assert len(kept) == 2 and kept[0] == short and got[2][1] == 3
+    assert kept[1].startswith(b[0]) and kept[1].endswith(b[1]) and len(kept[1].split()) <= 13 + 2 * (linededup.REACH - 1)
+    # one threshold for all lengths finds none of them
+    same = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), long_docs=10).collect()
+    assert {r["doc_id"]: r["text"] for r in same} == dict(rows)
+
+
 def test_templates_generalise_fields():
     t = linededup.templates
     a, b = b"User alice signed in from the north office at noon today", b"User alice signed in from the south office at noon today"
