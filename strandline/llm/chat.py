@@ -1,8 +1,8 @@
 """Chat formatting by quotation linking.
 
 Lines that begin with > are quotes, nested as deep as they have marks. Each quoted line is normalised and
-hashed; the hash finds the first message of the conversation that holds the line as its own. The message most of
-whose lines are quoted at the first level is the one replied to. Messages lose their quotes and get a
+hashed, and so is each quoted passage, whatever its line breaks; the hashes find all earlier messages of the conversation
+that hold the line or passage as their own. The message most of whose lines are quoted at the first level is the one replied to. Messages lose their quotes and get a
 key that puts each after the one it answers, next to its other answers.
 """
 
@@ -30,8 +30,21 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\s\p{Punct}]+", " "))
 
 
-def _keys(lines: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(lines, lambda p: F.when(normal(p["line"]) != "", F.xxhash64(normal(p["line"])))), lambda h: h.isNotNull()))
+def _passages(parts: Column) -> Column:
+    """array<struct<level, h, lines>>: lines of one depth in a row, without blank ones between them, hashed as one."""
+    before = lambda i: F.get(parts, i - 1)
+    piece = lambda p, i: F.concat(
+        F.when((i > 0) & (before(i)["depth"] == p["depth"]) & (normal(p["line"]) != "") & (normal(before(i)["line"]) != ""), F.lit("\n")).otherwise(F.concat(F.lit("\x01"), p["depth"].cast("string"), F.lit("\x02"))),
+        F.translate(p["line"], "\x01\x02", ""),
+    )
+    cut = F.transform(F.split(F.array_join(F.transform(parts, piece), ""), "\x01"), lambda x: F.struct(F.substring_index(x, "\x02", 1).try_cast("int").alias("level"), normal(F.substring_index(x, "\x02", -1)).alias("text"), (F.size(F.split(x, "\n")).cast("long")).alias("lines")))
+    return F.transform(F.filter(cut, lambda x: x["level"].isNotNull() & (x["text"] != "")), lambda x: F.struct(x["level"].alias("level"), F.xxhash64(F.lit("passage"), x["text"]).alias("h"), x["lines"].alias("lines")))
+
+
+def _keyed(parts: Column) -> Column:
+    """array<struct<level, h, lines>> of the lines (lines 0) and the passages (their numbers of lines)."""
+    line = F.transform(F.filter(parts, lambda p: normal(p["line"]) != ""), lambda p: F.struct(p["depth"].alias("level"), F.xxhash64(normal(p["line"])).alias("h"), F.lit(0).cast("long").alias("lines")))
+    return F.concat(line, _passages(parts))
 
 
 def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -47,11 +60,14 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     quotes = F.filter("parts", lambda p: p["depth"] > 0)
     d = d.withColumn("depth", depth).withColumn("quoted", F.size(quotes))
     quoting = d.where(F.col("depth") > 0)
-    asked = quoting.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(quotes, lambda p: F.struct(p["depth"].alias("level"), F.xxhash64(normal(p["line"])).alias("h"), (normal(p["line"]) != "").alias("any"))))).alias("q")).where("q.any").select("conv_id", "turn", "q.level", "q.h").distinct()
-    # the first message that holds a line: one row per conversation and line, so the join below adds no rows
-    held = d.where(F.col("turn").isNotNull()).select("conv_id", "turn", F.explode(_keys(F.filter("parts", lambda p: p["depth"] == 0))).alias("h")).join(asked.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
+    asked = quoting.select("conv_id", "turn", F.explode(_keyed(F.col("parts"))).alias("q")).where("q.level > 0").groupBy("conv_id", "turn", "q.level", "q.h").agg(F.max("q.lines").alias("lines"))
+    # every message that holds an asked line or passage: a repeated message collects votes like the one it repeats
+    held = d.where(F.col("turn").isNotNull()).select("conv_id", "turn", F.explode(_keyed(F.col("parts"))).alias("q")).where("q.level = 0").select("conv_id", F.col("turn").alias("source"), "q.h").distinct().join(asked.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
     found = asked.join(held, ["conv_id", "h"]).where(F.col("source") < F.col("turn"))
-    votes = found.groupBy("conv_id", "turn", "source").agg(F.count_if(F.col("level") == 1).alias("direct"), F.count("*").alias("matched"))
+    lines, direct = F.col("lines"), F.col("level") == 1
+    votes = found.groupBy("conv_id", "turn", "source").agg(
+        F.greatest(F.count_if(direct & (lines == 0)), F.sum(F.when(direct, lines).otherwise(0))).alias("direct"), F.greatest(F.count_if(lines == 0), F.sum(lines)).alias("matched")
+    )
     links = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("direct", "matched", "source")).alias("b")).select("conv_id", "turn", F.col("b.source").alias("reply_to"), F.col("b.matched").alias("matched"))
     own_lines = F.filter("parts", lambda p, i: (p["depth"] == 0) & ~(F.rlike(p["line"], F.lit(_SAYS)) & (F.coalesce(F.get("parts", i + 1)["depth"], F.lit(0)) > 0)))
     bare = F.when(F.col("depth") == 0, F.col("text")).otherwise(F.regexp_replace(F.array_join(F.transform(own_lines, lambda p: p["line"]), "\n"), r"\A\s+|\s+\z|(?<=\n)\n+(?=\n)", ""))

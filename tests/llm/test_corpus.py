@@ -336,3 +336,19 @@ def test_quotes_are_linked_and_cut(spark):
     order = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["first_key"], r["second_key"]))]
     assert order == [0, 3, 1, 1, 2]
     assert chat.link_quotes(df.where("false")).count() == 0
+
+
+def test_quotes_of_repeated_lines_and_wrapped_passages(spark):
+    rows = [
+        (1, 0, "user", "Hello\nregards"),
+        (1, 1, "user", "Hello\nregards\nUse flour"),
+        (1, 2, "user", "> Hello\n> regards\n> Use flour\nYes"),
+        (1, 3, "user", "Hello\nregards"),
+        (1, 4, "user", "> Hello\n> regards\nWhich?"),
+        (2, 0, "user", "one two three four\nfive six seven\n\nbye"),
+        (2, 1, "user", "five six"),
+        (2, 2, "user", "> one two three\n> four five six\n> seven\nYes"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2] == 1 and got[2, 2] == 0
+    assert got[1, 4] == 3  # of equals the latest
