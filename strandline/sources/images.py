@@ -136,14 +136,16 @@ def preview_scale(width: int, height: int, longest: int = 1280) -> float:
 
 
 def probe(df: DataFrame, content: str) -> DataFrame:
-    """Adds width and height, 0 of what is no image. Only headers are parsed."""
+    """Adds width and height, 0 of what is no image. Only headers are parsed; a JPEG whose frame header is not in the first 65536 bytes is read whole."""
     ship(df.sparkSession)
 
     @F.pandas_udf("width int, height int")
     def run(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([bounds(x) for x in raw], columns=["width", "height"])
 
-    return df.withColumn("_b", run(F.substring(content, 1, 65536))).select("*", "_b.*").drop("_b")
+    late = (F.col("_b.width") == 0) & (F.length(content) > 65536) & (F.hex(F.substring(content, 1, 2)) == "FFD8")
+    found = df.withColumn("_b", run(F.substring(content, 1, 65536))).withColumn("_w", run(F.when(late, F.col(content))))
+    return found.withColumn("_b", F.when(late, F.col("_w")).otherwise(F.col("_b"))).select("*", "_b.*").drop("_b", "_w")
 
 
 def row_range(px: Column, width: Column, height: Column, top: Column, bottom: Column) -> Column:

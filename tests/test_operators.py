@@ -300,3 +300,11 @@ def test_library(spark):
     files = spark.createDataFrame([("f1", 10), ("f2", 5)], "path string, length long")
     gone, report = library.swept(files, files.where("path = 'f1'"))
     assert [r["path"] for r in gone.collect()] == ["f2"] and tuple(report.first()) == (2, 15, 1, 10)
+
+
+def test_probe_finds_a_late_jpeg_header(spark):
+    segment = b"\xff\xe2" + (65000).to_bytes(2, "big") + bytes(64998)
+    frame = b"\xff\xc0" + (17).to_bytes(2, "big") + b"\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"\x03" + bytes(9)
+    rows = [(b"\xff\xd8" + segment * n + frame + b"\xff\xd9",) for n in (0, 2)] + [(b"\xff\xd8" + segment * 2,), (None,)]
+    got = images.probe(spark.createDataFrame(rows, "content binary"), "content").collect()
+    assert sorted((r["width"], r["height"]) for r in got) == [(0, 0), (0, 0), (40, 30), (40, 30)]
