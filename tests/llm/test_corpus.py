@@ -310,7 +310,25 @@ def test_toxicity_without_both_labels(spark):
     for labels in ([], [(1, 0)]):
         model = toxicity.fit_on(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert [r["score"] for r in toxicity.score(docs, model).collect()] == [0.0, 0.0]
-    assert toxicity.score(docs.where("false"), toxicity.fit([], [])).count() == 0
+        assert toxicity.keep_ordinary(docs, model).count() == 2
+    assert toxicity.score(docs.where("false"), model).count() == 0
+    # only toxic labels: the score says so, but nothing is rejected for want of a model
+    model = toxicity.fit_on(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert [r["score"] for r in toxicity.score(docs, model).collect()] == [1.0, 1.0] and toxicity.keep_ordinary(docs, model).count() == 2
+
+
+def test_toxicity_windows_hold_every_byte():
+    w = toxicity.words(b"a " + b"x" * 1000 + b" b")
+    assert b"".join(w) == b"a" + b"x" * 1000 + b"b" and max(map(len, w)) == toxicity.PIECE
+    assert toxicity.windows([b"a", b"b", b"c"], 2) == [b" a b ", b" c "]
+
+
+def test_gain_is_located_at_the_word_that_makes_it():
+    plain = b" ".join(w.encode() for w in WORDS)
+    pair = toxicity.compressors(plain, b" vilexgrumbo ", 4)
+    w = b"w1 w2 w3 w4 w5 vilexgrumbo w6 w7 w8 w9 w10".split()
+    g = toxicity.gains(toxicity.windows(w, toxicity.PART), pair)
+    assert [x[2] for x in toxicity.gaining(w, g, pair, narrow=True)] == [b" vilexgrumbo "]
 
 
 def test_quotes_are_linked_and_cut(spark):
