@@ -1,4 +1,4 @@
-"""Natural order of names: digit runs by value, other text without regard to case."""
+"""Natural order of names: digit runs that fit 64 bits by value, longer ones after them as text, other text without regard to case."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ def natural_key(name: Column) -> Column:
     def one(x: Column) -> Column:
         digits = F.rlike(x, F.lit("^[0-9]+$"))
         kind = F.when(digits, 1).when(F.lower(x) < "0", 0).otherwise(2)
-        return F.struct(kind.alias("kind"), F.when(digits, x.cast("decimal(38,0)")).alias("number"), F.when(digits, F.lit("")).otherwise(F.lower(x)).alias("text"))
+        number = x.try_cast("bigint")
+        return F.struct(kind.alias("kind"), F.when(digits, F.coalesce(number, F.lit((1 << 63) - 1))).alias("number"), F.when(digits & number.isNotNull(), F.lit("")).otherwise(F.lower(x)).alias("text"))
 
     return F.transform(parts, one)

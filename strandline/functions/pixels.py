@@ -88,6 +88,31 @@ def rows_continue(a: Column, b: Column, delta, tau: int = 24, least: float = 0.9
     return F.coalesce(match_fraction(a, b, delta, tau) >= least, F.lit(False))
 
 
+def seam_fraction(bottom: Column, bottom_width: Column, top: Column, top_width: Column, delta, rows: int = 4, tau: int = 24) -> Column:
+    """Share of close pixels where one image stands on another: the last rows of bottom, upward, against the first of top, downward.
+
+    The narrower width, both centred, is sampled at about 256 columns; the pair of touching rows counts twice. Null if a side holds no row.
+    """
+    w = F.least(bottom_width, top_width)
+    high = lambda px, width: F.floor(F.size(px) / width).cast("int")
+    n = F.least(F.lit(rows), high(bottom, bottom_width), high(top, top_width))
+    step = F.greatest(F.lit(1), F.floor(w / 256)).cast("int")
+    left = lambda width: F.floor((width - w) / 2).cast("int")
+
+    def close(r: Column, x: Column) -> Column:
+        a = F.get(bottom, (high(bottom, bottom_width) - 1 - r) * bottom_width + left(bottom_width) + x)
+        b = F.get(top, r * top_width + left(top_width) + x)
+        return F.when(delta(a, b) <= tau, F.when(r == 0, 2).otherwise(1)).otherwise(0)
+
+    columns = F.sequence(F.lit(0), w - 1, step)
+    hits = F.aggregate(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.transform(columns, lambda x: close(r, x)))), F.lit(0), lambda t, x: t + x)
+    return F.when((w > 0) & (n > 0), hits / ((n + 1) * F.size(columns)))
+
+
+def seam_continues(bottom: Column, bottom_width: Column, top: Column, top_width: Column, delta, least: float = 0.9) -> Column:
+    return F.coalesce(seam_fraction(bottom, bottom_width, top, top_width, delta) >= least, F.lit(False))
+
+
 def paper_bin(lum: Column) -> Column:
     """Bins 0..15 of the sampled row, for paper_estimate."""
     return F.transform(strided(lum, 64), lambda v: F.least(F.lit(15), F.greatest(F.lit(0), F.shiftright(v * 16, 8))))
@@ -109,6 +134,16 @@ def effective_window(height: Column, cut_top: Column, cut_bottom: Column) -> tup
     return top, F.least(F.greatest(height - cut_bottom, top + 1), height)
 
 
+def preview_scale(width: Column, height: Column, longest: int = 1280) -> Column:
+    """By how much a preview is smaller, 1 at most."""
+    return F.least(F.lit(1.0), longest / F.greatest(width, height, F.lit(1)))
+
+
+def sample_size(count: Column, most: int = 16_000_000) -> Column:
+    """The least power of two by which both sides are divided so that at most most pixels are left."""
+    return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.pow(F.lit(2), k).cast("int")), lambda n: F.floor(count / (n.cast("long") * n)) <= most), F.lit(0))
+
+
 def width_confidence(difference: Column, close: float = 0.2) -> Column:
     return F.when(difference <= close, 1.0).when(difference <= 0.5, 0.7).otherwise(0.4)
 

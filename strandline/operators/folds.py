@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandline.runtime import ship
 
@@ -21,7 +22,10 @@ Fold = Callable[[Iterator[tuple]], Iterable[tuple]]
 
 
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Fold, fields: str, batch: int = 20_000) -> DataFrame:
-    """keys and fields of what fold yields for each group. fold gets the group's rows, in order, as tuples of columns."""
+    """keys and fields of what fold yields for each group. fold gets the group's rows, in order, as tuples of columns.
+
+    Rows come in Arrow batches, so whole numbers stay exact beside nulls. A null key is a group of its own.
+    """
     ship(df.sparkSession)
     picked = df.select(*keys, *order, *columns)
     names = [f"k{i}" for i in range(len(keys))] + [f"o{i}" for i in range(len(order))] + [f"c{i}" for i in range(len(columns))]
@@ -30,16 +34,18 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], columns: list[
     schema = T.StructType([T.StructField(k, f.dataType) for k, f in zip(keys, picked.schema.fields)] + T.StructType.fromDDL(fields).fields)
     nk, skip = len(keys), len(keys) + len(order)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for f in frames for r in f.astype(object).where(f.notna(), None).itertuples(index=False, name=None))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], schema=types)
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         out: list[tuple] = []
         for key, group in groupby(rows, key=itemgetter(*range(nk)) if nk > 1 else lambda r: (r[0],)):
             for x in fold(r[skip:] for r in group):
                 out.append((*key, *x))
                 if len(out) >= batch:
-                    yield pd.DataFrame(out, columns=schema.names)
+                    yield made(out)
                     out = []
         if out:
-            yield pd.DataFrame(out, columns=schema.names)
+            yield made(out)
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
 from strandline.operators.folds import fold_sorted
 
 
@@ -42,7 +43,7 @@ def bundles_of(sheets: Iterable[tuple], limit: int) -> Iterator[tuple[list[tuple
 
 
 def by_height(df: DataFrame, keys: list[str], order: str, height: str, limit: int, safe: str | None = None, linked: str | None = None) -> DataFrame:
-    """keys, order, height, bundle (from 1), tall, seam_cut per sheet. safe and linked: boolean columns, true and false if not given."""
+    """keys, order, height, bundle (from 1), tall, seam_cut per sheet. safe and linked: boolean columns, true and false if not given or null; a null height is 0."""
 
     def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         for n, (sheets, tall, seam) in enumerate(bundles_of(rows, limit), 1):
@@ -51,14 +52,15 @@ def by_height(df: DataFrame, keys: list[str], order: str, height: str, limit: in
 
     d = df.withColumn("_s", F.coalesce(F.col(safe), F.lit(True)) if safe else F.lit(True)).withColumn("_l", F.coalesce(F.col(linked), F.lit(False)) if linked else F.lit(False))
     kind = df.schema[order].dataType.simpleString()
-    return fold_sorted(d.withColumn("_h", F.col(height).cast("long")), keys, [order], [order, "_h", "_s", "_l"], fold, f"`{order}` {kind}, `{height}` long, bundle long, tall boolean, seam_cut boolean")
+    return fold_sorted(d.withColumn("_h", F.coalesce(F.col(height).cast("long"), F.lit(0))), keys, [order], [order, "_h", "_s", "_l"], fold, f"`{order}` {kind}, `{height}` long, bundle long, tall boolean, seam_cut boolean")
 
 
 def by_number(df: DataFrame, keys: list[str], order: str, size: int, height: str | None = None, limit: int = 0) -> DataFrame:
     """bundle (from 1) of size sheets each; tall: whether the bundle holds a sheet above limit."""
-    n = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / max(1, size)) + 1
-    d = df.withColumn("bundle", n.cast("long"))
-    tall = F.max(F.col(height) > limit).over(Window.partitionBy(*keys, "bundle")) if height and limit > 0 else F.lit(False)
+    d = ordered.running_sum(ordered.dealt(df, keys, order), keys, order, F.lit(1), "_above").drop(ordered.PART)
+    d = d.withColumn("bundle", (F.floor(F.col("_above") / max(1, size)) + 1).cast("long")).drop("_above")
+    # a bundle has size rows, so this window is short
+    tall = F.coalesce(F.max(F.col(height) > limit).over(Window.partitionBy(*keys, "bundle")), F.lit(False)) if height and limit > 0 else F.lit(False)
     return d.withColumn("tall", tall)
 
 
@@ -81,13 +83,12 @@ def flag_reason(tall: Column, forced: Column, seam: Column) -> Column:
     return F.when(tall, F.lit("tall")).when(forced, F.lit("forced")).when(seam, F.lit("seam"))
 
 
-def manifest(bundled: DataFrame, keys: list[str], height: str, width: str | None = None) -> DataFrame:
-    """One row per bundle: sheets, height, widest, flags and their reason."""
-    aggregates = [F.count("*").alias("sheets"), F.sum(height).alias("total_height"), F.max(width or height).alias("widest"), F.bool_or("tall").alias("tall"), F.bool_or("seam_cut").alias("seam_cut")]
-    return bundled.groupBy(*keys, "bundle").agg(*aggregates).withColumn("reason", flag_reason(F.col("tall"), F.lit(False), F.col("seam_cut")))
+def manifest(bundled: DataFrame, keys: list[str], height: str, width: str | None = None, forced: Column | None = None) -> DataFrame:
+    """One row per bundle: sheets, height, widest, flags and their reason. forced: whether a row's boundary was forced."""
+    aggregates = [F.count("*").alias("sheets"), F.sum(height).alias("total_height"), F.max(width or height).alias("widest"), F.bool_or("tall").alias("tall"), F.bool_or("seam_cut").alias("seam_cut"), F.coalesce(F.bool_or(F.lit(False) if forced is None else forced), F.lit(False)).alias("_forced")]
+    return bundled.groupBy(*keys, "bundle").agg(*aggregates).withColumn("reason", flag_reason(F.col("tall"), F.col("_forced"), F.col("seam_cut"))).drop("_forced")
 
 
 def running_offset(df: DataFrame, keys: list[str], order: str, height: str, out: str = "offset") -> DataFrame:
-    """out: the sum of the heights before the row."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.sum(height).over(w), F.lit(0)).cast("long"))
+    """out: the sum of the heights before the row, in two phases; null heights count 0."""
+    return ordered.running_sum(ordered.dealt(df, keys, order), keys, order, F.col(height), out).drop(ordered.PART)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
+
 
 def as_of(df: DataFrame, keys: list[str], order: list[str], match: Column, value: Column, out: str) -> DataFrame:
     """out: value of the last row of the group at or before this one where match holds."""
@@ -13,20 +15,17 @@ def as_of(df: DataFrame, keys: list[str], order: list[str], match: Column, value
 
 
 def page_at(offsets: DataFrame, points: DataFrame, keys: list[str], offset: str, point: str, value: str) -> DataFrame:
-    """points with value of the last offset at or below point: both sides in one sort instead of a range join. Of equal offsets the greatest value."""
+    """points with value of the last offset at or below point: both sides in one order instead of a range join, in two phases. Of equal offsets the greatest value."""
     a = offsets.select(*keys, F.col(offset).alias("_at"), F.lit(0).alias("_side"), F.col(value), *(F.lit(None).cast(points.schema[c].dataType).alias(c) for c in points.columns if c not in keys))
     b = points.select(*keys, F.col(point).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(offsets.schema[value].dataType).alias(value), *(c for c in points.columns if c not in keys))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", value).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn(value, F.last(value, ignorenulls=True).over(w))
-    return both.where("_side = 1").drop("_at", "_side")
+    both = ordered.last_known(ordered.dealt(a.unionByName(b), keys, "_at"), keys, ["_at", "_side", value], F.col(value), "_found")
+    return both.where("_side = 1").drop("_at", "_side", ordered.PART, value).withColumnRenamed("_found", value)
 
 
 def adjacent_pairs(df: DataFrame, keys: list[str], order: str, linked: Column, columns: list[str]) -> DataFrame:
     """keys, a, b: order of each row and the next where linked holds; linked sees columns, and the next row's as next_<column>."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = df
-    for c in [*columns, order]:
-        d = d.withColumn(f"next_{c}", F.lead(c).over(w))
+    picked = list(dict.fromkeys([*keys, order, *columns]))
+    d = ordered.next_values(ordered.dealt(df.select(*picked), keys, order), keys, order, list(dict.fromkeys([*columns, order])))
     return d.where(F.col(f"next_{order}").isNotNull() & linked).select(*keys, F.col(order).alias("a"), F.col(f"next_{order}").alias("b"))
 
 

@@ -84,5 +84,13 @@ def gate(df: DataFrame, keys: list[str], order: str, matches, vec: str, least: i
 
 
 def crop_decision(score_tier: Column, in_gate: Column) -> Column:
-    """Crop at once on a strong template; on a medium one, or on the gate alone, if the gate agrees."""
-    return (score_tier == "strong") | in_gate
+    """Crop at once on a strong template; on a medium one only if the gate agrees; without a template if the gate holds the page."""
+    return F.when(score_tier == "strong", F.lit(True)).when(score_tier == "medium", in_gate).otherwise(in_gate)
+
+
+def side_crops(df: DataFrame, keys: list[str], order: str, side: str, matches, least: int = 3, out: str = "crop") -> DataFrame:
+    """out: whether this side of a page is cropped, from the columns <side> (its edge's vector) and <side>_score (of its best template)."""
+    from strandline.functions.pixels import tier
+
+    d = gate(df, keys, order, matches, side, least, "_gate")
+    return d.withColumn(out, crop_decision(tier(F.coalesce(f"{side}_score", F.lit(0.0))), F.col("_gate"))).drop("_gate")

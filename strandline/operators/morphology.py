@@ -122,6 +122,16 @@ def touches_edge(px: np.ndarray, top: bool, dark: int = 28, run: int = 10, rows:
     return bool((~structured & (longest >= w // 4)).any())
 
 
+def has_content(px: np.ndarray, spread: int = 64) -> bool:
+    """The array form of pixels.has_content for a patch of packed pixels."""
+    flat = px.reshape(-1)
+    if not len(flat):
+        return False
+    s = flat[:: max(1, len(flat) // 512)].astype(np.int64)
+    sums = (s >> 16 & 255) + (s >> 8 & 255) + (s & 255)
+    return bool(sums.max() - sums.min() > spread)
+
+
 def verified_cut(px: np.ndarray, cut: int, edge: int = 24, spread: int = 40, half: int = 320, guard: int = 8, reach: int = 300, scan_width: int = 480) -> tuple[int, bool]:
     """(row, bad): cut, or the nearest free row of its surroundings at full size (of equal distances the upper); bad where there is none."""
     h, w = px.shape

@@ -5,37 +5,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.operators.folds import fold_sorted
 
 
-def divided(dividers: list[int], a: int, b: int) -> bool:
-    """Whether a divider row lies in a..b."""
-    from bisect import bisect_left
-
-    i = bisect_left(dividers, a)
-    return i < len(dividers) and dividers[i] <= b
-
-
-def blocks_of(lines: Iterator[tuple], dividers: list[int] | None = None, factor: float = 5.0, overlap: float = 0.3, pad: int = 10, single: tuple[int, int] = (8, 40)) -> Iterator[tuple[int, int, int]]:
-    """(first row, last row, lines) of blocks of lines (top, bottom, left, right), sorted by top.
+def blocks_of(lines: Iterator[tuple], factor: float = 5.0, overlap: float = 0.3, pad: int = 10, single: tuple[int, int] = (8, 40)) -> Iterator[tuple[int, int, int]]:
+    """(first row, last row, lines) of blocks of lines (top, bottom, left, right), sorted by top; a divider is (row, null, null, null), before a line of its row.
 
     A line joins the block above if the gap is at most factor times the taller height, they overlap sideways by more than overlap of the narrower, and
     no divider lies between. Blocks of several lines are widened by pad; a single one by its height within bounds.
     """
     held: list | None = None  # top, bottom, left, right, tallest, count
+    divider = -1  # the last one seen
 
     def done() -> tuple[int, int, int]:
         by = pad if held[5] > 1 else min(max(held[4], single[0]), single[1])
         return max(0, held[0] - by), held[1] + by, held[5]
 
     for top, bottom, left, right in lines:
+        if bottom is None:
+            divider = top
+            continue
         high = max(1, bottom - top)
         if held:
             narrow = max(1, min(held[3] - held[2], right - left))
             close = top - held[1] <= int(factor * max(held[4], high))
             aligned = (min(held[3], right) - max(held[2], left)) / narrow > overlap
-            if close and aligned and not divided(dividers or [], held[1], top):
+            if close and aligned and divider < held[1]:
                 held = [held[0], max(held[1], bottom), min(held[2], left), max(held[3], right), max(held[4], high), held[5] + 1]
                 continue
             yield done()
@@ -44,6 +41,12 @@ def blocks_of(lines: Iterator[tuple], dividers: list[int] | None = None, factor:
         yield done()
 
 
-def text_blocks(df: DataFrame, keys: list[str], top: str = "top", bottom: str = "bottom", left: str = "left", right: str = "right", dividers: list[int] | None = None) -> DataFrame:
-    """keys, first, last, lines: blocks of each group's text lines."""
-    return fold_sorted(df, keys, [top], [top, bottom, left, right], lambda rows: blocks_of(rows, dividers), "first long, last long, lines long")
+def text_blocks(df: DataFrame, keys: list[str], top: str = "top", bottom: str = "bottom", left: str = "left", right: str = "right", dividers: DataFrame | None = None) -> DataFrame:
+    """keys, first, last, lines: blocks of each group's text lines. dividers: keys and top of each group's divider rows.
+
+    Lines with a null edge are left out.
+    """
+    d = df.select(*keys, F.col(top).alias("_t"), F.col(bottom).alias("_b"), F.col(left).alias("_l"), F.col(right).alias("_r")).dropna(subset=["_t", "_b", "_l", "_r"]).withColumn("_k", F.lit(1))
+    if dividers is not None:
+        d = d.unionByName(dividers.select(*keys, F.col(top).alias("_t"), F.lit(0).alias("_k")), allowMissingColumns=True)
+    return fold_sorted(d, keys, ["_t", "_k"], ["_t", "_b", "_l", "_r"], blocks_of, "first long, last long, lines long")

@@ -87,18 +87,21 @@ def build(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     pieces = pieces.join(scanned.select("series", "page", "px", "width", "height"), ["series", "page"]).join(widest, "series")
     rendered = F.greatest(F.lit(1), F.floor((F.col("end") - F.col("start")) * F.col("strip_width") / F.col("width"))).cast("long")
 
-    @F.pandas_udf("top boolean, bottom boolean")
+    @F.pandas_udf("top boolean, bottom boolean, head boolean, foot boolean")
     def edges(px: pd.Series, width: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
         out = []
         for p, wd, s, e in zip(px, width, start, end):
             im = np.asarray(p, dtype=np.int64)[: len(p) // wd * wd].reshape(-1, wd)
-            out.append((morphology.touches_edge(im[s : s + 48], True), morphology.touches_edge(im[max(0, e - 48) : e], False)))
-        return pd.DataFrame(out, columns=["top", "bottom"])
+            head, foot = im[s : s + 48], im[max(0, e - 48) : e]
+            out.append((morphology.touches_edge(head, True), morphology.touches_edge(foot, False), morphology.has_content(head), morphology.has_content(foot)))
+        return pd.DataFrame(out, columns=["top", "bottom", "head", "foot"])
 
     pieces = pieces.withColumn("edge", edges("px", "width", "start", "end")).withColumn("rendered", rendered).drop("px")
     order = Window.partitionBy("series").orderBy("page", "n")
     previous_page, previous_edge = F.lag("page").over(order), F.lag("edge.bottom").over(order)
-    linked = (previous_page != F.col("page")) & (previous_edge | F.col("edge.top"))
+    # blank margins that meet are no reason to keep pages together
+    content = F.lag("edge.foot").over(order) | F.col("edge.head")
+    linked = (previous_page != F.col("page")) & content & (previous_edge | F.col("edge.top"))
     pieces = pieces.withColumn("segment", F.row_number().over(order)).withColumn("linked", F.coalesce(linked, F.lit(False)))
     forced = kept.where("forced").select("series", "page").distinct().withColumn("forced", F.lit(True))
     pieces = shared_table(pieces.select("series", "segment", "page", "start", "end", "rendered", "linked"))

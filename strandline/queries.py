@@ -16,7 +16,7 @@ from strandline.functions.natural import natural_key
 from strandline.operators import grouping, lookup, masks, matching, morphology, planner, rows, textblocks
 from strandline.plans import library
 from strandline.runtime import table
-from strandline.sources import archives
+from strandline.sources import archives, images
 from strandline.streaming.sessions import sessions
 
 LIMIT = 10_000
@@ -506,3 +506,100 @@ def q_cache_report(spark: SparkSession, d: str) -> DataFrame:
 def q_event_sessions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
     return sessions(e, ["user_id"], "t", "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("first_ts"), "events")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END::INT AS width, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END::INT AS height FROM part")
+def q_bounds(spark: SparkSession, d: str) -> DataFrame:
+    start = F.when(F.col("p_partkey") % 3 == 0, F.lit("89504E470D0A0000")).otherwise(F.lit("89504E470D0A1A0A"))
+    four = lambda c: F.lpad(F.hex(c), 8, "0")
+    x = table(spark, d, "part").select("p_partkey", F.unhex(F.concat(start, F.lit("0000000D49484452"), four(F.col("p_partkey")), four(F.col("p_size").cast("long")))).alias("content"))
+    return images.probe(x, "content").select("p_partkey", "width", "height")
+
+
+PACKED = "p AS (SELECT p_partkey, p_partkey * 7919 % 16777216 AS a, p_partkey * 104729 % 16777216 AS b FROM part), c AS (SELECT p_partkey, a >> 16 & 255 AS ar, a >> 8 & 255 AS ag, a & 255 AS ab, b >> 16 & 255 AS br, b >> 8 & 255 AS bg, b & 255 AS bb FROM p)"
+
+
+@query(f"WITH {PACKED} SELECT p_partkey, ((77 * ar + 150 * ag + 29 * ab) >> 8)::BIGINT AS luma, (abs(ar - br) + abs(ag - bg) + abs(ab - bb))::BIGINT AS delta FROM c")
+def q_luma_delta(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("p_partkey") * 7919 % 16777216, F.col("p_partkey") * 104729 % 16777216
+    return table(spark, d, "part").select("p_partkey", pixels.luma(a).cast("long").alias("luma"), pixels.pixel_delta(a, b).cast("long").alias("delta"))
+
+
+@query("""SELECT lang, source, count(*) AS sheets, CASE WHEN bool_or(n_chars > 10000) THEN 'tall' WHEN bool_or(doc_id % 11 = 0) THEN 'forced' WHEN bool_or(doc_id % 5 = 0) THEN 'seam' END AS reason FROM documents GROUP BY lang, source""")
+def q_flag_reason(spark: SparkSession, d: str) -> DataFrame:
+    x = docs(spark, d).withColumn("bundle", F.lit(1)).withColumn("tall", F.col("n_chars") > LIMIT).withColumn("seam_cut", F.col("doc_id") % 5 == 0)
+    return grouping.manifest(x, ["lang", "source"], "n_chars", forced=F.col("doc_id") % 11 == 0).select("lang", "source", "sheets", "reason")
+
+
+@query("""SELECT p_partkey, f AS format, CASE f WHEN 'JPG' THEN 'jpg' WHEN 'PNG' THEN 'png' ELSE 'webp' END AS ending, CASE f WHEN 'JPG' THEN 'image/jpeg' WHEN 'PNG' THEN 'image/png' ELSE 'image/webp' END AS mime FROM (SELECT p_partkey, ['JPG','PNG','WEBP'][p_partkey % 3 + 1] AS f FROM part)""")
+def q_formats(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "part").select("p_partkey", F.element_at(F.array(F.lit("JPG"), F.lit("PNG"), F.lit("WEBP")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("format"))
+    return x.select("p_partkey", "format", names.image_extension(F.col("format")).alias("ending"), names.mime(F.col("format")).alias("mime"))
+
+
+@query("SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN '_' || p_size::VARCHAR ELSE '' END || '.zip' AS pack FROM part")
+def q_pack_stamp(spark: SparkSession, d: str) -> DataFrame:
+    stamp = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.lit(""))
+    return table(spark, d, "part").select("p_partkey", names.pack_name(F.concat(F.lit("box/"), F.col("p_name"), F.lit(".cbr")), F.lit("ZIP"), stamp).alias("pack"))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey")
+def q_new_uris(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return library.new_uris(table(spark, d, "orders").select("o_custkey", "o_orderkey"), known, "o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id, busy AND late AS both, busy OR late AS either FROM (SELECT event_id, event_type = 'error' AS busy, value > 50 AS late FROM events)")
+def q_mask_algebra(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", (F.col("event_type") == "error").alias("busy"), (F.col("value") > 50).alias("late"))
+    return e.select("event_id", masks.both("busy", "late").alias("both"), masks.either("busy", "late").alias("either"))
+
+
+@query(_cuts_sql("coalesce(max(r.y) FILTER (NOT busy), p.y + 20)", 10).replace("NOT busy AND r.y BETWEEN", "r.y BETWEEN").replace("FITS", "p.y + 20 < r.h"))
+def q_hard_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d, how="hard")
+
+
+SEAM = "list_sum([CASE WHEN abs(lum[(7 - i // 8) * 8 + i % 8 + 1] - lum[64 - i]) <= 24 THEN CASE WHEN i < 8 THEN 2 ELSE 1 END ELSE 0 END FOR i IN range(32)]) / 40.0"
+
+
+@query(f"WITH {LUM} SELECT vec_id, ({SEAM})::DOUBLE AS fraction FROM v")
+def q_seam_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """A vector as an image of 8 x 8 pixels, standing on itself turned by 180 degrees."""
+    x = vectors(spark, d)
+    return x.select("vec_id", pixels.seam_fraction(F.col("lum"), F.lit(8), F.reverse("lum"), F.lit(8), lambda a, b: F.abs(a - b)).alias("fraction"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_brand ELSE 'arsip' END AS name FROM part")
+def q_display_names(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    path = F.when(k == 1, F.concat(F.lit("a/b/"), F.col("p_brand"))).otherwise(F.lit("a/"))
+    return table(spark, d, "part").select("p_partkey", names.display_name(F.when(k == 0, F.col("p_name")), path).alias("name"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS series, unnest([1, 2, 3]) - 1 AS page, o_orderpriority AS a FROM orders) SELECT series, page::INT AS page, 'u' || page AS uri, CASE WHEN page = 0 THEN a ELSE 'Halaman ' || (page + 1) END AS title FROM p""")
+def q_pages_of(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("series"), F.array(F.lit("u0"), F.lit("u1"), F.lit("u2")).alias("uris"), F.array("o_orderpriority").alias("titles"))
+    return library.pages_of(x)
+
+
+@query("""SELECT source AS archive, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS n, printf('%03d_d%d.png', row_number() OVER (PARTITION BY source ORDER BY doc_id), doc_id) AS file FROM documents""")
+def q_entry_numbers(spark: SparkSession, d: str) -> DataFrame:
+    x = docs(spark, d).select(F.col("source").alias("archive"), "doc_id", F.concat(F.lit("d"), F.col("doc_id"), F.lit(".png")).alias("entry"), F.lit(0).alias("position"))
+    return archives.numbered_entries(x, ["archive"]).select("archive", "doc_id", "n", "file")
+
+
+@query("SELECT doc_id, least(1.0, 1280.0 / greatest(n_chars, 800))::DOUBLE AS preview, [1 << k FOR k IN range(20) IF n_chars * 800 < 16000001 * (1 << (2 * k))][1]::INT AS sample FROM documents WHERE n_chars IS NOT NULL")
+def q_scales(spark: SparkSession, d: str) -> DataFrame:
+    x = docs(spark, d).where("n_chars is not null")
+    return x.select("doc_id", pixels.preview_scale(F.lit(800), F.col("n_chars")).alias("preview"), pixels.sample_size(F.col("n_chars") * 800).alias("sample"))
+
+
+@query(f"""WITH {LUM}, {FIRST}, ends AS (SELECT label, max_by(lum, vec_id) AS fl FROM v GROUP BY label),
+m AS (SELECT vec_id, v.label, {FRACTION.format('ref')} >= 0.55 AS mf, {FRACTION.format('fl')} >= 0.55 AS ml, vec_id % 100 / 100.0 AS s FROM v JOIN ref USING (label) JOIN ends USING (label)),
+n AS (SELECT label, count_if(mf) AS nf, count_if(ml) AS nl FROM m GROUP BY label)
+SELECT vec_id, s >= 0.9 OR CASE WHEN nf >= 3 THEN mf WHEN nl >= 3 THEN ml ELSE false END AS crop FROM m JOIN n USING (label)""")
+def q_side_crops(spark: SparkSession, d: str) -> DataFrame:
+    x = vectors(spark, d).withColumn("lum_score", F.col("vec_id") % 100 / 100.0)
+    close = lambda a, b: F.coalesce(pixels.match_fraction(a, b, lambda p, q: F.abs(p - q)) >= 0.55, F.lit(False))
+    return matching.side_crops(x, ["label"], "vec_id", "lum", close).select("vec_id", "crop")

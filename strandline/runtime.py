@@ -19,7 +19,7 @@ _OWN_DIRS: dict[str, str] = {}
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so Python stages can import it there."""
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch) == "10000":  # the default; long texts make such batches too large
+    if spark.conf.get(batch, None) is None:  # not set: the default makes batches of long texts too large
         spark.conf.set(batch, "2000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
@@ -34,17 +34,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir or the context's checkpoint folder; a local one only if driver and executors are one process."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="strandline-shared-")
-            spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
-        found = _OWN_DIRS[app]
+        if not one_process(sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: executors of {sc.master} need a folder that all of them share")
+        found = _OWN_DIRS.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="strandline-shared-"))
     return found.rstrip("/")
 
 
+def one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -6,30 +6,34 @@ import json
 from dataclasses import asdict, dataclass, fields
 
 #: Choices of each enumerated field.
-CHOICES = {"format": ("JPG", "PNG", "WEBP"), "pack": ("ZIP", "CBZ", "FILES"), "rule": ("MAX_HEIGHT", "PAGES_PER_PACK", "WHOLE"), "strictness": ("LOOSE", "NORMAL", "STRICT"), "theme": ("SYSTEM", "LIGHT", "DARK")}
-#: edge, range and margin of row scans, and pages a banner needs, by strictness.
-PRESETS = {"LOOSE": (30, 52, 6, 4), "NORMAL": (24, 40, 10, 8), "STRICT": (18, 30, 14, 16)}
+CHOICES = {"image_format": ("JPG", "PNG", "WEBP"), "pack": ("ZIP", "CBZ", "FILES"), "rule": ("WHOLE", "MAX_HEIGHT", "PAGES_PER_PACK"), "strictness": ("LOOSE", "BALANCED", "STRICT"), "theme": ("SYSTEM", "LIGHT", "DARK"), "matte": ("WHITE", "BLACK", "CLEAR")}
+#: Edge, range and margin of row scans, and pages a banner needs, by strictness.
+PRESETS = {"LOOSE": (30, 52, 6, 4), "BALANCED": (24, 40, 10, 8), "STRICT": (18, 30, 14, 16)}
 
 
 @dataclass(frozen=True)
 class Settings:
-    format: str = "JPG"
+    image_format: str = "JPG"
+    jpg_quality: int = 90
+    webp_quality: int = 90
     pack: str = "ZIP"
+    series: str = "Series"
+    chapter: str = "1"
+    pattern: str = "{series}_ch{chapter}_{n}"
+    number_width: int = 3
     rule: str = "MAX_HEIGHT"
     max_height: int = 10_000
     pages_per_pack: int = 10
-    quality: int = 90
-    strictness: str = "NORMAL"
+    review_flags: bool = True
+    matte: str = "WHITE"
     theme: str = "SYSTEM"
-    banner_rows: int = 200
-    number_width: int = 3
-    pattern: str = "{series}_ch{chapter}_{n}"
-    series: str = ""
-    chapter: str = ""
+    strictness: str = "BALANCED"
+    banner_cut: bool = True
 
     @property
     def encode_quality(self) -> int:
-        return 100 if self.format == "PNG" else min(100, max(10, self.quality))
+        """Of the image format, between 10 and 100; PNG has no loss."""
+        return {"PNG": 100, "JPG": min(100, max(10, self.jpg_quality)), "WEBP": min(100, max(10, self.webp_quality))}[self.image_format]
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))

@@ -1,14 +1,16 @@
 """The operators against the values their rules imply, and against plain Python on random input."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import runtime
 from strandline.functions import names, pixels
 from strandline.functions.natural import natural_key
-from strandline.operators import grouping, lookup, masks, matching, morphology, planner, rows, textblocks
+from strandline.operators import grouping, lookup, masks, matching, morphology, ordered, planner, rows, textblocks
 from strandline.plans import library, strips
 from strandline.sources import archives, images
 from strandline.sources.settings import Settings
@@ -239,16 +241,92 @@ def test_images(spark):
 
 def test_settings():
     s = Settings()
-    assert (s.format, s.pack, s.rule, s.max_height, s.theme) == ("JPG", "ZIP", "MAX_HEIGHT", 10000, "SYSTEM")
-    assert Settings.from_json(Settings(format="PNG", quality=5).to_json()) == Settings(format="PNG", quality=5)
-    assert Settings.from_json('{"format": "TIFF", "quality": "x", "new": 1}') == s == Settings.from_json("broken") == Settings.from_json(None)
-    assert Settings(format="PNG").encode_quality == 100 and Settings(quality=3).encode_quality == 10
+    assert (s.image_format, s.pack, s.rule, s.max_height, s.theme) == ("JPG", "ZIP", "MAX_HEIGHT", 10000, "SYSTEM")
+    changed = Settings(image_format="PNG", jpg_quality=5, strictness="STRICT", matte="CLEAR", banner_cut=False)
+    assert Settings.from_json(changed.to_json()) == changed and Settings.from_json('{"strictness": "BALANCED"}') == s
+    assert Settings.from_json('{"image_format": "TIFF", "jpg_quality": "x", "new": 1}') == s == Settings.from_json("broken") == Settings.from_json(None)
+    assert Settings(image_format="PNG").encode_quality == 100 and Settings(jpg_quality=3).encode_quality == 10 and Settings(image_format="WEBP", webp_quality=70).encode_quality == 70
 
 
 def test_text_blocks():
     lines = [(10, 20, 0, 100), (30, 40, 10, 90), (200, 210, 0, 50), (215, 225, 500, 600)]
     assert list(textblocks.blocks_of(iter(lines))) == [(0, 50, 2), (190, 220, 1), (205, 235, 1)]
-    assert list(textblocks.blocks_of(iter(lines[:2]), dividers=[25]))[0][2] == 1
+    assert list(textblocks.blocks_of(iter([lines[0], (25, None, None, None), lines[1]])))[0][2] == 1
+
+
+def test_dividers_belong_to_their_group(spark):
+    lines = spark.createDataFrame([(g, t, t + 10, 0, 100) for g in ("a", "b") for t in (10, 30)] + [("b", None, 1, 1, 1)], "g string, top int, bottom int, left int, right int")
+    got = textblocks.text_blocks(lines, ["g"], dividers=spark.createDataFrame([("a", 25)], "g string, top int")).collect()
+    assert sorted((r["g"], r["lines"]) for r in got) == [("a", 1), ("a", 1), ("b", 2)]
+
+
+def test_folds_keep_long_ids_beside_nulls(spark):
+    big = (1 << 53) + 1
+    df = spark.createDataFrame([(big, 1, 5), (None, 1, None), (None, 2, 7), (big, 2, 4)], "k long, i long, h long")
+    got = grouping.by_height(df, ["k"], "i", "h", 8).collect()
+    assert sorted((r["k"] or 0, r["i"], r["h"], r["bundle"]) for r in got) == [(0, 1, 0, 1), (0, 2, 7, 1), (big, 1, 5, 1), (big, 2, 4, 2)]
+
+
+def test_natural_order_of_long_digit_runs(spark):
+    names = ["p" + "9" * 45, "p5", "p" + "1" * 45, "p9223372036854775807", "pa", "p0000000000000000000000000000012"]
+    got = [r["n"] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n"))).collect()]
+    assert got == ["p5", "p0000000000000000000000000000012", "p9223372036854775807", "p" + "1" * 45, "p" + "9" * 45, "pa"]
+
+
+def test_two_phase_windows_over_one_long_group(spark):
+    rng = random.Random(4)
+    rows = [(None if i % 7 == 0 else "g", i * 3 // 2, rng.choice([None, *range(9)])) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i long, h long").repartition(6)
+    parts = ordered.dealt(df, ["g"], "i", 6)
+    assert parts.where("g = 'g'").select(ordered.PART).distinct().count() > 2
+    summed = ordered.running_sum(parts, ["g"], "i", F.col("h"), "above").collect()
+    known = ordered.last_known(parts, ["g"], ["i", "h"], F.when(F.col("h") > 6, F.col("h")), "known").collect()
+    for g in (None, "g"):
+        mine = sorted((i, h or 0) for k, i, h in rows if k == g)
+        twice = {i for i, n in Counter(i for i, _ in mine).items() if n > 1}
+        above = dict(zip((i for i, _ in mine), np.cumsum([0] + [h for _, h in mine]).tolist()))
+        got = {r["i"]: r["above"] for r in summed if r["g"] == g and r["i"] not in twice}
+        assert got == {i: a for i, a in above.items() if i not in twice} and sum(r["g"] == g for r in summed) == len(mine)
+        last, want = None, {}
+        for i, h in mine:
+            last = h if h > 6 else last
+            want[i] = last
+        assert {r["i"]: r["known"] for r in known if r["g"] == g and r["i"] not in twice} == {i: v for i, v in want.items() if i not in twice}
+    few = df.where("g = 'g'").dropDuplicates(["i"])
+    order = sorted(r["i"] for r in few.collect())
+    nexts = ordered.next_values(ordered.dealt(few, ["g"], "i", 5), ["g"], "i", ["i", "h"]).collect()
+    assert sorted((r["i"], r["next_i"]) for r in nexts if r["next_i"] is not None) == list(zip(order, order[1:]))
+    assert [r["bundle"] for r in grouping.by_number(few, ["g"], "i", 25, "h", 8).orderBy("i").collect()] == [n // 25 + 1 for n in range(len(order))]
+
+
+def test_a_shared_folder_is_needed_where_executors_are_apart(spark):
+    assert runtime.one_process("local") and runtime.one_process("local[8]") and not runtime.one_process("local-cluster[2,1,1024]") and not runtime.one_process("yarn")
+
+    class Away:
+        class sparkContext:
+            master, applicationId = "yarn", "x"
+            getCheckpointDir = staticmethod(lambda: Away.there)
+
+        class conf:
+            get = staticmethod(lambda k, d=None: Away.set)
+
+    Away.there, Away.set = None, None
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(Away)
+    Away.there = "hdfs://a/b"
+    assert runtime.shared_dir(Away) == "hdfs://a/b"
+    Away.set = "hdfs://c/d/"
+    assert runtime.shared_dir(Away) == "hdfs://c/d"
+
+
+def test_seams(spark):
+    side = lambda a, b: [0xFF000000 if a <= i % 64 <= b else 0xFFFFFFFF for i in range(512)]
+    inner = [v if i < 64 * 6 else 0xFFFFFFFF for i, v in enumerate(side(10, 17))]
+    df = spark.createDataFrame([(side(10, 17), side(10, 17)), (side(10, 17), side(40, 47)), ([0xFFFFFFFF] * 512, [0xFFFFFFFF] * 256 + inner[:256]), ([], [1])], "a array<long>, b array<long>")
+    got = [r[0] for r in df.select(pixels.seam_continues(F.col("a"), F.lit(64), F.col("b"), F.lit(64), pixels.pixel_delta)).collect()]
+    assert got == [True, False, True, False]
+    assert morphology.has_content(np.array([[0xFFFFFF, 0]])) and not morphology.has_content(np.full((4, 4), 0xF0F0F0)) and not morphology.has_content(np.zeros((0, 4), np.int64))
 
 
 def test_series_of_pages_become_strips(spark):
