@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-Pass 1 cuts the page into blocks and decides those it can: by the element they stand in (article, menu, footer,
-form, ...), and else by length, share of stop words and share of link text. Pass 2 gives each block still
-open (short, or with few stop words) the label of its nearest decided neighbours.
+Pass 1 cuts the page into blocks and decides those it can by length, share of stop words and share of link text. Markup is one
+more feature: what stands in menus, footers, forms or elements named like them is bad, and inside an article less length and fewer stop words are
+asked for. Pass 2 gives each block still open (short, or with few stop words) the label of its nearest decided neighbours, those in the
+same container first.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from strandline.llm.shingles import slices
 from strandline.runtime import own, ship
 
 #: Frequent function words of the languages served.
@@ -39,50 +41,58 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small strike strong sub sup time tt u var".split())
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(?P<raw>script|style|title|xmp|noembed|noframes)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"(?P<k>class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"(?P<d>[^\"]*)\"|'(?P<s>[^']*)'|(?P<b>[^\s>]+)))?", re.I)
+#: Parts of a class that say how a page is laid out, not what the element holds (has-sidebar, share-enabled).
+LAYOUT = frozenset("has no with without is not enabled disabled open closed active visible hidden left right top bottom layout wrapper container".split())
+
+#: Attributes as browsers read them: a quote opens a value only right after the equals sign. Possessive, so that no page costs more than its length.
+_ATTRIBUTE = r"""[^\s>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
+_REST = rf"(?>[\s/]++|{_ATTRIBUTE}|=)*+"
+_TOKEN = re.compile(rf"<!--(?:.*?-->|.*\Z)|<(?P<raw>script|style|title|xmp|noembed|noframes)\b{_REST}>(?:.*?</(?P=raw)\s*>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>{_REST})>", re.S | re.I)
+_ATTR = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"\w+")
+NAMED, OUTSIDE = 1, 2  # bad by the name of an element, by the element itself
 
 
 @dataclass
 class Block:
     text: str
     links: int  # characters of it inside links
-    out: bool
-    inside: bool
+    out: int  # 0, NAMED or OUTSIDE
+    inside: bool  # of an article
     heading: bool
+    container: int
     label: str = ""
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
-    for m in _ATTR.finditer(attributes):
-        key, value = m["k"].lower(), m["d"] or m["s"] or m["b"] or ""
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if key in ("class", "id", "role"):
-            names = {p.lower() for p in _PARTS.findall(value)}
-            if names & OUT_NAMES or (names & HEAD_NAMES and not in_article):
-                return True
-    return False
+def _mark(name: str, attributes: str, in_article: bool) -> int:
+    """0, NAMED or OUTSIDE of an element by its attributes. An article or main element isn't out by its name; hidden elements are."""
+    out = 0
+    for key, *values in _ATTR.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+            return OUTSIDE
+        if key in ("class", "id", "role") and name not in IN:
+            for token in value.split():
+                parts = {x.lower() for x in _PARTS.findall(token)}
+                if not parts & LAYOUT and (parts & OUT_NAMES or (parts & HEAD_NAMES and not in_article)):
+                    out = NAMED
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, out, inside
+    stack: list[tuple[str, int, bool, int]] = []  # name, out, inside, container
     text: list[str] = []
-    links = anchor = 0
+    links = anchor = containers = 0
 
     def close() -> None:
         nonlocal links
         if text:
             squeezed = " ".join(htmllib.unescape("".join(text)).split())
             if squeezed:
-                _, is_out, inside = stack[-1] if stack else ("", False, False)
-                out.append(Block(squeezed, links, is_out, inside, any(s[0] in HEADINGS for s in stack[-2:])))
+                _, is_out, inside, container = stack[-1] if stack else ("", 0, False, 0)
+                out.append(Block(squeezed, links, is_out, inside, any(s[0] in HEADINGS for s in stack[-2:]), container))
             text.clear()
         links = 0
 
@@ -92,6 +102,10 @@ def blocks(page: str) -> list[Block]:
         if anchor:
             links += len(s)
 
+    # a tag that is cut off at the end of the page is none
+    last = page.rfind(">") + 1
+    if cut := re.search(r"<[a-zA-Z/!?]", page[last:]):
+        page = page[: last + cut.start()]
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -109,9 +123,7 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE:
             continue
         is_block = name in BLOCK
-        if is_block:
-            close()
-        elif name in OUT:
+        if is_block or name in OUT:
             close()
         if m["end"]:
             for i in range(len(stack) - 1, -1, -1):
@@ -122,65 +134,83 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if is_block:
-            while stack and stack[-1][0] in CLOSED_BY_BLOCK and not (stack[-1][0] == "li" and name in ("p", "ul", "ol", "div")) and not (stack[-1][0] == "dd" and name in ("p", "ul", "ol", "div")):
+            while stack and stack[-1][0] in CLOSED_BY_BLOCK and not (stack[-1][0] in ("li", "dd") and name in ("p", "ul", "ol", "div")):
                 stack.pop()
         if name in VOID or m["rest"].endswith("/"):
             continue
-        _, was_out, was_in = stack[-1] if stack else ("", False, False)
-        is_out = was_out or name in OUT or (name == "header" and not was_in) or (name not in ("body", "html") and _marked(m["rest"], was_in or name in IN))
-        stack.append((name, is_out, was_in or name in IN))
-    rest = page[at:]
-    if rest:
-        cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag cut off at the end of the page
-        add(rest[: cut.start()] if cut else rest)
+        _, was_out, was_in, container = stack[-1] if stack else ("", 0, False, 0)
+        is_out = max(was_out, OUTSIDE if name in OUT or (name == "header" and not was_in) else 0, _mark(name, m["rest"], was_in) if name not in ("body", "html") else 0)
+        if name == "main" and is_out == NAMED:
+            is_out = 0  # a page has one, whatever its wrappers are called
+        if is_block and name not in CLOSED_BY_BLOCK:
+            containers += 1
+            container = containers
+        stack.append((name, is_out, was_in or name in IN, container))
+    if page[at:]:
+        add(page[at:])
     close()
     return out
 
 
-def classify(found: list[Block], short: int = 70, long: int = 200, few: float = 0.15, most_links: float = 0.33) -> list[Block]:
-    """Labels good or bad. Inside an article everything that isn't menus and the like is good, and where a page has one, nothing else is."""
-    article = any(b.inside and not b.out for b in found)
-    for b in found:
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.out:
-            b.label = "bad"
-        elif article:
-            b.label = "good" if b.inside else "bad"
-        elif b.links > most_links * len(b.text):
-            b.label = "bad"
-        elif len(b.text) < short:
-            b.label = "short"
-        elif stops >= few:
-            b.label = "good"
-        else:
-            b.label = "near" if len(b.text) < long or stops > 0 else "bad"
-    # nearest decided block on either side, by position; the end of the page counts as bad
+def decide(b: Block, trusted: int, short: int = 70, few: float = 0.15, most_links: float = 0.33) -> str:
+    """Pass 1: good, bad, or open: short, or near (longer, with few stop words: tables, other languages)."""
+    if b.out >= trusted or b.links > most_links * len(b.text):
+        return "bad"
+    words = _WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if b.inside:
+        short, few = short // 2, few / 2
+    if len(b.text) < short:
+        return "short"
+    return "good" if stops >= few else "near"
+
+
+def inherit(found: list[Block], first: list[str]) -> list[str]:
+    """Pass 2: labels of the open blocks from the nearest decided ones on either side, in their own container if it has any; the page's ends count as bad."""
     n = len(found)
-    before, after = [(-1, "bad")] * n, [(n, "bad")] * n
-    seen = (-1, "bad")
+    sides = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        near: list[tuple[int, str] | None] = [None] * n
+        home: list[tuple[int, str] | None] = [None] * n
+        seen, by = None, {}
+        for i in order:
+            near[i], home[i] = seen, by.get(found[i].container)
+            if first[i] in ("good", "bad"):
+                seen = by[found[i].container] = (i, first[i])
+        sides.append((near, home))
+    (before, home_before), (after, home_after) = sides
+    out = list(first)
     for i, b in enumerate(found):
-        before[i] = seen
-        if b.label in ("good", "bad"):
-            seen = (i, b.label)
-    seen = (n, "bad")
-    for i in range(n - 1, -1, -1):
-        after[i] = seen
-        if found[i].label in ("good", "bad"):
-            seen = (i, found[i].label)
-    decided = [b.label for b in found]
-    for i, b in enumerate(found):
-        if b.label in ("short", "near"):
-            (p, lp), (q, lq) = before[i], after[i]
-            if b.heading:
-                decided[i] = lq  # a heading goes with what follows it
-            elif lp == lq:
-                decided[i] = lp
-            elif b.label == "near":
-                decided[i] = "good"
+        if first[i] in ("good", "bad"):
+            continue
+        p, q = (home_before[i], home_after[i]) if home_before[i] or home_after[i] else (before[i] or (-1, "bad"), after[i] or (n, "bad"))
+        if p is None or q is None:
+            out[i] = (p or q)[1]
+        elif b.heading:
+            out[i] = q[1]  # a heading goes with what follows it
+        elif p[1] == q[1]:
+            out[i] = p[1]
+        else:
+            out[i] = "good" if first[i] == "near" or q[0] - i == i - p[0] else p[1] if i - p[0] < q[0] - i else q[1]
+    return out
+
+
+def classify(found: list[Block]) -> list[Block]:
+    """Labels good or bad by the two passes.
+
+    Where no block is decided good, the open ones of an article are, or else the longer ones of the page; where there is none of these either, names of
+    elements are not trusted and the rules judge what they had put aside.
+    """
+    for trusted in (NAMED, OUTSIDE):
+        first = [decide(b, trusted) for b in found]
+        if "good" not in first:
+            if any(x != "bad" and b.inside for b, x in zip(found, first)):
+                first = ["good" if x != "bad" and b.inside else "bad" for b, x in zip(found, first)]
             else:
-                decided[i] = lp if i - p < q - i else lq if q - i < i - p else "good"
-    for b, label in zip(found, decided):
+                first = ["good" if x == "near" else x for x in first]
+        if "good" in first:
+            break
+    for b, label in zip(found, inherit(found, first)):
         b.label = label
     return found
 
@@ -193,7 +223,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """(id, url, text, n_chars): the main text of each whole page, blocks joined by two line feeds; empty if there is none.
 
     Character references are decoded once, white space inside a block becomes one space. A null page counts as empty.
-    Every row gives one row; an empty table gives none.
+    Every row gives one row, repeated rows too; an empty table gives none.
     """
     ship(df.sparkSession)
     d = own(df, id_col, url_col, html_col)
@@ -201,8 +231,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for b in slices(batch, 2):
                 texts = [main_text(x.as_py()) for x in b.column(2)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
