@@ -198,7 +198,7 @@ def inherit(found: list[Block], first: list[str]) -> list[str]:
 def classify(found: list[Block]) -> list[Block]:
     """Labels good or bad by the two passes.
 
-    Where no block is decided good, the open ones of an article are, or else the longer ones of the page; where there is none of these either, names of
+    Where no block is decided good, the open ones of an article are, or else all of the page but short ones that stand in no element; where there is none of these either, names of
     elements are not trusted and the rules judge what they had put aside.
     """
     for trusted in (NAMED, OUTSIDE):
@@ -207,7 +207,7 @@ def classify(found: list[Block]) -> list[Block]:
             if any(x != "bad" and b.inside for b, x in zip(found, first)):
                 first = ["good" if x != "bad" and b.inside else "bad" for b, x in zip(found, first)]
             else:
-                first = ["good" if x == "near" else x for x in first]
+                first = ["good" if x == "near" or (x == "short" and b.container) else x for b, x in zip(found, first)]
         if "good" in first:
             break
     for b, label in zip(found, inherit(found, first)):
