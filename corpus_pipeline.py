@@ -21,7 +21,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document all of whose words were in such lines goes; n_chars follows the text.
     """
-    cut = linededup.drop_lines(docs, min_docs=10, marks=("_sl_lines", "_sl_dropped"))
+    cut = linededup.drop_lines(docs, min_docs=10, marks=("_sl_lines", "_sl_dropped", "_sl_recurring"))
     cut = cut.where((F.col("_sl_dropped") == 0) | F.rlike("text", F.lit(r"\S")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("_sl_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

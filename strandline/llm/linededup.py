@@ -1,10 +1,11 @@
 """Line dedup by a log-template tree.
 
-A line's tokens that hold a digit become a variable field. The line then belongs to a leaf of a tree of fixed depth: its
-number of tokens, then its leading tokens. Within the leaf its templates are the line itself and, for longer lines,
-the line with one of the equal blocks of its remaining tokens generalised to a variable field. So lines that differ
-in one field, of one token or of a few, share a template. A template is an id of 64 bits; the tree is never built in one
-place, but counted by template over all documents. Lines of templates that recur are dropped.
+A line's tokens that hold a digit become a variable field. The line then descends a tree of fixed depth: its number of tokens, then
+its leading tokens. In a leaf, lines that share one of the equal blocks of their remaining tokens are candidates for one
+cluster; as a line has three blocks, lines that differ in one or two fields always share one. A cluster's template holds, by position, the token that
+most of its lines have, and a variable field where none has a majority. A line belongs to it if enough of its tokens agree. The tree
+is never built in one place: lines, positions and clusters are counted by id over all documents, whatever the size of a leaf.
+Lines of templates that recur are dropped.
 
 A passage that recurs inside lines, whatever stands around it, is found by runs of words that begin at content-defined
 cuts: a word is a cut if the hash of the words from it on is the least among its neighbours, so the cuts of a passage
@@ -31,13 +32,14 @@ from strandline.runtime import own, shared_table, ship
 
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
 DEPTH = 2  # leading tokens on the path
-BLOCKS = 4  # parts of the rest that may be a variable field
-LONG = 10  # tokens from which a line has generalised templates
+BLOCKS = 3  # equal parts of the rest, one of which the lines of a cluster share
+LEAST = DEPTH + 2  # tokens of a line that can be generalised: one may vary and one more is compared
+SIMILAR = 0.75  # share of a line's tokens that agree with its template
 ANCHOR = 10  # words whose hash decides on a cut
 REACH = 11  # neighbouring words of which one is a cut
 RUN = 20  # words of a run
 LONG_WORDS = 50  # of a line or a stretch of runs that long_docs documents hold
-LINE, RUN_KIND, LONG_LINE = 0, 1, 2  # kinds of ids, in their last two bits: templates, runs, the whole line of LONG_WORDS or more
+LINE, RUN_KIND, LONG_LINE, CLUSTER = 0, 1, 2, 3  # kinds of ids, in their last two bits: whole lines, runs, whole lines of LONG_WORDS or more, blocks in a leaf
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(rb"\S+")
@@ -47,24 +49,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def templates(line: bytes) -> list[int]:
-    """Ids of the line's templates; none for a blank line. A line of which half or more is variable has only itself."""
+def line_ids(line: bytes) -> tuple[int, list[int], bytes]:
+    """(id of the line with its digits generalised, ids of its blocks in its leaf, two bytes of hash a token).
+
+    A line of which half or more is variable stands for itself alone: tables of numbers are no template. A shorter one than LEAST has no blocks.
+    """
     tokens = line.split()
-    if not tokens:
-        return []
     joined = b" ".join(tokens)
     masked = _VARIABLE.sub(b"<*>", joined) if any(c in joined for c in b"0123456789") else joined
     parts = masked.split(b" ")
     if 2 * parts.count(b"<*>") >= len(parts):
-        return [_signed(xxh3_64_intdigest(b"raw\0" + joined))]
+        return _signed(xxh3_64_intdigest(b"raw\0" + joined)), [], b""
     path = b"%d\0" % len(parts)
-    out = [_signed(xxh3_64_intdigest(path + masked))]
-    if len(parts) >= LONG:
-        rest = len(parts) - DEPTH
-        cuts = [DEPTH + rest * i // BLOCKS for i in range(BLOCKS + 1)]
-        for i in range(BLOCKS):
-            out.append(_signed(xxh3_64_intdigest(path + b"%d\0" % i + b" ".join(parts[: cuts[i]]) + b"\0<*>\0" + b" ".join(parts[cuts[i + 1] :]))))
-    return out
+    whole = _signed(xxh3_64_intdigest(path + masked))
+    if len(parts) < LEAST:
+        return whole, [], b""
+    rest, leaf = len(parts) - DEPTH, path + b" ".join(parts[:DEPTH])
+    n = min(BLOCKS, rest)
+    cuts = [DEPTH + rest * i // n for i in range(n + 1)]
+    blocks = [_signed(xxh3_64_intdigest(leaf + b"\0%d\0" % i + b" ".join(parts[cuts[i] : cuts[i + 1]]))) for i in range(n)]
+    return whole, blocks, np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts)).astype("<u2").tobytes()
 
 
 def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,8 +125,8 @@ def _eligible(n: int, spans: list[tuple[bool, int, bool]]) -> list[tuple[bool, i
     return out
 
 
-def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]) -> tuple[str, int]:
-    """The text without what recurs at places, and the number of lines that lost all or some of their words.
+def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]) -> tuple[str, int, int]:
+    """The text without what recurs at places, the number of lines that lost all or some of their words, and of those that hold what recurs.
 
     A line goes if it has recurring templates and is the first to hold none of them; words of a recurring run go where the
     run is held first elsewhere. As first holders have ever smaller ids, one at last keeps each word. In a line that goes, words of
@@ -136,7 +140,7 @@ def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]
             spans.setdefault(i, []).append((first, at, o))
         else:
             whole[i] = whole.get(i, True) and not first
-    lines, out, lost = text.encode().split(b"\n"), [], 0
+    lines, out, lost, held = text.encode().split(b"\n"), [], 0, len(whole)
     for i, x in enumerate(lines):
         if i not in spans:
             if whole.get(i):
@@ -146,7 +150,9 @@ def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]
             continue
         words = [m.start() for m in _WORD.finditer(x)]
         gone = np.full(len(words), whole.get(i, False))
-        for first, at in sorted(_eligible(len(words), spans[i]), reverse=True):  # what is first elsewhere comes last
+        counting = _eligible(len(words), spans[i])
+        held += i not in whole and bool(counting)
+        for first, at in sorted(counting, reverse=True):  # what is first elsewhere comes last
             gone[at : at + RUN] = not first
         lost += bool(gone.any())
         if gone.all():
@@ -156,20 +162,45 @@ def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]
             x = x[: words[0]] + b"".join(x[s:e] for s, e, g in zip(words, ends, gone) if not g)
             x = x.rstrip() if gone[-1] else x
         out.append(x)
-    return b"\n".join(out).decode(), lost
+    return b"\n".join(out).decode(), lost, held
+
+
+def _clusters(keyed: DataFrame, often: DataFrame, min_docs: int) -> DataFrame:
+    """(row, key, place, first): lines whose template recurs, by the cluster of that block; first is the smallest id that holds it.
+
+    keyed: row, doc_id, keys, places, codes, starts; often: the keys of blocks that min_docs rows or more hold. Equal lines are counted before anything else, and tokens
+    by position, so that neither a large leaf nor a large cluster is gathered in one task.
+    """
+    lines = keyed.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.places").alias("place")).where(F.col("key").bitwiseAND(F.lit(3)) == CLUSTER)
+    found = lines.join(often, "key").groupBy("row").agg(F.collect_list(F.struct("key", "place")).alias("x"))
+    i = F.shiftright("place", 32).cast("int")
+    start, end = F.get("starts", i), F.get("starts", i + 1)
+    coded = found.join(keyed.select("row", "doc_id", "codes", "starts"), "row").select("row", "doc_id", "codes", "starts", F.inline("x"))
+    coded = shared_table(coded.select("row", "doc_id", "key", "place", F.substring("codes", 2 * start + 1, 2 * (end - start)).alias("code")))
+    tokens = lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.length(c) / 2).cast("int") - 1), lambda k: F.substring(c, 2 * k + 1, F.lit(2)))
+    counts = coded.groupBy("key", "code").agg(F.count("*").alias("n")).select("key", "n", F.posexplode(tokens(F.col("code"))).alias("at", "token"))
+    by_token = counts.groupBy("key", "at", "token").agg(F.sum("n").alias("n"))
+    best = by_token.groupBy("key", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    template = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.when(2 * F.col("most") > F.col("all"), F.col("token")).alias("token")))).alias("t"))
+    agree = F.aggregate(F.zip_with(tokens(F.col("code")), "t", lambda x, t: F.when(x == t["token"], 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    # one row a line on the left, one a cluster on the right
+    near = coded.join(template, "key").where(agree >= SIMILAR * F.length("code") / 2).select("row", "doc_id", "key", "place")
+    near = shared_table(near)
+    held = near.select("row", "doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
+    return near.join(held.select("key", "first"), "key").select("row", "key", "place", "first")
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, long_docs: int = 2) -> DataFrame:
     """(doc_id, text_key, places array<long>, firsts array<boolean>, often array<boolean>): what recurs in each text that has any; text_key is xxhash64 of the text.
 
-    A place is the line (from 0) in the upper 32 bits, the first word of a run, and the kind in the last two bits. A template recurs
+    A place is the line (from 0) in the upper 32 bits, the first word of a run, and the kind in the last two bits. A line with its digits generalised, or a template, recurs
     if min_docs rows or more hold it, a run or a whole line of LONG_WORDS if long_docs do (or min_docs, if that is less); often marks what min_docs hold.
     Of keep_first, the document with the smallest id that holds it is marked, so that no text is lost from the corpus.
     """
     spark = df.sparkSession
     ship(spark)
     d = own(df, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    schema = T.StructType([d.schema[0], d.schema[1], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType()))])
+    schema = T.StructType([d.schema[0], d.schema[1], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType()), T.StructField("starts", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +210,12 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 count = np.array([len(t) for t in texts])
                 of = np.repeat(np.arange(len(texts)), count)
                 at = np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count)
-                found = [(x, i, LINE if n or len(line) < 2 * LONG_WORDS - 1 or len(line.split()) < LONG_WORDS else LONG_LINE) for i, line in enumerate(lines) for n, x in enumerate(templates(line))]
+                ids = [line_ids(x) if x.strip() else (None, [], b"") for x in lines]
+                found = [(x[0], i, LONG_LINE if len(lines[i]) >= 2 * LONG_WORDS - 1 and len(lines[i].split()) >= LONG_WORDS else LINE) for i, x in enumerate(ids) if x[0] is not None]
+                found += [(k, i, CLUSTER) for i, x in enumerate(ids) for k in x[1]]
+                ends, codes = np.cumsum(count), [x[2] for x in ids]
+                tokens = [np.cumsum([0, *(len(c) // 2 for c in codes[e - m : e])]).tolist() for e, m in zip(ends, count)]
+                codes = [b"".join(codes[e - m : e]) for e, m in zip(ends, count)]
                 key, line, word = runs(lines)
                 kind = np.r_[np.array([k for _, _, k in found], np.int64), np.full(len(key), RUN_KIND)]
                 key = (np.r_[np.array([x for x, _, _ in found], np.int64), key] & ~3) | kind
@@ -187,25 +223,31 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 place = (at[line] << 32) | (np.r_[np.zeros(len(found), np.int64), word] << 2) | kind
                 order = np.argsort(of[line], kind="stable")
                 ends = pa.array(np.r_[0, np.cumsum(np.bincount(of[line], minlength=len(texts)))], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(key[order])), pa.ListArray.from_arrays(ends, pa.array(place[order]))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(key[order])), pa.ListArray.from_arrays(ends, pa.array(place[order])), pa.array(codes, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], names=schema.names)
 
     # ids of lines and runs, not texts; written once, as counting and dropping both read them
     keyed = shared_table(d.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     held = keyed.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    least = F.when(F.col("key").bitwiseAND(F.lit(3)) == LINE, F.lit(min_docs)).otherwise(F.lit(min(min_docs, long_docs)))
-    counted = held.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least).select("key", "first", (F.col("docs") >= min_docs).alias("often"))
+    kind = F.col("key").bitwiseAND(F.lit(3))
+    least = F.when(kind.isin(LINE, CLUSTER), F.lit(min_docs)).otherwise(F.lit(min(min_docs, long_docs)))
+    counted = shared_table(held.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least).select("key", "first", (F.col("docs") >= min_docs).alias("often")))
     lines = keyed.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     # one row per key on the right: broadcast if its measured size allows, else both sides are shuffled, and split where skewed
-    hit = lines.join(shared_table(counted), "key").groupBy("row").agg(F.collect_list(F.struct("place", "first", "often")).alias("x"))
+    exact = lines.where(kind != CLUSTER).join(counted.where(kind != CLUSTER), "key").select("row", "place", "first", "often")
+    loose = _clusters(keyed, counted.where(kind == CLUSTER).select("key"), min_docs).select("row", "place", "first", F.lit(True).alias("often"))
+    hit = exact.unionByName(loose).groupBy("row").agg(F.collect_list(F.struct("place", "first", "often")).alias("x"))
     # equal rows have equal places: those of one of them
     heads = keyed.groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
     mine = F.transform("x.first", lambda x: x.eqNullSafe(F.col("doc_id")) if keep_first else F.lit(False))
-    return hit.join(heads, "row").select("doc_id", "text_key", F.col("x.place").alias("places"), mine.alias("firsts"), F.col("x.often").alias("often")).where(F.exists("firsts", lambda x: ~x))
+    return hit.join(heads, "row").select("doc_id", "text_key", F.col("x.place").alias("places"), mine.alias("firsts"), F.col("x.often").alias("often"))
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, marks: tuple[str, str] = ("_lines", "_dropped"), long_docs: int = 2) -> DataFrame:
-    """df with the recurring lines and runs cut from the texts, and as columns marks the numbers of lines and of lines that lost all or some of their words.
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, marks: tuple[str, str, str] = ("_lines", "_dropped", "_recurring"), long_docs: int = 2) -> DataFrame:
+    """df with the recurring lines and runs cut from the texts, and as columns marks the numbers of lines, of lines that lost all or some of their words, and of
+    lines that hold what recurs.
 
+    With keep_first the document with the smallest id that holds a template keeps it (the last two numbers say what it kept): without it a text and its exact copies would
+    all lose every line, and no later step could keep one of them.
     All columns and rows of df stay. A null text stays null; blank lines are never dropped; repeated rows are treated alike and
     each counts as a document. Rows without id count too, and are nobody's first document unless none has an id.
     """
@@ -216,7 +258,7 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     n = len(names)
     d = d.withColumn("k", F.xxhash64(f"c{at}"))
     packed = T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(d.schema)])
-    schema = T.StructType([*d.schema[:n], T.StructField("lines", T.IntegerType()), T.StructField("lost", T.IntegerType())])
+    schema = T.StructType([*d.schema[:n], T.StructField("lines", T.IntegerType()), T.StructField("lost", T.IntegerType()), T.StructField("held", T.IntegerType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
@@ -229,15 +271,16 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         c = zstandard.ZstdDecompressor()
         for batch in batches:
             for b in slices(batch, at, 1 << 20):
-                texts, lines, lost = [], [], []
+                texts, lines, lost, held = [], [], [], []
                 for z, *x in zip(b.column(at), *(b.column(n + 1 + i) for i in range(3))):
                     t = c.decompress(z.as_py()).decode() if z.is_valid else None
                     lines.append(t.count("\n") + 1 if t is not None else 0)
-                    t, gone = cut_text(t, *(i.as_py() for i in x)) if x[0].is_valid else (t, 0)
+                    t, gone, recurring = cut_text(t, *(i.as_py() for i in x)) if x[0].is_valid else (t, 0, 0)
                     texts.append(t)
                     lost.append(gone)
+                    held.append(recurring)
                 columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(lost, pa.int32())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int32()), pa.array(lost, pa.int32()), pa.array(held, pa.int32())], names=schema.names)
 
     # texts go through the shuffle compressed
     joined = d.mapInArrow(pack, packed).join(drops.toDF("did", "tk", "places", "firsts", "often"), F.col(f"c{key}").eqNullSafe(F.col("did")) & (F.col("k") == F.col("tk")), "left")

@@ -73,8 +73,8 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = linededup.drop_lines(table(spark, sf_dir, "documents"), min_docs=10, marks=("n_lines", "n_dropped"))
-    return cut.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    cut = linededup.drop_lines(table(spark, sf_dir, "documents"), min_docs=10, marks=("n_lines", "n_dropped", "n_recurring"))
+    return cut.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.col("n_recurring").cast("long"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
