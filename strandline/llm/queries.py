@@ -61,7 +61,7 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_quotes(table(spark, sf_dir, "conversations")).drop("message")
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,8 +387,9 @@ def test_quotes_are_linked_and_cut(spark):
     assert by[1, 3]["reply_to"] == 0 and by[1, 3]["matched"] == 2 and by[1, 3]["text"] == "Also see this."
     assert by[2, 0]["reply_to"] is None and by[2, 0]["text"] == "not in this conversation"
     assert by[2, 1]["text"] == "" and by[1, 0]["text"] == rows[0][3]
-    order = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["first_key"], r["second_key"]))]
-    assert order == [0, 3, 1, 1, 2]
+    order = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["position"])]
+    assert order == [0, 3, 1, 1, 2] and sorted(r["position"] for r in got if r["conv_id"] == 1) == [0, 1, 2, 3, 4]
+    assert [(x["level"], x["source"]) for x in by[1, 2]["links"]] == [(1, 1), (2, 0)]
     assert chat.link_quotes(df.where("false")).count() == 0
 
 
@@ -406,3 +407,86 @@ def test_quotes_of_repeated_lines_and_wrapped_passages(spark):
     got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[1, 2] == 1 and got[2, 2] == 0
     assert got[1, 4] == 3  # of equals the latest
+
+
+def plain_links(rows):
+    """{(conv, turn): (text, quoted, depth, {level: source})} by comparing every message with every earlier one."""
+
+    def parsed(t):
+        out = []
+        for x in (t or "").replace("\r\n", "\n").split("\n"):
+            m = re.match(r"((?:[ \t]*>)+)[ \t]?", x)
+            out.append((m[1].count(">"), x[m.end() :]) if m else (0, x))
+        return out
+
+    def normal(x):
+        return re.sub(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~]+", " ", x.lower()).strip(" ")
+
+    def held(parts, level):
+        lines = {n for d, x in parts if d == level and (n := normal(x))}
+        passages, now, size, before = {}, [], 0, None
+        for d, x in [*parts, (-1, "")]:
+            if before is not None and (d != before[0] or not normal(x) or not normal(before[1])):
+                if before[0] == level and normal(" ".join(now)):
+                    n = normal(" ".join(now))
+                    passages[n] = max(size, passages.get(n, 0))
+                now, size = [], 0
+            now.append(x)
+            size += 1
+            before = (d, x)
+        return lines, passages
+
+    out, seen = {}, defaultdict(list)
+    for conv, turn, _, t in sorted(rows, key=lambda r: r[:2]):
+        parts = parsed(t)
+        links = {}
+        for level in sorted({d for d, _ in parts if d}):
+            lines, passages = held(parts, level)
+            votes = [(max(len(lines & l0), sum(n for x, n in passages.items() if x in p0)), other) for other, (l0, p0) in seen[conv]]
+            best = max((v for v in votes if v[0]), default=None)
+            if best:
+                links[level] = best[1]
+        seen[conv].append((turn, held(parts, 0)))
+        out[conv, turn] = (sum(d > 0 for d, _ in parts), max(d for d, _ in parts), links)
+    return out
+
+
+def test_generated_conversations_against_a_plain_version(spark):
+    rng = random.Random(77)
+    words = [f"word{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    rows = []
+    for conv in range(400):
+        bodies, quotes = [], []
+        for turn in range(rng.randrange(3, 14)):
+            own = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(1, 4))]
+            if rng.random() < 0.2:
+                own.append("Best regards")
+            lines = []
+            if bodies and rng.random() < 0.8:
+                at = rng.randrange(len(bodies))
+                body = [*quotes[at], *bodies[at]]
+                if rng.random() < 0.3:  # wrapped anew by a mailer
+                    flat = " ".join(bodies[at]).split()
+                    body = [*quotes[at], *(" ".join(flat[i : i + 5]) for i in range(0, len(flat), 5))]
+                lines = [("> " if not x.startswith(">") else ">") + (x.upper() if rng.random() < 0.2 else x) for x in body]
+            quotes.append(lines)
+            bodies.append(own)
+            rows.append((conv, turn, "user", "\n".join([*(["On Monday Ann wrote:"] if lines else []), *lines, *own])))
+    rows.append((1000, 0, "user", "One\u2028two\u0085three"))
+    rows.append((1000, 1, "user", "> One\u2028two\u0085three\nYes"))
+    rows.append((1000, 2, "user", " ".join(rng.choice(words) for _ in range(100_000))))
+    assert len(rows) > 3000
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = plain_links(rows)
+    got = chat.link_quotes(df).collect()
+    assert {(r["conv_id"], r["turn"]): (r["quoted"], r["depth"], {x["level"]: x["source"] for x in r["links"]}) for r in got} == want
+    assert sum(len(w[2]) > 1 for w in want.values()) > 300
+    by = defaultdict(list)
+    for r in got:
+        by[r["conv_id"]].append(r)
+        assert not any(x.startswith(">") for x in r["text"].split("\n")) and r["message"].endswith(r["text"] + "\n<|end|>\n")
+    for conv in by.values():
+        place = {r["turn"]: r["position"] for r in conv}
+        assert sorted(place.values()) == list(range(len(conv)))
+        assert all(place[r["reply_to"]] < r["position"] for r in conv if r["reply_to"] is not None)
+    assert {r["turn"]: r["text"] for r in by[1000]}[1] == "Yes" and next(r for r in by[1000] if r["turn"] == 1)["reply_to"] == 0
