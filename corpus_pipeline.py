@@ -17,22 +17,31 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines and runs of words that recur in 10 documents or more (2 if of 50 words or more), but for the first document that holds them.
+    """Texts without lines, templates and runs of words that recur in 10 documents or more (2 if of 50 words or more), but for the first document that holds them.
 
     A document all of whose words were in such lines goes; n_chars follows the text.
     """
-    cut = linededup.drop_lines(docs, min_docs=10, marks=("_sl_lines", "_sl_dropped", "_sl_recurring"))
-    cut = cut.where((F.col("_sl_dropped") == 0) | F.rlike("text", F.lit(r"\S")))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_sl_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    # columns by position: others may have names that differ in case only
+    names = docs.columns
+    at = {n: f"c{names.index(n)}" for n in ("doc_id", "text", "n_chars") if n in names}
+    cut = linededup.drop_lines(docs.toDF(*(f"c{i}" for i in range(len(names)))), at["doc_id"], at["text"], min_docs=10, marks=("lines", "dropped", "recurring"))
+    cut = cut.where((F.col("dropped") == 0) | F.rlike(at["text"], F.lit(r"\S")))
+    if "n_chars" in at:
+        n = at["n_chars"]
+        cut = cut.withColumn(n, F.when(F.col("dropped") > 0, F.length(at["text"])).otherwise(F.col(n)).cast(docs.schema[names.index("n_chars")].dataType))
+    return cut.drop("lines", "dropped", "recurring").toDF(*names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id. Of rows that repeat an id one stays, the least by its columns; rows without id stay."""
+    """One document of each group: that with the smallest id. Of rows that repeat an id and its text one stays, the least by its other columns; rows without id stay."""
+    names = docs.columns
+    i, t = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    d = docs.toDF(*(f"c{j}" for j in range(len(names))))
     found = minhash.near_duplicates(docs, width=5, threshold=0.8)
-    one = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    kept = d.join(found.where("kept").select(F.col("doc_id").alias("kept")).distinct(), F.col(i) == F.col("kept"), "left_semi")
+    others = F.to_json(F.struct(*(c for c in d.columns if c not in (i, t)), F.lit(0).alias("z")))
+    one = kept.groupBy(i, F.xxhash64(t).alias("k")).agg(F.min_by(F.struct(*d.columns), others).alias("row")).select("row.*")
+    return one.unionByName(d.where(F.col(i).isNull())).toDF(*names)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by nested hash-threshold histograms.
 
-Each document has a fixed hash. Sizes are summed by source and leading hash bits; the bucket in which a
+Each row has a fixed hash of its id, source and text and, where rows repeat, its number among them. Sizes are summed by source and leading hash bits; the bucket in which a
 source's budget runs out is split again by the next bits, and only the documents of that boundary bucket are
 read for it. At the last level single hash values remain, so every source ends with one exact threshold, and
 the mix is a filter against it. Nothing is sorted but histograms of bounded length.
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
 from strandline.runtime import own, shared_table
 
 HASH_BITS = 60
@@ -22,9 +23,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(spaced, " "), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def stable_hash(key: Column) -> Column:
-    """The first 60 bits of the md5 of the key's text; null keys share one value."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def row_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """A hash of what the mix knows of a row."""
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.when(source.isNull(), "0").otherwise("1"), F.coalesce(source, F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def hashed(df: DataFrame, key: str, out: str) -> DataFrame:
+    """out, in place of key: the first 60 bits of a hash of each row's key and number among its repeats (from 0), so that no two rows share it.
+
+    Only rows that repeat are numbered, in two phases, as they may be a large part of the table. They are alike, so it doesn't matter which gets which number.
+    """
+    d = df.withColumnRenamed(key, "_key")
+    again = shared_table(d.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    d = d.withColumn("_nth", F.lit(0).cast("long"))
+    if not again.isEmpty():
+        parts = ordered.dealt(d.drop("_nth").join(again, "_key", "left_semi").withColumn("_row", F.monotonically_increasing_id()), ["_key"], "_row")
+        numbered = ordered.running_sum(parts, ["_key"], "_row", F.lit(1), "_nth").drop(ordered.PART, "_row")
+        d = d.join(again, "_key", "left_anti").unionByName(numbered)
+    bits = F.substring(F.md5(F.concat("_key", F.lit(":"), F.col("_nth").cast("string")).cast("binary")), 1, 15)
+    return d.withColumn(out, F.conv(bits, 16, 10).cast("long")).drop("_key", "_nth")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -53,7 +70,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = (
     """The largest hash taken per source (-1: none), for budgets (source, has, rest) and sized (source, has, size, h).
 
     A document is taken if the middle of its own span of the running sum, in hash order, lies within rest; documents of
-    one source and hash go together. So the sum is within half a document of rest.
+    one source and hash go together; rows have hashes of their own. So the sum is within half a document of rest.
     """
     key = ["source", "has"]
     left = budgets.select(*key, F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
@@ -81,7 +98,10 @@ def thresholds(sized: DataFrame, budgets: DataFrame, levels: tuple[int, ...] = (
 
 def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     d = own(df, id_col, text_col, source_col).toDF("doc_id", "text", "source")
-    return d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNotNull().alias("has"), word_count(F.col("text")).alias("size"), stable_hash(F.col("doc_id")).alias("h"))
+    size = word_count(F.col("text"))
+    # keys and sizes in one pass over the texts
+    d = shared_table(d.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNotNull().alias("has"), size.alias("size"), row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key")))
+    return hashed(d, "key", "h")
 
 
 def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -90,7 +110,8 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     target = targets(sized.groupBy(*key).agg(F.sum("size").alias("source_size")), weights, most)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = shared_table(target.withColumn("rounds", rounds).withColumn("rest", F.col("target") - (F.col("rounds") * F.col("source_size")).cast("double")))
-    return shared_table(plan.join(thresholds(sized, plan), key, "left"))
+    # where whole rounds meet the target nothing is taken once more, empty texts neither
+    return shared_table(plan.join(thresholds(sized, plan), key, "left").withColumn("upto_hash", F.when(F.col("rest") > 0, F.col("upto_hash")).otherwise(F.lit(-1))))
 
 
 def _copies() -> Column:
@@ -101,11 +122,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """doc_id, size, source, source_size, target, taken, copies for every row.
 
     Size: the words of the text (null: 0). Targets: see targets(). taken: every document as often as whole rounds of its
-    source fit the target, and once more below the source's hash threshold, times its size. Rows of equal source
-    and id are taken alike, and reruns agree. A null source is a source of its own, ordered last. An empty table
+    source fit the target, and once more below the source's hash threshold, times its size. Ids may be null or repeat;
+    of rows that are alike in all, the mix takes as many as fit, and reruns agree. A null source is a source of its own, ordered last. An empty table
     gives an empty result; a source without words has target 0.
     """
-    sized = shared_table(_sized(df, id_col, text_col, source_col))
+    sized = _sized(df, id_col, text_col, source_col)
+    sized = shared_table(sized)
     # one row per source on the right; the planner broadcasts it if its measured size allows, else both sides are shuffled
     out = sized.join(_plan(sized, weights, most), ["source", "has"])
     return out.select("doc_id", "size", F.when(F.col("has"), F.col("source")).alias("source"), "source_size", "target", (F.col("size") * _copies()).alias("taken"), _copies().alias("copies"))
@@ -115,7 +137,8 @@ def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """The rows of df, all columns, each as often as the mix takes it; those it doesn't take are gone."""
     plan = _plan(shared_table(_sized(df, id_col, text_col, source_col)), weights, most).select(F.col("source").alias("s"), F.col("has").alias("k"), "rounds", "upto_hash")
     names = df.columns
-    at = {n: f"c{names.index(n)}" for n in (id_col, source_col)}
-    d = df.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("h", stable_hash(F.col(at[id_col])))
+    at = {n: f"c{names.index(n)}" for n in (id_col, text_col, source_col)}
+    d = df.toDF(*(f"c{i}" for i in range(len(names))))
+    d = hashed(d.withColumn("key", row_key(F.col(at[id_col]), F.col(at[source_col]), F.col(at[text_col]))), "key", "h")
     d = d.join(plan, (F.coalesce(at[source_col], F.lit("")) == F.col("s")) & (F.col(at[source_col]).isNotNull() == F.col("k"))).withColumn("n", _copies()).where("n > 0")
     return d.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))

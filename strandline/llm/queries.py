@@ -112,8 +112,9 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM numbered
 """
 
 OP8 = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NOT NULL AS has, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+WITH d0 AS (SELECT doc_id, coalesce(source, '') AS source, source IS NOT NULL AS has, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+  md5(coalesce(doc_id::VARCHAR, '') || '|' || CASE WHEN source IS NULL THEN '0' ELSE '1' END || '|' || coalesce(source, '') || '|' || coalesce(text, '')) AS k FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY k) - 1 AS nth FROM d0), d AS (SELECT *, ('0x' || substr(md5(k || ':' || nth), 1, 15))::BIGINT AS h FROM n),
 s AS (SELECT source, has, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY has DESC, source) AS i FROM d GROUP BY source, has),
 w AS (SELECT *, 1 + (i - 1) % 3 AS weight, 3 * source_size AS cap, (3 * source_size)::DOUBLE / (1 + (i - 1) % 3) AS fills FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fills, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE

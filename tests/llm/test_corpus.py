@@ -296,6 +296,18 @@ def test_mix(spark):
     assert mixing.mix(df.where("false")).count() == 0 and mixing.repeat_rows(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["null ids", "equal ids", "equal rows"])
+def test_mix_meets_its_targets_whatever_the_ids(spark, kind):
+    rows = [(None if kind == "null ids" else 7, "a b c d e" if kind == "equal rows" else f"a b c d e{s}{i}", s) for s in "xyz" for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["source"]] += r["taken"]
+        assert abs(r["target"] - {"x": 250, "y": 500, "z": 750}[r["source"]]) < 1e-6
+    assert taken == {"x": 250, "y": 500, "z": 750}
+    assert mixing.repeat_rows(df).count() == 300
+
+
 @pytest.mark.parametrize("block", [16384, 40])
 def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(5)
