@@ -16,7 +16,8 @@ For lines and stretches of 50 words two documents are enough; shorter ones may r
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,8 @@ from xxhash import xxh3_64_intdigest
 from strandline.llm.shingles import mixed, slices
 from strandline.runtime import own, shared_table, ship
 
-_VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
+_DIGIT = re.compile(rb"[0-9]")
+FIELD = np.uint64(0xF1E1D)  # the hash of a word that holds a digit
 DEPTH = 2  # leading tokens on the path
 BLOCKS = 3  # equal parts of the rest, one of which the lines of a cluster share
 LEAST = DEPTH + 2  # tokens of a line that can be generalised: one may vary and one more is compared
@@ -45,57 +47,78 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = re.compile(rb"\S+")
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+@dataclass
+class Words:
+    """Hashes of the words of some lines, in one row, and of any range of them; masked: with one hash for all words that hold a digit."""
 
+    size: np.ndarray  # words of each line
+    start: np.ndarray
+    raw: np.ndarray
+    masked: np.ndarray
 
-def line_ids(line: bytes) -> tuple[int, list[int], bytes]:
-    """(id of the line with its digits generalised, ids of its blocks in its leaf, two bytes of hash a token).
+    @classmethod
+    def of(cls, lines: list[bytes]) -> Words:
+        split = [x.split() for x in lines]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        raw = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, int(size.sum()))
+        start, masked = np.cumsum(size) - size, raw.copy()
+        for i, x in enumerate(lines):
+            if _DIGIT.search(x):
+                masked[[start[i] + k for k, w in enumerate(split[i]) if _DIGIT.search(w)]] = FIELD
+        return cls(size, start, raw, masked)
+
+    def ranges(self, of: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """(first word, words) -> a hash of each such range of one of the two rows, the same wherever it stands."""
+        n = len(of)
+        upto = np.r_[np.uint64(0), np.cumsum(of * np.cumprod(np.r_[np.uint64(1), np.full(max(0, n - 1), _STEP)])[:n])]
+        back = np.cumprod(np.r_[np.uint64(1), np.full(n, _BACK)])
+        return lambda at, words: mixed((upto[at + words] - upto[at]) * back[at])
+
+
+def line_ids(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, kind) of lines that aren't blank and of their blocks, and whether a line has blocks.
 
     A line of which half or more is variable stands for itself alone: tables of numbers are no template. A shorter one than LEAST has no blocks.
     """
-    tokens = line.split()
-    joined = b" ".join(tokens)
-    masked = _VARIABLE.sub(b"<*>", joined) if any(c in joined for c in b"0123456789") else joined
-    parts = masked.split(b" ")
-    if 2 * parts.count(b"<*>") >= len(parts):
-        return _signed(xxh3_64_intdigest(b"raw\0" + joined)), [], b""
-    path = b"%d\0" % len(parts)
-    whole = _signed(xxh3_64_intdigest(path + masked))
-    if len(parts) < LEAST:
-        return whole, [], b""
-    rest, leaf = len(parts) - DEPTH, path + b" ".join(parts[:DEPTH])
-    n = min(BLOCKS, rest)
-    cuts = [DEPTH + rest * i // n for i in range(n + 1)]
-    blocks = [_signed(xxh3_64_intdigest(leaf + b"\0%d\0" % i + b" ".join(parts[cuts[i] : cuts[i + 1]]))) for i in range(n)]
-    return whole, blocks, np.fromiter(map(xxh3_64_intdigest, parts), np.uint64, len(parts)).astype("<u2").tobytes()
-
-
-def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, at = w.size, w.start
+    variable = np.r_[0, np.cumsum(w.masked == FIELD)]
+    alone = 2 * (variable[at + n] - variable[at]) >= n
+    masked = w.ranges(w.masked)
+    salted = lambda h, *by: mixed(h + sum((np.asarray(x).astype(np.uint64) + np.uint64(k + 1)) * m for k, (x, m) in enumerate(zip(by, (_STEP, _BACK)))))
+    some = np.flatnonzero(n > 0)
+    whole = salted(np.where(alone, w.ranges(w.raw)(at, n), masked(at, n)), n, alone)[some]
+    deep = np.flatnonzero((n >= LEAST) & ~alone)
+    rest, leaf = n[deep] - DEPTH, masked(at[deep], np.full(len(deep), DEPTH))
+    parts = np.minimum(BLOCKS, rest)
+    keys, lines, kinds = [whole], [some], [np.where(n[some] >= LONG_WORDS, LONG_LINE, LINE)]
+    for i in range(BLOCKS):
+        on = parts > i
+        a, b = rest[on] * i // parts[on], rest[on] * (i + 1) // parts[on]
+        keys.append(salted(masked(at[deep][on] + DEPTH + a, b - a) ^ mixed(leaf[on]), n[deep][on], np.full(on.sum(), i)))
+        lines.append(deep[on])
+        kinds.append(np.full(on.sum(), CLUSTER))
+    has = np.zeros(len(n), dtype=bool)
+    has[deep] = True
+    return np.concatenate(keys).view(np.int64), np.concatenate(lines), np.concatenate(kinds), has
+
+
+def runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, line, first word) of the runs of all lines. A line's runs begin at its cuts and its first word, and one ends with it.
 
     So of a passage that two lines share, all but REACH - 1 words at either end is in runs that both have, if it has
     REACH - 1 words more than a run.
     """
-    split = [(i, w) for i, x in enumerate(lines) if len(w := x.split()) >= RUN]
-    size = np.array([len(w) for _, w in split], dtype=np.int64)
-    n = int(size.sum())
+    n = len(w.raw)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(w for _, w in split)), np.uint64, n)
-    line = np.repeat([i for i, _ in split], size)
-    at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
-    left = np.repeat(size, size) - at
-    upto = np.r_[np.uint64(0), np.cumsum(h * np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _STEP)]))]
-    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BACK)])
-
-    def run(words: int, where: np.ndarray) -> np.ndarray:
-        return mixed((upto[where + words] - upto[where]) * back[where])
-
+    line = np.repeat(np.arange(len(w.size)), w.size)
+    at = np.arange(n) - np.repeat(w.start, w.size)
+    left = np.repeat(w.size, w.size) - at
+    run = w.ranges(w.raw)
     most = np.iinfo(np.uint64).max
     anchor = np.full(n + REACH, most, np.uint64)
     fits = np.flatnonzero(left >= ANCHOR)
-    anchor[fits] = run(ANCHOR, fits)
+    anchor[fits] = run(fits, np.full(len(fits), ANCHOR))
     least = anchor[:n].copy()
     for i in range(1, REACH):
         np.minimum(least, anchor[i : n + i], out=least)
@@ -105,7 +128,7 @@ def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.maximum(top[i:], least[: n - i], out=top[i:])
     cut = ((anchor[:n] == top) & (left >= ANCHOR)) | (at == 0)
     where = np.flatnonzero((cut & (left >= RUN)) | (left == RUN))
-    return run(RUN, where).view(np.int64), line[where], at[where]
+    return run(where, np.full(len(where), RUN)).view(np.int64), line[where], at[where]
 
 
 def _eligible(n: int, spans: list[tuple[bool, int, bool]]) -> list[tuple[bool, int]]:
@@ -140,6 +163,8 @@ def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]
             spans.setdefault(i, []).append((first, at, o))
         else:
             whole[i] = whole.get(i, True) and not first
+    if all(firsts):
+        return text, 0, len(whole.keys() | {i for i, x in spans.items() if _eligible(1 << 30, x)})
     lines, out, lost, held = text.encode().split(b"\n"), [], 0, len(whole)
     for i, x in enumerate(lines):
         if i not in spans:
@@ -165,14 +190,13 @@ def cut_text(text: str, places: list[int], firsts: list[bool], often: list[bool]
     return b"\n".join(out).decode(), lost, held
 
 
-def _clusters(keyed: DataFrame, often: DataFrame, min_docs: int) -> DataFrame:
-    """(row, key, place, first): lines whose template recurs, by the cluster of that block; first is the smallest id that holds it.
+def _clusters(keyed: DataFrame, hits: DataFrame, min_docs: int) -> DataFrame:
+    """(row, place, first): lines whose template recurs; first is the smallest id that holds it.
 
-    keyed: row, doc_id, keys, places, codes, starts; often: the keys of blocks that min_docs rows or more hold. Equal lines are counted before anything else, and tokens
+    keyed: row, doc_id, codes, starts; hits: (row, key, place) of blocks that min_docs rows or more hold. Equal lines are counted before anything else, and tokens
     by position, so that neither a large leaf nor a large cluster is gathered in one task.
     """
-    lines = keyed.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.places").alias("place")).where(F.col("key").bitwiseAND(F.lit(3)) == CLUSTER)
-    found = lines.join(often, "key").groupBy("row").agg(F.collect_list(F.struct("key", "place")).alias("x"))
+    found = hits.groupBy("row").agg(F.collect_list(F.struct("key", "place")).alias("x"))
     i = F.shiftright("place", 32).cast("int")
     start, end = F.get("starts", i), F.get("starts", i + 1)
     coded = found.join(keyed.select("row", "doc_id", "codes", "starts"), "row").select("row", "doc_id", "codes", "starts", F.inline("x"))
@@ -187,7 +211,7 @@ def _clusters(keyed: DataFrame, often: DataFrame, min_docs: int) -> DataFrame:
     near = coded.join(template, "key").where(agree >= SIMILAR * F.length("code") / 2).select("row", "doc_id", "key", "place")
     near = shared_table(near)
     held = near.select("row", "doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    return near.join(held.select("key", "first"), "key").select("row", "key", "place", "first")
+    return near.join(held.select("key", "first"), "key").select("row", "place", "first")
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, long_docs: int = 2) -> DataFrame:
@@ -210,17 +234,18 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 count = np.array([len(t) for t in texts])
                 of = np.repeat(np.arange(len(texts)), count)
                 at = np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count)
-                ids = [line_ids(x) if x.strip() else (None, [], b"") for x in lines]
-                found = [(x[0], i, LONG_LINE if len(lines[i]) >= 2 * LONG_WORDS - 1 and len(lines[i].split()) >= LONG_WORDS else LINE) for i, x in enumerate(ids) if x[0] is not None]
-                found += [(k, i, CLUSTER) for i, x in enumerate(ids) for k in x[1]]
-                ends, codes = np.cumsum(count), [x[2] for x in ids]
-                tokens = [np.cumsum([0, *(len(c) // 2 for c in codes[e - m : e])]).tolist() for e, m in zip(ends, count)]
-                codes = [b"".join(codes[e - m : e]) for e, m in zip(ends, count)]
-                key, line, word = runs(lines)
-                kind = np.r_[np.array([k for _, _, k in found], np.int64), np.full(len(key), RUN_KIND)]
-                key = (np.r_[np.array([x for x, _, _ in found], np.int64), key] & ~3) | kind
-                line = np.r_[np.array([i for _, i, _ in found], np.int64), line]
-                place = (at[line] << 32) | (np.r_[np.zeros(len(found), np.int64), word] << 2) | kind
+                w = Words.of(lines)
+                keys, of_line, kinds, has = line_ids(w)
+                key, line, word = runs(w)
+                kind = np.r_[kinds, np.full(len(key), RUN_KIND)]
+                key = (np.r_[keys, key] & ~3) | kind
+                line = np.r_[of_line, line]
+                place = (at[line] << 32) | (np.r_[np.zeros(len(keys), np.int64), word] << 2) | kind
+                # two bytes of hash for each token of a line that has blocks
+                coded, ends = np.where(has, w.size, 0), np.cumsum(count)
+                tokens = [np.cumsum(np.r_[0, coded[e - m : e]]).tolist() for e, m in zip(ends, count)]
+                code, stop = w.masked[np.repeat(has, w.size)].astype("<u2").tobytes(), 2 * np.cumsum([t[-1] for t in tokens])
+                codes = [code[e - 2 * t[-1] : e] for e, t in zip(stop, tokens)]
                 order = np.argsort(of[line], kind="stable")
                 ends = pa.array(np.r_[0, np.cumsum(np.bincount(of[line], minlength=len(texts)))], pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(key[order])), pa.ListArray.from_arrays(ends, pa.array(place[order])), pa.array(codes, pa.binary()), pa.array(tokens, pa.list_(pa.int32()))], names=schema.names)
@@ -233,8 +258,9 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = shared_table(held.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least).select("key", "first", (F.col("docs") >= min_docs).alias("often")))
     lines = keyed.select("row", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.places").alias("place"))
     # one row per key on the right: broadcast if its measured size allows, else both sides are shuffled, and split where skewed
-    exact = lines.where(kind != CLUSTER).join(counted.where(kind != CLUSTER), "key").select("row", "place", "first", "often")
-    loose = _clusters(keyed, counted.where(kind == CLUSTER).select("key"), min_docs).select("row", "place", "first", F.lit(True).alias("often"))
+    hits = shared_table(lines.join(counted, "key"))
+    exact = hits.where(kind != CLUSTER).select("row", "place", "first", "often")
+    loose = _clusters(keyed, hits.where(kind == CLUSTER).select("row", "key", "place"), min_docs).withColumn("often", F.lit(True))
     hit = exact.unionByName(loose).groupBy("row").agg(F.collect_list(F.struct("place", "first", "often")).alias("x"))
     # equal rows have equal places: those of one of them
     heads = keyed.groupBy("doc_id", "text_key").agg(F.min("row").alias("row"))
