@@ -228,7 +228,7 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, 2):
+            for b in slices(batch, 2, 1 << 20):  # a slice's words and their hashes take some 40 times its bytes
                 texts = [(t.as_py() or "").encode().split(b"\n") for t in b.column(2)]
                 lines = list(chain.from_iterable(texts))
                 count = np.array([len(t) for t in texts])
