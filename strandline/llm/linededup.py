@@ -207,7 +207,8 @@ def _clusters(keyed: DataFrame, hits: DataFrame, min_docs: int) -> DataFrame:
     best = by_token.groupBy("key", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("most"), F.sum("n").alias("all"))
     template = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.when(2 * F.col("most") > F.col("all"), F.col("token")).alias("token")))).alias("t"))
     agree = F.aggregate(F.zip_with(tokens(F.col("code")), "t", lambda x, t: F.when(x == t["token"], 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    # one row a line on the left, one a cluster on the right
+    # one row a line on the left, one a cluster on the right; written, so that the join deals lines anew and a large cluster's are split
+    template = shared_table(template)
     near = coded.join(template, "key").where(agree >= SIMILAR * F.length("code") / 2).select("row", "doc_id", "key", "place")
     near = shared_table(near)
     held = near.select("row", "doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
