@@ -15,7 +15,7 @@ size, which return no more links than join their components. No bucket is cut or
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,13 +134,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float)
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _units(rows: DataFrame, judge: Callable[[pa.Table], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
+    """What judge returns for each unit (key, i, j) of rows, one unit in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            f = pa.Table.from_batches([batch])
+            f = f if kept is None else pa.concat_tables([kept, f])
+            of = np.stack([f.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1).tolist()]
+            for s, e in zip(cuts, cuts[1:]):
+                if (x := judge(f.slice(s, e - s))) is not None:
+                    yield x
+            kept = f.slice(cuts[-1])
+        if kept is not None and kept.num_rows and (x := judge(kept)) is not None:
+            yield x
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def _candidates(unit: pa.Table, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a unit whose pairs must be compared in full: of different components, first in this band, sizes and estimate allow it."""
+    tile_i, tile_j, t, rep, comp, n, band = (unit.column(c).to_numpy() for c in ("i", "j", "t", "rep", "component", "n", "band"))
+    if len(np.unique(comp)) < 2:
+        return
+    sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    own_tile = tile_i[0] == tile_j[0]
+    left = np.arange(len(rep)) if own_tile else np.flatnonzero(t == tile_i[0])
+    right = left if own_tile else np.flatnonzero(t == tile_j[0])
+    for p in left:
+        q = right[(comp[right] != comp[p]) & ((rep[right] > rep[p]) if own_tile else True)]
+        q = q[np.minimum(n[q], n[p]) * 100 >= percent * np.maximum(n[q], n[p])]
+        equal = sig[q] == sig[p]
+        first = equal.reshape(len(q), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        q = q[(first == band[p]) & (estimate(equal.mean(axis=1), n[q], n[p]) >= least)]
+        if len(q):
+            yield p, q
+
+
 def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links (a, b) that join the components of a bucket, decided on full sets, tile by tile.
 
     members: (key, band, rep, component) of buckets that hold several components. The rows of a bucket's largest component and its others are cut
     into tiles of about TILE rows each. A pair of tiles is one unit of work, but for pairs inside the largest component, so memory is bounded and
     units spread over tasks however large the bucket is. Every pair of different components
-    is looked at in the first band in which its registers agree, and compared in full if its estimate passes and the unit hasn't
+    is looked at in the first band in which its registers agree. A first pass ships registers only and names the rows of a unit that have a pair
+    whose estimate passes; the second gives only those rows their texts, and compares such a pair in full if the unit hasn't
     joined the two components yet. So a unit returns fewer links than it has rows.
     """
     counts = members.groupBy("key", "component").agg(F.count("*").alias("m"))
@@ -149,15 +189,19 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     mine = F.when(F.col("in"), F.col("few") + F.pmod(F.xxhash64("rep", "key"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep", "key"), F.col("few"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("in"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
     rows = rows.withColumn("t", mine).withColumn("o", F.explode(others))
-    rows = rows.select("key", "band", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rep", "component").join(classes.select("rep", "n", "sig"), "rep").join(texts.select(F.col("doc_id").alias("rep"), "z"), "rep")
-    rows = rows.select("key", "band", "i", "j", "t", "rep", "component", "n", "sig", "z").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", "band", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "rep", "component").join(classes.select("rep", "n", "sig"), "rep")
+    rows = rows.select("key", "band", "i", "j", "t", "rep", "component", "n", "sig")
     least, percent = passes(threshold), round(threshold * 100)
 
+    def name(unit: pa.Table) -> pa.RecordBatch | None:
+        asked = np.zeros(unit.num_rows, dtype=bool)
+        for p, q in _candidates(unit, percent, least):
+            asked[p] = True
+            asked[q] = True
+        return unit.filter(pa.array(asked)).combine_chunks().to_batches()[0] if asked.any() else None
+
     def compare(unit: pa.Table) -> pa.RecordBatch | None:
-        tile_i, tile_j, t, rep, comp, n, band = (unit.column(c).to_numpy() for c in ("i", "j", "t", "rep", "component", "n", "band"))
-        if len(np.unique(comp)) < 2:
-            return None
-        sig = np.frombuffer(b"".join(unit.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        rep, comp = unit.column("rep").to_numpy(), unit.column("component").to_numpy()
         z = unit.column("z").to_pylist()
         d = zstandard.ZstdDecompressor()
         sets: dict[int, frozenset[int]] = {}
@@ -173,17 +217,11 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
                 c = joined[c]
             return c
 
-        own_tile = tile_i[0] == tile_j[0]
-        left = np.arange(len(rep)) if own_tile else np.flatnonzero(t == tile_i[0])
-        right = left if own_tile else np.flatnonzero(t == tile_j[0])
         out = []
-        for p in left:
-            q = right[(comp[right] != comp[p]) & ((rep[right] > rep[p]) if own_tile else True)]
-            equal = sig[q] == sig[p]
-            first = equal.reshape(len(q), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            for i in q[(first == band[p]) & (estimate(equal.mean(axis=1), n[q], n[p]) >= least)]:
+        for p, others in _candidates(unit, percent, least):
+            for i in others:
                 x, y = root(comp[p]), root(comp[i])
-                if x != y and min(n[p], n[i]) * 100 >= percent * max(n[p], n[i]):
+                if x != y:
                     a, b = set_of(p), set_of(i)
                     both = len(a & b)
                     if both and 100 * both >= percent * (len(a) + len(b) - both):
@@ -191,21 +229,10 @@ def _across(members: DataFrame, classes: DataFrame, texts: DataFrame, width: int
                         out.append((int(rep[p]), int(rep[i])))
         return pa.RecordBatch.from_arrays([pa.array(map(min, out), pa.int64()), pa.array(map(max, out), pa.int64())], names=["a", "b"]) if out else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            f = pa.Table.from_batches([batch])
-            f = f if kept is None else pa.concat_tables([kept, f])
-            of = np.stack([f.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1).tolist()]
-            for s, e in zip(cuts, cuts[1:]):
-                if (x := compare(f.slice(s, e - s))) is not None:
-                    yield x
-            kept = f.slice(cuts[-1])
-        if kept is not None and kept.num_rows and (x := compare(kept)) is not None:
-            yield x
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    # written: what passes decides how the texts are joined
+    asked = shared_table(_units(rows, name, rows.schema))
+    full = asked.join(texts.select(F.col("doc_id").alias("rep"), "z"), "rep").select(*rows.columns, "z")
+    return _units(full, compare, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
