@@ -212,7 +212,8 @@ def _clusters(keyed: DataFrame, hits: DataFrame, min_docs: int) -> DataFrame:
     near = coded.join(template, "key").where(agree >= SIMILAR * F.length("code") / 2).select("row", "doc_id", "key", "place")
     near = shared_table(near)
     held = near.select("row", "doc_id", "key").distinct().groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    return near.join(held.select("key", "first"), "key").select("row", "place", "first")
+    # one row a cluster, written like the templates
+    return near.join(shared_table(held.select("key", "first")), "key").select("row", "place", "first")
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = True, long_docs: int = 2) -> DataFrame:
