@@ -124,7 +124,7 @@ def runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.minimum(least, anchor[i : n + i], out=least)
     least[left < ANCHOR + REACH - 1] = 0
     top = least.copy()
-    for i in range(1, REACH):
+    for i in range(1, min(REACH, n)):  # a slice may hold fewer words
         np.maximum(top[i:], least[: n - i], out=top[i:])
     cut = ((anchor[:n] == top) & (left >= ANCHOR)) | (at == 0)
     where = np.flatnonzero((cut & (left >= RUN)) | (left == RUN))

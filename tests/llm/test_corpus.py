@@ -229,6 +229,17 @@ def test_recurring_passages_inside_lines_are_cut(spark):
         assert ("unheard" in rest) == (i == 11)
 
 
+def test_slices_of_few_words(spark):
+    for n in range(2 * linededup.REACH + 3):
+        key, line, at = linededup.runs(linededup.Words.of([b" ".join(b"w%d" % i for i in range(n))]))
+        assert len(key) == len(line) == len(at) == int(n >= linededup.RUN) * len(at)
+    rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in range(2 * linededup.REACH + 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (5,):
+        assert linededup.drop_lines(df.where(F.col("doc_id") == n)).collect()[0]["text"] == rows[n][1]
+    assert {(r["doc_id"], r["text"]) for r in linededup.drop_lines(df.repartition(len(rows), "doc_id")).collect()} == set(rows)
+
+
 def test_long_passages_recur_in_two_documents(spark):
     rng = random.Random(32)
     some = lambda n: " ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(n))
