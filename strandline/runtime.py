@@ -67,7 +67,16 @@ def shared_table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a shared table's files. Only for the frame that shared_table() returned, when nothing derived from it will be read again."""
+    path = getattr(df, "_written", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def own(df: DataFrame, *names: str) -> DataFrame:
