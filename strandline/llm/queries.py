@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat, htmltext, linededup, minhash, mixing, tiff, topk, toxicity, urlfilter
+from strandline.llm import bpe, chat, codes, htmltext, linededup, merkle, minhash, mixing, pii, sql, tiff, topk, toxicity, urlfilter
 from strandline.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -81,6 +81,18 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 50 == 0)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -93,11 +105,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix": op8_mix,
         "op9_line_templates": op9_line_templates,
         "op10_top_k": op10_top_k,
+        "op11_manifest": op11_manifest,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_personal_data": op13_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": OP5, "op8_mix": OP8, "op10_top_k": OP10}
+    return {"op5_url_rules": OP5, "op8_mix": OP8, "op10_top_k": OP10, "op11_manifest": sql.merkle(), "op12_vector_codes": sql.codes(), "op13_personal_data": sql.private()}
 
 
 OP5 = r"""
