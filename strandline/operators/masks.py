@@ -1,13 +1,18 @@
 """Masks over ordered rows: dilation, islands, sessions, zones, algebra.
 
-All are window expressions partitioned by keys; without keys a window would be one task, so keys are required.
+All are window expressions partitioned by keys; without keys a window would be one task, so keys are required. What depends on rows near by only
+takes part_rows: then order counts rows from 0, and a long group is worked on in parts that hold copies of their neighbours' edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
+
 
 def _by(keys: list[str], order: str) -> Window:
     if not keys:
@@ -15,8 +20,16 @@ def _by(keys: list[str], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def dilate(df: DataFrame, keys: list[str], order: str, mask: str, margin: int, out: str = "blocked") -> DataFrame:
+def in_parts(df: DataFrame, keys: list[str], order: str, reach: int, part_rows: int, work: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """work(frame, keys) on parts of long groups that hold copies of reach rows of their neighbours; the copies are left out of what it gives."""
+    d = work(ordered.halo(df, keys, order, reach, part_rows), [*keys, ordered.PART])
+    return d.where(ordered.OWN).drop(ordered.OWN, ordered.PART)
+
+
+def dilate(df: DataFrame, keys: list[str], order: str, mask: str, margin: int, out: str = "blocked", part_rows: int | None = None) -> DataFrame:
     """out: a true row lies within margin rows."""
+    if part_rows:
+        return in_parts(df, keys, order, margin, part_rows, lambda d, k: dilate(d, k, order, mask, margin, out))
     return df.withColumn(out, F.max(mask).over(_by(keys, order).rowsBetween(-margin, margin)))
 
 
@@ -40,11 +53,13 @@ def sessionise(df: DataFrame, keys: list[str], order: str, mask: str, gap: int)
     return d.groupBy(*keys, "_s").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_s")
 
 
-def zones(df: DataFrame, keys: list[str], order: str, mask: str, gap: int = 16, expand: int = 12, out: str = "zone") -> DataFrame:
+def zones(df: DataFrame, keys: list[str], order: str, mask: str, gap: int = 16, expand: int = 12, out: str = "zone", part_rows: int | None = None) -> DataFrame:
     """out: the row lies in a session widened by expand on both sides; sessions of one row aren't widened.
 
     Sessions are never joined back by range: each row looks at the last session row at or before it and the first at or after it.
     """
+    if part_rows:  # a row within expand of a true one, which has another within gap
+        return in_parts(df, keys, order, gap + expand + 2, part_rows, lambda d, k: zones(d, k, order, mask, gap, expand, out))
     w = _by(keys, order)
     d = df.withColumn("_m", F.when(F.col(mask), F.col(order)))
     before, after = F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.planner import near
 from strandline.operators.rows import luma_of, profile_row
+from strandline.operators.textblocks import covered
 from strandline.runtime import ship
 
 
@@ -132,18 +133,26 @@ def has_content(px: np.ndarray, spread: int = 64) -> bool:
     return bool(sums.max() - sums.min() > spread)
 
 
-def verified_cut(px: np.ndarray, cut: int, edge: int = 24, spread: int = 40, half: int = 320, guard: int = 8, reach: int = 300, scan_width: int = 480) -> tuple[int, bool]:
-    """(row, bad): cut, or the nearest free row of its surroundings at full size (of equal distances the upper); bad where there is none."""
+def verified_cut(px: np.ndarray, cut: int, edge: int = 24, spread: int = 40, half: int = 320, guard: int = 8, reach: int = 300, scan_width: int = 480, lines: np.ndarray | None = None, suspect: int = 96) -> tuple[int, bool]:
+    """(row, bad): cut, or the nearest free row of its surroundings at full size (of equal distances the upper); bad where there is none.
+
+    lines: text lines (top, bottom, left, right) in rows of px. Where a row within suspect of the cut is taken, rows there that blocks of lines cover are too.
+    """
     h, w = px.shape
     top, bottom = max(0, cut - half), min(h, cut + half)
     if bottom - top < 8:
         return cut, False
     part = px[top:bottom]
-    busy, _, structured, _ = scan(part, edge, spread, noise=3)
+    busy, _, structured, longest = scan(part, edge, spread, noise=3)
     scale = w / scan_width
     taken = busy | zone_rows(structured, max(8, int(16 * scale)), max(8, int(12 * scale))) | half_size_enclosed(part)
-    blocked = near(taken, guard)
     centre = min(max(cut - top, 0), len(part) - 1)
+    a, b = max(0, centre - suspect), min(len(part), centre + suspect + 1)
+    if lines is not None and len(lines) and taken[a:b].any():
+        seen = lines[(lines[:, 0] < top + b) & (lines[:, 1] >= top + a)] - [top + a, top + a, 0, 0]
+        if len(seen):
+            taken[a:b] |= covered(seen, structured[a:b], longest[a:b], w)
+    blocked = near(taken, guard)
     free = np.flatnonzero(~blocked)
     if not blocked[centre]:
         return cut, False

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.runtime import shared_table
 
-PART = "_part"
+PART, OWN = "_part", "_own"
 
 
 def dealt(df: DataFrame, keys: list[str], order: str, parts: int | None = None) -> DataFrame:
@@ -60,3 +60,15 @@ def next_values(parts: DataFrame, keys: list[str], order: str, columns: list[str
     d = with_parts(parts.withColumn("_row", F.struct(*columns)), heads, keys)
     d = d.withColumn("_n", F.coalesce(F.lead("_row").over(by_part(keys, order)), F.col("_after")))
     return d.select(*(c for c in parts.columns), *(F.col(f"_n.{c}").alias(f"next_{c}") for c in columns))
+
+
+def halo(df: DataFrame, keys: list[str], order: str, reach: int, part_rows: int = 1 << 16) -> DataFrame:
+    """df cut into parts of part_rows values of order, each with copies of the rows up to reach before and after it; OWN marks a part's own rows.
+
+    order is a whole number. What a row needs from rows at most reach away can then be a window over keys and PART, however long a group.
+    """
+    size = max(part_rows, reach, 1)
+    own = F.floor(F.col(order) / size)
+    within = F.pmod(F.col(order), F.lit(size))
+    parts = F.array_compact(F.array(own, F.when(within < reach, own - 1), F.when(within >= size - reach, own + 1)))
+    return df.withColumn(PART, F.explode(parts)).withColumn(OWN, own == F.col(PART))

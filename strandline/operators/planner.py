@@ -31,58 +31,70 @@ def runs(mask: np.ndarray, least: int = 1) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= max(1, least)]
 
 
-def tiered(busy: np.ndarray, ink: np.ndarray, most: int, least: int | None = None, beyond: int | None = None, margin: int = 8, band: int | None = None) -> list[tuple[int, bool]]:
-    """(row, forced) of cuts so that pieces hold at most most rows, where that can be.
+class Tiers:
+    """The next cut after any row, from the rows around it. A piece holds at most most rows, where that can be.
 
-    For each piece, the first tier that gives a row decides: the last row of the top fifth of the window with margin + 4 free rows around
+    The first tier that gives a row decides: the last row of the top fifth of the window with margin + 4 free rows around
     it; the free row that is nearest to the limit, ink counting half a row (forced); the middle of the widest free band; the first
     free row up to beyond rows past the limit; the row of least ink (forced).
+
+    busy and ink may be a part of a group's rows, from row base of rows in all; then next() holds where the part has reach() rows on either side.
     """
-    least = most // 3 if least is None else least
-    beyond = most // 4 if beyond is None else beyond
-    band = margin if band is None else band
-    if least < 1:
-        raise ValueError("least must be 1 or more: a piece without rows never ends")
-    h = len(busy)
-    blocked = near(busy, margin)
-    bands = runs(~blocked, band)
-    clearance = margin + 4
-    clear = ~near(blocked, clearance)
-    clear[:clearance] = False
-    clear[max(0, h - clearance) :] = False
-    out: list[tuple[int, bool]] = []
-    start = 0
-    while h - start > most:
-        target, lo = start + most, start + least
-        hi = min(target, h - 1)
-        at = max(lo, target - most // 5)
-        good = np.flatnonzero(clear[at : target + 1])
+
+    def __init__(self, busy: np.ndarray, ink: np.ndarray, most: int, least: int | None = None, beyond: int | None = None, margin: int = 8, band: int | None = None, base: int = 0, rows: int | None = None):
+        self.most, self.least = most, most // 3 if least is None else least
+        self.beyond = most // 4 if beyond is None else beyond
+        self.band = margin if band is None else band
+        if self.least < 1:
+            raise ValueError("least must be 1 or more: a piece without rows never ends")
+        self.ink, self.base, self.rows = ink, base, len(busy) if rows is None else rows
+        self.blocked = near(busy, margin)
+        self.bands = runs(~self.blocked, self.band)
+        clearance = margin + 4
+        self.clear = ~near(self.blocked, clearance)
+        self.clear[: max(0, clearance - base)] = False
+        self.clear[max(0, self.rows - clearance - base) :] = False
+
+    @staticmethod
+    def reach(most: int, beyond: int | None, margin: int, band: int | None) -> int:
+        return most + (most // 4 if beyond is None else beyond) + 2 * margin + 4 + (margin if band is None else band) + 2
+
+    def next(self, after: int) -> tuple[int, bool] | None:
+        """(row, forced) of the cut that follows a cut at row after; None where the rest fits, or nothing can be cut."""
+        if self.rows - after <= self.most:
+            return None
+        start = after - self.base
+        target, lo = start + self.most, start + self.least
+        hi = min(target, self.rows - 1 - self.base)
+        at = max(lo, target - self.most // 5)
+        good = np.flatnonzero(self.clear[at : target + 1])
         if len(good):
-            start = at + int(good[-1])
-            out.append((start, False))
-            continue
+            return self.base + at + int(good[-1]), False
         y = np.arange(lo, hi + 1)
-        free = y[~blocked[lo : hi + 1]]
+        free = y[~self.blocked[lo : hi + 1]]
         if len(free):
-            start = int(free[np.argmin(2 * (target - free) + ink[free])])
-            out.append((start, True))
-            continue
-        inside = [(min(b, target + 1) - max(a, lo), max(a, lo) + min(b, target + 1)) for a, b in bands]
-        wide = [x for x in inside if x[0] >= band]
+            return self.base + int(free[np.argmin(2 * (target - free) + self.ink[free])]), True
+        inside = [(min(b, target + 1) - max(a, lo), max(a, lo) + min(b, target + 1)) for a, b in self.bands if a <= target and b > lo]
+        wide = [x for x in inside if x[0] >= self.band]
         if wide:
             top = max(x[0] for x in wide)
-            start = [x[1] for x in wide if x[0] == top][-1] // 2
-            out.append((start, False))
-            continue
-        later = next(((a, b) for a, b in bands if b > target + 1 and a <= target + beyond), None)
+            # the sum of two local rows: the middle of the whole rows
+            return ([x[1] for x in wide if x[0] == top][-1] + 2 * self.base) // 2, False
+        later = next(((a, b) for a, b in self.bands if b > target + 1 and a <= target + self.beyond), None)
         if later:
-            start = min(max(later[0], target + 1), later[1] - 1)
-            out.append((start, False))
-            continue
+            return self.base + min(max(later[0], target + 1), later[1] - 1), False
         if not len(y):
-            break
-        start = int(y[np.argmin(ink[y].astype(np.int64) * 1000 + (target - y))])
-        out.append((start, True))
+            return None
+        return self.base + int(y[np.argmin(self.ink[y].astype(np.int64) * 1000 + (target - y))]), True
+
+
+def tiered(busy: np.ndarray, ink: np.ndarray, most: int, least: int | None = None, beyond: int | None = None, margin: int = 8, band: int | None = None) -> list[tuple[int, bool]]:
+    """(row, forced) of the cuts of whole groups, by Tiers."""
+    tiers, out = Tiers(busy, ink, most, least, beyond, margin, band), []
+    found = tiers.next(0)
+    while found:
+        out.append(found)
+        found = tiers.next(found[0])
     return out
 
 

@@ -1,12 +1,14 @@
-"""Blocks of recognised text lines."""
+"""Blocks of recognised text lines, and the rows they cover."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
 from strandline.operators.folds import fold_sorted
 
 
@@ -50,3 +52,37 @@ def text_blocks(df: DataFrame, keys: list[str], top: str = "top", bottom: str =
     if dividers is not None:
         d = d.unionByName(dividers.select(*keys, F.col(top).alias("_t"), F.lit(0).alias("_k")), allowMissingColumns=True)
     return fold_sorted(d, keys, ["_t", "_k"], ["_t", "_b", "_l", "_r"], blocks_of, "first long, last long, lines long")
+
+
+def is_divider(structured: Column, longest: Column, width: Column) -> Column:
+    """Whether a row is a level line that parts blocks: unstructured, with a dark run of a quarter of the width."""
+    return ~F.coalesce(structured, F.lit(False)) & (longest >= F.floor(width / 4))
+
+
+def text_rows(rows: DataFrame, lines: DataFrame, keys: list[str], order: str, structured: str = "structured", longest: str = "max_run", width: str = "width", out: str = "text") -> DataFrame:
+    """rows (keys, order, the row's profile and width) with out: a block of text lines covers the row.
+
+    lines: keys, top, bottom, left, right in the rows' coordinates. Divider rows come from the profiles. A block's ends are events, +1 where it begins
+    and -1 after its last row, dealt among the rows: a row is covered if the events before it add up to more than 0. So nothing is joined by range,
+    and a long group is worked on in parts. Blocks that reach beyond the rows cover what is there. Lines with a null edge count as none.
+    """
+    dividers = rows.where(is_divider(F.col(structured), F.col(longest), F.col(width))).select(*keys, F.col(order).cast("long").alias("top"))
+    blocks = text_blocks(lines.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("top", "bottom", "left", "right"))), keys, dividers=dividers)
+    ends = blocks.select(*keys, F.explode(F.array(F.struct(F.col("first").alias("_at"), F.lit(1).alias("_d")), F.struct((F.col("last") + 1).alias("_at"), F.lit(-1).alias("_d")))).alias("e"))
+    # events stand before the row of their number
+    events = ends.select(*keys, (2 * F.col("e._at")).cast("long").alias("_o"), F.col("e._d").alias("_d"))
+    mine = rows.withColumn("_o", (2 * F.col(order) + 1).cast("long")).withColumn("_d", F.lit(0)).withColumn("_row", F.lit(True))
+    both = mine.unionByName(events, allowMissingColumns=True)
+    swept = ordered.running_sum(ordered.dealt(both, keys, "_o"), keys, "_o", F.col("_d"), "_n")
+    return swept.where("_row").withColumn(out, F.col("_n") > 0).select(*rows.columns, out)
+
+
+def covered(lines: np.ndarray, structured: np.ndarray, longest: np.ndarray, width: int) -> np.ndarray:
+    """The rows of a patch that blocks of lines (top, bottom, left, right, cut to the patch) cover; the array form of text_rows() for one patch."""
+    h = len(structured)
+    out = np.zeros(h, dtype=bool)
+    marks = [(int(y), None, None, None) for y in np.flatnonzero(~structured & (longest >= width // 4))]
+    edges = np.clip(lines, [0, 0, 0, 0], [h - 1, h - 1, width - 1, width - 1]).tolist()
+    for first, last, _ in blocks_of(iter(sorted([*marks, *map(tuple, edges)], key=lambda r: (r[0], r[1] is not None)))):
+        out[first : last + 1] = True
+    return out

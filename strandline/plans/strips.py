@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators import grouping, lookup, masks, morphology, planner
+from strandline.functions import pixels
+from strandline.operators import grouping, masks, morphology, planner, transitions
+from strandline.plans import banners
 from strandline.runtime import shared_table, ship
 from strandline.sources.images import resampled
 from strandline.sources.settings import PRESETS, Settings
 
 SCAN_WIDTH = 480
 GAP = 64  # scan rows between cuts of a page
+PART_ROWS = 1 << 16  # scan rows of a series in one task
 
 
 def scan_pages(pages: DataFrame, settings: Settings) -> DataFrame:
@@ -34,55 +37,95 @@ def scan_pages(pages: DataFrame, settings: Settings) -> DataFrame:
     return good.withColumn("s", scan("px", "width")).select("series", "page", "px", "width", "height", "s.*")
 
 
-def plan_series(scanned: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """(cuts: series, page, y, forced; stats: series, pages, busy and zone percent) of whole series."""
+def windows(scanned: DataFrame, crops: DataFrame | None = None) -> DataFrame:
+    """series, page, width, height; top and bottom of what is left without crop_top and crop_bottom rows; first and end of it in scan rows, scan_rows in all."""
+    d = scanned.select("series", "page", "width", F.col("height").cast("long").alias("height"), F.size("busy").cast("long").alias("scan_rows"))
+    zero = F.lit(0)
+    d = d.withColumn("crop_top", zero).withColumn("crop_bottom", zero) if crops is None else d.join(crops.select("series", "page", "crop_top", "crop_bottom"), ["series", "page"], "left")
+    top, bottom = pixels.effective_window(F.col("height"), F.coalesce("crop_top", zero), F.coalesce("crop_bottom", zero))
+    d = d.where("scan_rows > 0").withColumn("top", top).withColumn("bottom", bottom)
+    scaled = lambda c: F.floor(F.col(c) * F.col("scan_rows") / F.col("height"))
+    d = d.withColumn("first", F.least(scaled("top"), F.col("scan_rows") - 1))
+    return d.withColumn("end", F.least(F.greatest(scaled("bottom"), F.col("first") + 1), F.col("scan_rows"))).drop("crop_top", "crop_bottom")
+
+
+def profile(scanned: DataFrame, within: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """series, y, busy, ink, structured, keep, zone, taken, page, start: the rows of all pages' windows as one long profile of each series; a page's rows begin at y = start."""
+    pages = grouping.running_offset(within.withColumn("n", F.col("end") - F.col("first")), ["series"], "page", "n", "start").select("series", "page", "first", "end", "start")
+    d = scanned.select("series", "page", "busy", "ink", "structured", "keep").join(pages, ["series", "page"])
+    rows = d.select("series", "page", "start", "first", "end", F.posexplode(F.arrays_zip("busy", "ink", "structured", "keep")).alias("r", "x")).where((F.col("r") >= F.col("first")) & (F.col("r") < F.col("end")))
+    rows = rows.select("series", "page", "start", (F.col("start") + F.col("r") - F.col("first")).alias("y"), "x.*")
+    return masks.zones(rows, ["series"], "y", "structured", part_rows=part_rows).withColumn("taken", F.col("busy") | F.col("zone") | F.col("keep"))
+
+
+def plan_series(scanned: DataFrame, settings: Settings, crops: DataFrame | None = None, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(cuts: series, page, y, forced, gap, top, bottom, height; stats: series, busy and zone percent) of whole series.
+
+    One plan goes over all pages of a series, so their ends are no cuts. Long series are planned in parts. Rows of a page are counted from its window's.
+    """
     limit, margin = settings.max_height, PRESETS[settings.strictness][2]
-    by_page = Window.partitionBy("series").orderBy("page")
-    d = scanned.withColumn("n", F.size("busy")).withColumn("start", F.coalesce(F.sum("n").over(by_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    widest = scanned.groupBy("series").agg(F.max("width").alias("strip_width"))
-    rows = d.select("series", "start", F.posexplode(F.arrays_zip("busy", "ink", "structured", "keep")).alias("r", "x")).select("series", (F.col("start") + F.col("r")).alias("y"), "x.*")
-    rows = shared_table(masks.zones(rows, ["series"], "y", "structured").withColumn("taken", F.col("busy") | F.col("zone") | F.col("keep")))
+    within = shared_table(windows(scanned, crops))
+    rows = shared_table(profile(scanned, within, part_rows))
     stats = rows.groupBy("series").agg(masks.percent_true("taken").alias("busy_percent"), masks.percent_true("zone").alias("zone_percent"))
+    widest = within.groupBy("series").agg(F.max("width").alias("strip_width"))
     most = F.greatest(F.lit(16), F.floor(F.lit(limit) * SCAN_WIDTH / F.col("strip_width")))
     sized = rows.join(widest.select("series", most.alias("most")), "series")
-    plans = planner.plan_cuts(sized, ["series"], "y", "taken", "ink", F.col("most"), F.floor(F.col("most") * 4 / 5), 0, margin)
-    at = lookup.page_at(d.select("series", "start", F.struct("start", "page").alias("at")), plans.select("series", "y", "forced"), ["series"], "start", "y", "at")
-    placed = at.select("series", "y", "forced", F.col("at.page").alias("page"), F.col("at.start").alias("start")).join(rows.select("series", "y", "keep"), ["series", "y"])
-    placed = placed.join(scanned.select("series", "page", "height", F.size("busy").alias("scan_rows"), "width"), ["series", "page"]).join(widest, "series")
-    over = F.floor(F.col("height") * F.col("strip_width") / F.col("width")) > limit
+    plans = transitions.plan_long(sized, ["series"], "y", "taken", "ink", F.col("most"), F.floor(F.col("most") * 4 / 5), 0, margin, part_rows=part_rows)
+    placed = plans.select("series", "y", "forced").join(rows.select("series", "y", "keep", "page", "start"), ["series", "y"]).join(within, ["series", "page"]).join(widest, "series")
+    scale = (F.col("bottom") - F.col("top")) / (F.col("end") - F.col("first"))
+    over = F.floor((F.col("bottom") - F.col("top")) * F.col("strip_width") / F.col("width")) > limit
     # a forced cut inside a closed region is given up, unless the page alone is over the limit
     placed = placed.where(~(F.col("forced") & F.col("keep") & ~over))
-    source = F.floor((F.col("y") - F.col("start")) * F.col("height") / F.col("scan_rows")).cast("long")
-    return placed.select("series", "page", source.alias("y"), "forced", (F.lit(GAP) * F.col("height") / F.col("scan_rows")).cast("int").alias("gap"), "height"), stats
+    source = F.col("top") + F.floor((F.col("y") - F.col("start")) * scale).cast("long")
+    return placed.select("series", "page", source.alias("y"), "forced", F.greatest(F.lit(1), F.floor(GAP * scale)).cast("int").alias("gap"), "top", "bottom", "height"), stats
+
 
+def verify(cuts: DataFrame, pages: DataFrame, settings: Settings, text: DataFrame | None = None) -> DataFrame:
+    """cuts with y moved to the nearest free row at full size, and bad where there is none. Only the rows around a cut are read.
 
-def verify(cuts: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
-    """cuts with y moved to the nearest free row at full size, and bad where there is none. Only the rows around a cut are read."""
+    text: series, page, top, bottom, left, right of recognised text lines, in pixels of the page; rows that their blocks cover near a cut aren't free.
+    """
     edge, spread, _, _ = PRESETS[settings.strictness]
-    half = 320
+    half, suspect = 320, 96
+    if text is None:
+        cuts = cuts.withColumn("lines", F.array().cast("array<array<int>>"))
+    else:
+        line = F.array(*(F.col(c).cast("int") for c in ("top", "bottom", "left", "right")))
+        held = text.dropna(subset=["top", "bottom", "left", "right"]).groupBy("series", "page").agg(F.collect_list(line).alias("lines"))
+        cuts = cuts.join(held, ["series", "page"], "left")
+        cuts = cuts.withColumn("lines", F.filter("lines", lambda x: (x[0] <= F.col("y") + suspect) & (x[1] >= F.col("y") - suspect)))
     near = cuts.join(pages.select("series", "page", "px", "width"), ["series", "page"])
-    near = near.withColumn("top", F.greatest(F.col("y") - half, F.lit(0))).withColumn("bottom", F.least(F.col("y") + half, F.col("height")))
-    near = near.withColumn("px", F.expr("slice(px, int(top * width) + 1, int((bottom - top) * width))"))
+    near = near.withColumn("above", F.greatest(F.col("y") - half, F.lit(0))).withColumn("below", F.least(F.col("y") + half, F.col("height")))
+    near = near.withColumn("px", F.expr("slice(px, int(above * width) + 1, int((below - above) * width))"))
 
     @F.pandas_udf("y long, bad boolean")
-    def moved(px: pd.Series, width: pd.Series, at: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([morphology.verified_cut(np.asarray(p, dtype=np.int64).reshape(-1, w), int(a), edge, spread, half) for p, w, a in zip(px, width, at)], columns=["y", "bad"])
+    def moved(px: pd.Series, width: pd.Series, at: pd.Series, first: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, w, a, t, found in zip(px, width, at, first, lines):
+            found = np.array([list(x) for x in found], dtype=np.int64) - [t, t, 0, 0] if found is not None and len(found) else None
+            out.append(morphology.verified_cut(np.asarray(p, dtype=np.int64).reshape(-1, w), int(a), edge, spread, half, lines=found, suspect=suspect))
+        return pd.DataFrame(out, columns=["y", "bad"])
 
-    d = near.withColumn("m", moved("px", "width", F.col("y") - F.col("top")))
-    return d.select("series", "page", (F.col("m.y") + F.col("top")).alias("y"), (F.col("forced") | F.col("m.bad")).alias("forced"), "gap", "height")
+    d = near.withColumn("m", moved("px", "width", F.col("y") - F.col("above"), "above", "lines"))
+    return d.select("series", "page", (F.col("m.y") + F.col("above")).alias("y"), (F.col("forced") | F.col("m.bad")).alias("forced"), "gap", "top", "bottom")
 
 
-def build(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """series, bundle, segment, page, start, end, rendered, tall, seam_cut, forced: which rows of which page make up each strip.
+def build(pages: DataFrame, settings: Settings = Settings(), templates: DataFrame | None = None, gated: bool | Column = False, text: DataFrame | None = None) -> DataFrame:
+    """series, bundle, segment, page, start, end, rendered, tall, seam_cut, forced, banner_cut: which rows of which page make up each strip.
 
-    pages: series, page (its order), px (packed pixels, row by row), width. Pages that can't be read are left out.
+    pages: series, page (its order), px (packed pixels, row by row), width. Pages that can't be read are left out. templates (banners.read_templates()) and
+    gated (whether a series' source is known to put banners on its pages) say which pages lose their banners; settings.banner_cut lets them. text: text
+    lines (see verify()).
     """
     scanned = shared_table(scan_pages(pages, settings))
-    cuts, _ = plan_series(scanned, settings)
-    kept = shared_table(verify(cuts, scanned, settings))
-    bounds = scanned.select("series", "page", F.lit(0).cast("long").alias("top"), F.col("height").cast("long").alias("bottom"))
-    spaced = planner.thin(kept, ["series", "page"], "y", 0, F.col("height"), F.greatest(F.col("gap"), F.lit(1)))
-    pieces = planner.segments(spaced, bounds, ["series", "page"], "y")
+    policy = banners.Policy.of(settings)
+    looked_for = policy is not None and not (templates is None and gated is False)
+    crops = shared_table(banners.banner_crops(scanned, policy, templates, gated)) if looked_for else None
+    cuts, _ = plan_series(scanned, settings, crops)
+    kept = shared_table(verify(cuts, scanned, settings, text))
+    bounds = windows(scanned, crops).select("series", "page", "top", "bottom", (F.col("bottom") - F.col("top") < F.col("height")).alias("banner_cut"))
+    spaced = planner.thin(kept, ["series", "page"], "y", F.col("top"), F.col("bottom"), F.col("gap"))
+    pieces = planner.segments(spaced, bounds.drop("banner_cut"), ["series", "page"], "y")
     widest = scanned.groupBy("series").agg(F.max("width").alias("strip_width"))
     pieces = pieces.join(scanned.select("series", "page", "px", "width", "height"), ["series", "page"]).join(widest, "series")
     rendered = F.greatest(F.lit(1), F.floor((F.col("end") - F.col("start")) * F.col("strip_width") / F.col("width"))).cast("long")
@@ -109,7 +152,8 @@ def build(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     if "seam_cut" not in bundled.columns:
         bundled = bundled.withColumn("seam_cut", F.lit(False))
     out = bundled.select("series", "segment", "bundle", "tall", "seam_cut").join(pieces, ["series", "segment"]).join(forced, ["series", "page"], "left")
-    return out.select("series", "bundle", "segment", "page", "start", "end", "rendered", "tall", "seam_cut", F.coalesce("forced", F.lit(False)).alias("forced"))
+    out = out.join(bounds.select("series", "page", "banner_cut"), ["series", "page"])
+    return out.select("series", "bundle", "segment", "page", "start", "end", "rendered", "tall", "seam_cut", F.coalesce("forced", F.lit(False)).alias("forced"), "banner_cut")
 
 
 def render(strips: DataFrame, pages: DataFrame) -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions import names, pixels
 from strandline.functions.natural import natural_key
-from strandline.operators import grouping, lookup, masks, matching, morphology, planner, rows, textblocks
-from strandline.plans import library
+from strandline.operators import grouping, lookup, masks, matching, morphology, planner, rows, runs, textblocks
+from strandline.plans import banners, library, strips
 from strandline.runtime import table
 from strandline.sources import archives, images
+from strandline.sources.settings import Settings
 from strandline.streaming.sessions import sessions
 
 LIMIT = 10_000
@@ -414,7 +415,29 @@ def q_zip_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return archives.unpack(packed, "file", "archive", keep=("source",)).select("entry", F.length("content").cast("long").alias("bytes"), "source")
 
 
-@query()
+#: Images of 24 rows, the middle twelve a vector's luminances, the others white. What is thinned never reaches the border, so nothing is flooded.
+ENCLOSED = f"""{LUM}, b AS (SELECT vec_id, y, x - 1 AS x, y < 6 OR y > 17 OR lum[x] >= 227 AS b FROM v, range(24) AS t(y), range(1, 65) AS u(x)),
+h AS (SELECT *, x BETWEEN 3 AND 60 AND bool_and(b) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS h FROM b),
+t AS (SELECT *, y BETWEEN 3 AND 20 AND bool_and(h) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS thin FROM h),
+gh AS (SELECT *, bool_or(thin) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS gh FROM t),
+g AS (SELECT *, b AND bool_or(gh) OVER (PARTITION BY vec_id, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS shut FROM gh),
+r AS MATERIALIZED (SELECT vec_id, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT vec_id, y, x, x - row_number() OVER (PARTITION BY vec_id, y ORDER BY x) AS i FROM g WHERE shut) GROUP BY vec_id, y, i),
+e AS MATERIALIZED (SELECT a.vec_id, a.y AS ay, a.x0 AS ax, b.y AS by, b.x0 AS bx FROM r a JOIN r b ON a.vec_id = b.vec_id AND abs(a.y - b.y) = 1 AND a.x0 < b.x1 AND b.x0 < a.x1),
+c AS (SELECT vec_id, y, x0, y * 64 + x0 AS c FROM r UNION SELECT c.vec_id, e.by, e.bx, c.c FROM c JOIN e ON c.vec_id = e.vec_id AND c.y = e.ay AND c.x0 = e.ax WHERE c.c < e.by * 64 + e.bx),
+l AS (SELECT vec_id, y, x0, min(c) AS c FROM c GROUP BY ALL), a AS (SELECT vec_id, c, sum(x1 - x0) AS area FROM l JOIN r USING (vec_id, y, x0) GROUP BY ALL),
+n AS (SELECT vec_id, y, sum(x1 - x0) / 64.0 > 0.04 AS hit FROM l JOIN r USING (vec_id, y, x0) JOIN a USING (vec_id, c) WHERE area <= 307 GROUP BY ALL)
+SELECT vec_id, count(n.y) FILTER (hit)::INT AS rows FROM v LEFT JOIN n USING (vec_id) GROUP BY vec_id"""
+
+
+@query(f"WITH RECURSIVE {ENCLOSED}")
+def q_enclosed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same images as q_keep_out's, one row a row of pixels, as graphs of runs in parts of ten rows."""
+    rows_of = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    images = vectors(spark, d).select("vec_id", rows_of.alias("y"), "lum").withColumn("lum", F.when(F.col("y").between(6, 17), F.col("lum")).otherwise(F.array_repeat(F.lit(255), 64)))
+    return runs.enclosed_rows(images, ["vec_id"], "y", "lum", part_rows=10).groupBy("vec_id").agg(F.count_if("enclosed").cast("int").alias("rows"))
+
+
+@query(f"WITH RECURSIVE {ENCLOSED}")
 def q_keep_out(spark: SparkSession, d: str) -> DataFrame:
     gray = F.transform("lum", lambda v: v * 65793)
     image = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(23)), lambda r: F.when((r < 6) | (r > 17), F.array_repeat(F.lit(16777215), 64)).otherwise(gray)))
@@ -603,3 +626,140 @@ def q_side_crops(spark: SparkSession, d: str) -> DataFrame:
     x = vectors(spark, d).withColumn("lum_score", F.col("vec_id") % 100 / 100.0)
     close = lambda a, b: F.coalesce(pixels.match_fraction(a, b, lambda p, q: F.abs(p - q)) >= 0.55, F.lit(False))
     return matching.side_crops(x, ["label"], "vec_id", "lum", close).select("vec_id", "crop")
+
+
+BANNERS = f"""{LUM}, p AS (SELECT label AS series, vec_id AS page, n_chars AS height, lum[1:32] AS top, lum[33:64] AS bottom FROM v JOIN documents ON doc_id = vec_id),
+tpl AS (SELECT arg_min(lum[1:32], vec_id) AS t FROM v WHERE label <> 3 GROUP BY label),
+x AS (SELECT series, page, unnest(['top', 'bottom']) AS side, unnest([top, bottom]) AS a FROM p WHERE height >= 600),
+c AS (SELECT *, list_avg(a) AS ma, list_avg(t) AS mt FROM x, tpl),
+s AS (SELECT series, page, side, round(CASE WHEN aa <= 0 OR tt <= 0 THEN 0 ELSE dot / sqrt(aa * tt) END, 6) AS s FROM (SELECT series, page, side, list_sum([(a[i] - ma) * (t[i] - mt) FOR i IN range(1, 33)]) AS dot, list_sum([(y - ma) ** 2 FOR y IN a]) AS aa, list_sum([(y - mt) ** 2 FOR y IN t]) AS tt FROM c)),
+best AS (SELECT series, page, side, max(s) >= 0.9 AS strong FROM s GROUP BY ALL),
+ref AS (SELECT series, side, arg_min(a, page) AS f, arg_max(a, page) AS l FROM x GROUP BY ALL),
+m AS (SELECT series, page, side, len([1 FOR i IN range(1, 33) IF abs(a[i] - f[i]) <= 24]) / 32.0 >= 0.6 AS mf, len([1 FOR i IN range(1, 33) IF abs(a[i] - l[i]) <= 24]) / 32.0 >= 0.6 AS ml FROM x JOIN ref USING (series, side)),
+n AS (SELECT *, count(*) FILTER (mf) OVER w AS nf, count(*) FILTER (ml) OVER w AS nl FROM m WINDOW w AS (PARTITION BY series, side)),
+ways AS (SELECT series, page, side, CASE WHEN strong THEN 'template' WHEN CASE WHEN nf >= 3 THEN mf WHEN nl >= 3 THEN ml ELSE false END THEN 'gate' END AS way FROM n JOIN best USING (series, page, side)),
+w AS (SELECT series, page, max(way) FILTER (side = 'top') AS top_by, max(way) FILTER (side = 'bottom') AS bottom_by FROM ways GROUP BY ALL),
+crops AS (SELECT series, page, CASE WHEN top_by IS NULL THEN 0 ELSE 200 END AS crop_top, CASE WHEN bottom_by IS NULL THEN 0 ELSE 200 END AS crop_bottom, top_by, bottom_by,
+  CASE WHEN height >= 600 THEN CASE WHEN top_by <> bottom_by THEN 'both' ELSE coalesce(top_by, bottom_by, 'none') END ELSE 'short' END AS reason FROM p LEFT JOIN w USING (series, page))"""
+
+
+def _banner_crops(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as series and documents of the same number as pages' heights; the two halves of a vector are a page's edges."""
+    v = vectors(spark, d)
+    half = lambda n: F.slice("lum", n, 32)
+    pages = v.join(docs(spark, d).select(F.col("doc_id").alias("vec_id"), F.col("n_chars").alias("height")), "vec_id")
+    pages = pages.select(F.col("label").alias("series"), F.col("vec_id").alias("page"), "height", half(1).alias("top"), half(33).alias("bottom"))
+    policy = banners.Policy(least_pages=3, least_share=0.6)
+    strips = banners.tall_enough(pages, policy).withColumn("top_grid", F.col("top")).withColumn("bottom_grid", F.col("bottom"))
+    templates = v.groupBy("label").agg(F.min("vec_id").alias("template"), F.min_by(half(1), "vec_id").alias("grid")).withColumn("grid", F.when(F.col("label") != 3, F.col("grid")))
+    close = lambda a, b: pixels.rows_continue(a, b, _apart, least=policy.least_share)
+    return banners.crops(pages, banners.decide(strips, policy, close, templates, digits=6), policy)
+
+
+@query(f"WITH {BANNERS} SELECT series, page, crop_top, crop_bottom, reason FROM crops")
+def q_banner_crops(spark: SparkSession, d: str) -> DataFrame:
+    return _banner_crops(spark, d).drop("top_by", "bottom_by")
+
+
+@query(f"""WITH {BANNERS}, counted AS (SELECT series, count(*) FILTER (reason <> 'short') AS checked, count(*) FILTER (crop_top > 0) AS tops, count(*) FILTER (crop_bottom > 0) AS bottoms, count(*) FILTER (crop_top > 0 OR crop_bottom > 0) AS pages,
+  count(*) FILTER (top_by = 'template') + count(*) FILTER (bottom_by = 'template') AS by_template, count(*) FILTER (top_by = 'gate') + count(*) FILTER (bottom_by = 'gate') AS by_gate FROM crops GROUP BY series)
+SELECT *, CASE WHEN checked = 0 THEN 'no page is tall enough' WHEN pages = 0 THEN 'no template matches and strips differ' ELSE 'cropped' END AS note FROM counted""")
+def q_banner_report(spark: SparkSession, d: str) -> DataFrame:
+    return banners.report(_banner_crops(spark, d))
+
+
+STACK = f"{LUM}, p AS (SELECT vec_id, label, lum, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y FROM v), st AS (SELECT vec_id, label, lum, y, list_max([abs(lum[i + 1] - lum[i]) FOR i IN range(1, 64)]) AS most, list_max([abs(lum[i + 1] - lum[i]) FOR i IN range(3, 62)]) AS inner_most, list_sort(lum)[33] AS med FROM p)"
+
+
+def _stack(spark: SparkSession, d: str) -> DataFrame:
+    """A label's vectors as the rows of an image."""
+    return vectors(spark, d).withColumn("y", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
+
+
+@query(f"""WITH {STACK}, ok AS (SELECT *, inner_most <= 152 AND med >= 30 AS smooth FROM st),
+n AS (SELECT a.vec_id, bool_and(b.smooth) AS every, max(list_max([abs(a.lum[i] - b.lum[i]) FOR i IN range(3, 63)])) AS far FROM ok a JOIN ok b ON a.label = b.label AND b.y BETWEEN a.y - 6 AND a.y + 6 GROUP BY a.vec_id)
+SELECT vec_id, every AND far <= 152 AND y % 2 = 0 AS safe FROM n JOIN st USING (vec_id)""")
+def q_safe_v7(spark: SparkSession, d: str) -> DataFrame:
+    return rows.level_safe(_stack(spark, d), ["label"], "y", "lum", 0.4, margin=2, step=2, part_rows=16).select("vec_id", "safe")
+
+
+@query(f"""WITH {STACK}, s AS (SELECT *, greatest(1, count(*) OVER (PARTITION BY label) // 24) AS step FROM st),
+b AS (SELECT label, least(15, (unnest(lum) * 16) >> 8) AS b FROM s WHERE y % step = 0 AND y < 24 * step), n AS (SELECT label, b, count(*) * CASE WHEN b >= 12 THEN 2 ELSE 1 END AS n FROM b GROUP BY label, b),
+r AS (SELECT label, max({{'n': n, 'b': b}}).b * 16 + 8 AS paper FROM n GROUP BY label),
+m AS (SELECT a.vec_id, max(list_max([abs(a.lum[i] - b.lum[i]) FOR i IN range(1, 65)])) AS far FROM st a JOIN st b ON a.label = b.label AND b.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.vec_id)
+SELECT vec_id, most <= 100 AND med >= 40 AND abs(med - paper) <= 16 AND far <= 140 AS safe FROM st JOIN r USING (label) JOIN m USING (vec_id)""")
+def q_safe_v6(spark: SparkSession, d: str) -> DataFrame:
+    return rows.paper_safe(_stack(spark, d), ["label"], "y", "lum", tau=140, edge=100, paper_range=16, part_rows=16).select("vec_id", "safe")
+
+
+PROFILES = """q AS (SELECT l_orderkey AS page, l_linenumber AS nr, l_quantity >= 48 AS busy, floor(l_discount * 100)::BIGINT AS ink, l_discount = 0.1 AND l_quantity > 40 AS structured, l_tax = 0.08 AS keep FROM lineitem),
+q1 AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY nr, busy, ink, structured, keep) - 1 AS nth, count(*) OVER (PARTITION BY page) AS n FROM q),
+q2 AS (SELECT *, page % 6 AS series, row_number() OVER (PARTITION BY page % 6 ORDER BY page, nth) - 1 AS y FROM q1 WHERE NOT (page % 4 = 0 AND n > 2 AND nth = 0)),
+m AS (SELECT *, min(y) OVER (PARTITION BY page) AS start, count(*) OVER (PARTITION BY series) AS h FROM q2),
+z0 AS (SELECT series, y, CASE WHEN y - lag(y) OVER (PARTITION BY series ORDER BY y) - 1 > 16 THEN 1 ELSE 0 END AS fresh FROM m WHERE structured), z1 AS (SELECT series, y, sum(fresh) OVER (PARTITION BY series ORDER BY y) AS s FROM z0),
+z2 AS (SELECT series, min(y) - CASE WHEN count(*) > 1 THEN 12 ELSE 0 END AS a, max(y) + CASE WHEN count(*) > 1 THEN 12 ELSE 0 END AS b FROM z1 GROUP BY series, s),
+z AS (SELECT m.series, m.y, bool_or(z2.a IS NOT NULL) AS zone FROM m LEFT JOIN z2 ON m.series = z2.series AND m.y BETWEEN z2.a AND z2.b GROUP BY m.series, m.y)"""
+
+
+def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as pages of six series, their lines as rows; of every fourth order the first line is cropped if it has more than two."""
+    x = table(spark, d, "lineitem")
+    row = F.struct("l_linenumber", (F.col("l_quantity") >= 48).alias("busy"), F.floor(F.col("l_discount") * 100).cast("int").alias("ink"), ((F.col("l_discount") == 0.1) & (F.col("l_quantity") > 40)).alias("structured"), (F.col("l_tax") == 0.08).alias("keep"))
+    pages = x.groupBy((F.col("l_orderkey") % 6).alias("series"), F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    scanned = pages.select("series", "page", F.lit(480).alias("width"), F.size("r").alias("height"), *(F.col(f"r.{c}").alias(c) for c in ("busy", "ink", "structured", "keep")))
+    return scanned, scanned.select("series", "page", ((F.col("page") % 4 == 0) & (F.col("height") > 2)).cast("int").alias("crop_top"), F.lit(0).alias("crop_bottom"))
+
+
+@query(f"""WITH RECURSIVE {PROFILES}, t AS (SELECT m.*, zone, busy OR keep OR zone AS taken FROM m JOIN z USING (series, y)),
+w AS (SELECT *, bool_or(taken) OVER (PARTITION BY series ORDER BY y ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS blocked FROM t),
+r AS (SELECT *, y >= 10 AND y + 10 < h AND NOT bool_or(blocked) OVER (PARTITION BY series ORDER BY y ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS clear FROM w),
+p AS (SELECT DISTINCT series, 0::BIGINT AS n, 0::BIGINT AS y, false AS forced FROM r
+  UNION ALL SELECT series, n + 1, coalesce(c1, c2.y, c5.y), c1 IS NULL FROM (
+    SELECT p.series, p.n, max(r.y) FILTER (clear) AS c1, min({{'s': 2 * (p.y + 40 - r.y) + ink, 'y': r.y}}) FILTER (NOT blocked) AS c2, min({{'s': ink * 1000 + (p.y + 40 - r.y), 'y': r.y}}) AS c5
+    FROM p JOIN r ON r.series = p.series AND r.y BETWEEN p.y + 32 AND p.y + 40 AND r.h - p.y > 40 GROUP BY p.series, p.n, p.y))
+SELECT series, page, nth AS row, forced FROM p JOIN t USING (series, y)
+WHERE p.n > 0 AND NOT (forced AND keep)""")
+def q_global_plan(spark: SparkSession, d: str) -> DataFrame:
+    scanned, crops = _profiles(spark, d)
+    cuts, _ = strips.plan_series(scanned, Settings(max_height=40, strictness="LOOSE"), crops, part_rows=512)
+    return cuts.select("series", "page", F.col("y").alias("row"), "forced")
+
+
+@query(f"""WITH {PROFILES} SELECT series, count(*) FILTER (busy OR keep OR zone) * 100 // count(*) AS busy_percent, count(*) FILTER (zone) * 100 // count(*) AS zone_percent FROM m JOIN z USING (series, y) GROUP BY series""")
+def q_plan_stats(spark: SparkSession, d: str) -> DataFrame:
+    scanned, crops = _profiles(spark, d)
+    return strips.plan_series(scanned, Settings(max_height=40, strictness="LOOSE"), crops, part_rows=512)[1]
+
+
+
+@query(f"""WITH RECURSIVE {STACK}, size AS (SELECT label, count(*) AS h FROM st GROUP BY label),
+g AS (SELECT label, y, x, x - row_number() OVER (PARTITION BY label, y ORDER BY x) AS g FROM (SELECT label, y, unnest(range(64)) AS x, unnest(lum) < 105 AS dark FROM st) WHERE dark),
+r AS MATERIALIZED (SELECT label, y, min(x) AS x0, max(x) + 1 AS x1 FROM g GROUP BY label, y, g),
+e AS MATERIALIZED (SELECT a.label, a.y AS ay, a.x0 AS ax, b.y AS by, b.x0 AS bx FROM r a JOIN r b ON a.label = b.label AND abs(a.y - b.y) = 1 AND a.x0 < b.x1 AND b.x0 < a.x1),
+c AS (SELECT label, y, x0, y * 64 + x0 AS c FROM r UNION SELECT c.label, e.by, e.bx, c.c FROM c JOIN e ON c.label = e.label AND c.y = e.ay AND c.x0 = e.ax WHERE c.c < e.by * 64 + e.bx),
+l AS (SELECT label, y, x0, min(c) AS c FROM c GROUP BY ALL)
+SELECT label, c // 64 AS label_y, (c % 64)::INT AS label_x, sum(x1 - x0)::BIGINT AS area, min(y) AS top, max(y) + 1 AS bottom, min(x0)::INT AS "left", max(x1)::INT AS "right", bool_or(y = 0 OR y = h - 1 OR x0 = 0 OR x1 = 64) AS border
+FROM l JOIN r USING (label, y, x0) JOIN size USING (label) GROUP BY label, c""")
+def q_components(spark: SparkSession, d: str) -> DataFrame:
+    """Dark regions of images whose rows are a label's vectors, in parts of 16 rows."""
+    x = _stack(spark, d).withColumn("dark", F.transform("lum", lambda v: v < 105))
+    labelled = runs.labelled_runs(x, ["label"], "y", "dark", part_rows=16)
+    return runs.regions(labelled, ["label"], runs.sizes(x, ["label"], "y", "lum"))
+
+
+@query(f"""WITH RECURSIVE {STACK}, prof AS (SELECT vec_id, label, y * 12 AS y, most > 110 AS structured, med // 8 AS max_run FROM st), dv AS (SELECT label, y FROM prof WHERE NOT structured AND max_run >= 16),
+l AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY y) AS k, y * 12 AS t, y * 12 + 2 + vec_id % 3 AS b, vec_id % 7 * 8 AS l, vec_id % 7 * 8 + 24 AS r FROM st WHERE vec_id % 3 <> 0),
+ld AS (SELECT l.*, coalesce(max(dv.y), -1) AS dv FROM l LEFT JOIN dv ON dv.label = l.label AND dv.y <= l.t GROUP BY ALL),
+f AS (SELECT label, k, 1 AS n, t, b, l, r, greatest(1, b - t) AS h, 1 AS c FROM ld WHERE k = 1
+  UNION ALL SELECT label, k, n + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN t ELSE t2 END, CASE WHEN joins THEN greatest(b, b2) ELSE b2 END, CASE WHEN joins THEN least(l, l2) ELSE l2 END,
+    CASE WHEN joins THEN greatest(r, r2) ELSE r2 END, CASE WHEN joins THEN greatest(h, h2) ELSE h2 END, CASE WHEN joins THEN c + 1 ELSE 1 END
+  FROM (SELECT f.label, ld.k, n, f.t, f.b, f.l, f.r, h, c, ld.t AS t2, ld.b AS b2, ld.l AS l2, ld.r AS r2, greatest(1, ld.b - ld.t) AS h2, ld.dv < f.b AND
+    ld.t - f.b <= 5 * greatest(h, ld.b - ld.t, 1) AND (least(f.r, ld.r) - greatest(f.l, ld.l)) / greatest(1, least(f.r - f.l, ld.r - ld.l))::DOUBLE > 0.3 AS joins FROM f JOIN ld ON ld.label = f.label AND ld.k = f.k + 1)),
+z AS (SELECT *, CASE WHEN c > 1 THEN 10 ELSE least(greatest(h, 8), 40) END AS pad, row_number() OVER (PARTITION BY label, n ORDER BY k DESC) AS last FROM f)
+SELECT vec_id, EXISTS (SELECT 1 FROM z WHERE last = 1 AND z.label = prof.label AND prof.y BETWEEN greatest(0, t - pad) AND b + pad) AS text FROM prof""")
+def q_text_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every twelfth row is a vector's, with a profile of its own; two in three hold a line of text."""
+    x = _stack(spark, d).withColumn("y", F.col("y") * 12)
+    profiles = x.select("vec_id", "label", "y", (pixels.max_step(F.col("lum")) > 110).alias("structured"), F.floor(pixels.median(F.col("lum")) / 8).alias("max_run"), F.lit(64).alias("width"))
+    lines = x.where("vec_id % 3 <> 0").select("label", F.col("y").alias("top"), (F.col("y") + 2 + F.col("vec_id") % 3).alias("bottom"), (F.col("vec_id") % 7 * 8).alias("left"), (F.col("vec_id") % 7 * 8 + 24).alias("right"))
+    return textblocks.text_rows(profiles, lines, ["label"], "y").select("vec_id", "text")
