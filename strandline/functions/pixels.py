@@ -72,16 +72,14 @@ def channel_sums(px: Column) -> Column:
     return F.transform(px, lambda p: channel(p, 16) + channel(p, 8) + channel(p, 0))
 
 
-def middle(x: Column, n: Column) -> Column:
-    return F.slice(x, F.floor((F.size(x) - n) / 2).cast("int") + 1, n)
-
-
 def match_fraction(a: Column, b: Column, delta, tau: int = 24) -> Column:
     """Share of sampled positions, both rows centred on each other, that differ by at most tau; null if one is empty."""
     n = F.least(F.size(a), F.size(b))
-    close = F.zip_with(middle(a, n), middle(b, n), lambda x, y: F.when(delta(x, y) <= tau, 1).otherwise(0))
-    s = strided(close, 512)
-    return F.when(n > 0, F.aggregate(s, F.lit(0), lambda t, x: t + x) / F.size(s))
+    # positions first: a lambda that named the compared rows would compare them anew for each position
+    at = F.sequence(F.lit(0), n - 1, F.greatest(F.lit(1), F.floor(n / 512)).cast("int"))
+    left = lambda x: F.floor((F.size(x) - n) / 2).cast("int")
+    hits = F.aggregate(at, F.lit(0), lambda t, i: t + F.when(delta(F.get(a, left(a) + i), F.get(b, left(b) + i)) <= tau, 1).otherwise(0))
+    return F.when(n > 0, hits / F.size(at))
 
 
 def rows_continue(a: Column, b: Column, delta, tau: int = 24, least: float = 0.9) -> Column:

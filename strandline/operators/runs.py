@@ -132,9 +132,10 @@ def paper_level(rows: DataFrame, keys: list[str], order: str, lum: str, images:
 
 def thinned(rows: DataFrame, keys: list[str], order: str, mask: str, by: int, out: str, part_rows: int = PART_ROWS) -> DataFrame:
     """out: values all of whose neighbours up to by rows and columns away are true; what lies outside an image counts as false."""
-    # within a row: true where the run that holds the value goes on for by to both sides
-    d = rows.withColumn("_r", F.filter(row_runs(F.col(mask)), lambda r: r["x1"] - r["x0"] > 2 * by))
-    d = d.withColumn(out, F.transform(mask, lambda v, x: v & F.exists("_r", lambda r: (x >= r["x0"] + by) & (x < r["x1"] - by)))).drop("_r")
+    # within a row: true where the run that holds the value goes on for by to both sides; the runs are bound first, as a lambda computes what it names for each element
+    long = F.filter(row_runs(F.col(mask)), lambda r: r["x1"] - r["x0"] > 2 * by)
+    within = F.transform(F.array(long), lambda rs: F.transform(mask, lambda v, x: v & F.exists(rs, lambda r: (x >= r["x0"] + by) & (x < r["x1"] - by))))
+    d = rows.withColumn(out, F.get(within, F.lit(0)))
 
     def work(e: DataFrame, k: list[str]) -> DataFrame:
         w = Window.partitionBy(*k).orderBy(order)

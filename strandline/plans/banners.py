@@ -75,7 +75,8 @@ def edges(pages: DataFrame, policy: Policy) -> DataFrame:
     """series, page, and of both sides the strip's packed pixels and its grid of luminances; pages (series, page, px, width, height) that are tall enough."""
     ship(pages.sparkSession)
     n = (F.col("width") * policy.rows).cast("int")
-    cut = tall_enough(pages, policy).select("series", "page", "width", F.slice("px", F.lit(1), n).cast("array<int>").alias("top"), F.slice("px", (F.col("width") * (F.col("height") - policy.rows) + 1).cast("int"), n).cast("array<int>").alias("bottom"))
+    colours = lambda px: F.transform(px, lambda p: p.bitwiseAND(F.lit(0xFFFFFF)).cast("int"))  # without alpha they fit an int
+    cut = tall_enough(pages, policy).select("series", "page", "width", colours(F.slice("px", F.lit(1), n)).alias("top"), colours(F.slice("px", (F.col("width") * (F.col("height") - policy.rows) + 1).cast("int"), n)).alias("bottom"))
 
     @F.pandas_udf("array<int>")
     def grid(px: pd.Series, width: pd.Series) -> pd.Series:
