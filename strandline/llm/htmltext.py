@@ -41,8 +41,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small strike strong sub sup time tt u var".split())
 
-#: Parts of a class that say how a page is laid out, not what the element holds (has-sidebar, share-enabled).
-LAYOUT = frozenset("has no with without is not enabled disabled open closed active visible hidden left right top bottom layout wrapper container".split())
+#: Parts of a class that say what a page has or does, not what the element holds (has-sidebar, share-enabled). Words of place (left, wrapper) don't: a sidebar's wrapper holds a sidebar.
+LAYOUT = frozenset("has no with without is not enabled disabled open closed active layout".split())
 
 #: Attributes as browsers read them: a quote opens a value only right after the equals sign. Possessive, so that no page costs more than its length.
 _ATTRIBUTE = r"""[^\s>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
@@ -62,6 +62,7 @@ class Block:
     inside: bool  # of an article
     heading: bool
     container: int
+    item: bool = False  # of a list
     label: str = ""
 
 
@@ -92,7 +93,7 @@ def blocks(page: str) -> list[Block]:
             squeezed = " ".join(htmllib.unescape("".join(text)).split())
             if squeezed:
                 _, is_out, inside, container = stack[-1] if stack else ("", 0, False, 0)
-                out.append(Block(squeezed, links, is_out, inside, any(s[0] in HEADINGS for s in stack[-2:]), container))
+                out.append(Block(squeezed, links, is_out, inside, any(s[0] in HEADINGS for s in stack[-2:]), container, any(s[0] == "li" for s in stack[-3:])))
             text.clear()
         links = 0
 
@@ -152,9 +153,19 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def decide(b: Block, trusted: int, short: int = 70, few: float = 0.15, most_links: float = 0.33) -> str:
-    """Pass 1: good, bad, or open: short, or near (longer, with few stop words: tables, other languages)."""
-    if b.out >= trusted or b.links > most_links * len(b.text):
+def linked(found: list[Block]) -> list[float]:
+    """Each block's share of characters inside links; items of an article's list share that of their list, as one item may well be a link."""
+    whole: dict[int, list[int]] = {}
+    for b in found:
+        if b.item and b.inside:
+            held = whole.setdefault(b.container, [0, 0])
+            held[0], held[1] = held[0] + b.links, held[1] + len(b.text)
+    return [whole[b.container][0] / whole[b.container][1] if b.item and b.inside else b.links / len(b.text) for b in found]
+
+
+def decide(b: Block, trusted: int, links: float, short: int = 70, few: float = 0.15, most_links: float = 0.33) -> str:
+    """Pass 1: good, bad, or open: short, or near (longer, with few stop words: tables, other languages). links: its share of them."""
+    if b.out >= trusted or links > most_links:
         return "bad"
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
@@ -201,8 +212,9 @@ def classify(found: list[Block]) -> list[Block]:
     Where no block is decided good, the open ones of an article are, or else all of the page but short ones that stand in no element; where there is none of these either, names of
     elements are not trusted and the rules judge what they had put aside.
     """
+    density = linked(found)
     for trusted in (NAMED, OUTSIDE):
-        first = [decide(b, trusted) for b in found]
+        first = [decide(b, trusted, x) for b, x in zip(found, density)]
         if "good" not in first:
             if any(x != "bad" and b.inside for b, x in zip(found, first)):
                 first = ["good" if x != "bad" and b.inside else "bad" for b, x in zip(found, first)]

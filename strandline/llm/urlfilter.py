@@ -67,16 +67,17 @@ class RuleIndex:
         if len(rules) > MOST_RULES:
             raise ValueError(f"{len(rules)} rules; the index holds {MOST_RULES} at most")
         held = Counter(t for r in rules for t in set(r.tokens))
-        self.by_token: dict[str, list[tuple[int, str, str, re.Pattern[str]]]] = defaultdict(list)
-        for r in rules:
+        self.by_token: dict[str, list[tuple[int, str, int, str, re.Pattern[str]]]] = defaultdict(list)
+        for n, r in enumerate(rules):
             if not r.tokens:
                 raise ValueError(f"rule {r.label!r} has no literal token")
             rarest = min(r.tokens, key=lambda t: ((seen or {}).get(t, 0), held[t], -len(t), t))
-            self.by_token[rarest].append((-len(r.label), r.label, r.verdict, r.regex))
+            self.by_token[rarest].append((-len(r.label), r.label, n, r.verdict, r.regex))
 
     def decide(self, host: str, path: str) -> tuple[str | None, str | None]:
-        candidates = {c[1]: c for t in set(_TOKEN.findall(host) + _TOKEN.findall(path)) for c in self.by_token.get(t, ())}
-        for _, label, verdict, rx in sorted(candidates.values(), key=lambda c: c[:2]):
+        # by number: rules of one host and path may differ in their patterns
+        candidates = {c[2]: c for t in set(_TOKEN.findall(host) + _TOKEN.findall(path)) for c in self.by_token.get(t, ())}
+        for _, label, _, verdict, rx in sorted(candidates.values(), key=lambda c: c[:3]):
             if rx.match(host + path):
                 return label, verdict
         return None, None

@@ -170,3 +170,23 @@ def test_pages_without_article_tags(spark):
         want = Counter(b.text for b in htmltext.blocks(f"<article>{inner[1]}</article>") if not b.out)
         hit, said, there = hit + (want & got[r["page_id"]]).total(), said + got[r["page_id"]].total(), there + want.total()
     assert hit / said >= 0.98 and hit / there >= 0.98 and queries.op7_main_text(spark, str(TABLE.parent)).count() == pages.count()
+
+
+PROSE = "The history of the harbour is long, and it was known to all of the people who lived there in those days. " * 2
+
+
+@pytest.mark.parametrize("name", ["comments-container", "left-sidebar", "sidebar-wrapper", "top-menu", "cookie-banner-bottom", "relatedPosts right", "newsletter_signup wrapper"])
+def test_words_of_place_do_not_hide_what_an_element_holds(name):
+    other = "This is what some of the readers have said of it, and it is not a part of the article that they were reading. " * 2
+    assert htmltext.main_text(f"<article><p>{PROSE}</p></article><div class='{name}'><p>{other}</p></div>") == PROSE.strip()
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-comments", "with-menu", "menu-open"])
+def test_modifiers_do(name):
+    assert htmltext.main_text(f"<div class='{name}'><article><p>{PROSE}</p></article></div>") == PROSE.strip()
+
+
+def test_an_item_that_is_a_link_stays_in_an_article_s_list():
+    page = f"<article><p>{PROSE}</p><ul><li>{PROSE[:100]}</li><li><a href='/x'>Linked item</a></li><li>{PROSE[:90]}</li></ul><p>{PROSE}</p><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></article>"
+    got = htmltext.main_text(page).split("\n\n")
+    assert "Linked item" in got and "One" not in got and len(got) == 5

@@ -125,6 +125,13 @@ def test_rules_are_filed_under_the_rarest_token():
     assert own.decide("x.track.io", "/p12") == ("p", "block") and own.decide("x.track.io", "/q") == (None, None)
 
 
+def test_rules_of_one_host_and_path_are_all_tried():
+    rules = [urlfilter.Rule("example.com", "/", "block", pattern=r".*example\.com/ads\d+"), urlfilter.Rule("example.com", "/", "allow", pattern=r".*example\.com/news"), urlfilter.Rule("example.com", "/ads12", "allow")]
+    index = urlfilter.RuleIndex(rules)
+    assert index.decide("example.com", "/ads1") == ("example.com/", "block") and index.decide("example.com", "/news") == ("example.com/", "allow")
+    assert index.decide("m.example.com", "/ads12") == ("example.com/ads12", "allow") and index.decide("example.com", "/x") == (None, None)
+
+
 def page(body, head="<title>T</title>"):
     return f"<!DOCTYPE html><html><head>{head}</head><body>{body}</body></html>"
 
