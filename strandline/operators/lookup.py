@@ -9,9 +9,8 @@ from strandline.operators import ordered
 
 
 def as_of(df: DataFrame, keys: list[str], order: list[str], match: Column, value: Column, out: str) -> DataFrame:
-    """out: value of the last row of the group at or before this one where match holds."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(F.when(match, value), ignorenulls=True).over(w))
+    """out: value of the last row of the group at or before this one where match holds, in two phases, so a long group is many tasks."""
+    return ordered.last_known(ordered.dealt(df, keys, order[0]), keys, order, F.when(match, value), out).drop(ordered.PART)
 
 
 def page_at(offsets: DataFrame, points: DataFrame, keys: list[str], offset: str, point: str, value: str) -> DataFrame:
@@ -57,4 +56,5 @@ def append(*frames: DataFrame) -> DataFrame:
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int, out: str = "rank") -> DataFrame:
+    """The first n rows of each group, numbered; every task keeps at most n a group before the shuffle (Spark's limit below a ranking window)."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= n)

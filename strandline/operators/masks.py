@@ -35,21 +35,23 @@ def dilate(df: DataFrame, keys: list[str], order: str, mask: str, margin: int, o
 
 def islands(df: DataFrame, keys: list[str], order: str, keep: Column, least: int = 1) -> DataFrame:
     """keys, start, end (exclusive), size: maximal runs of rows where keep holds, of at least least rows. order counts rows from 0 without gaps."""
-    w = _by(keys, order)
-    d = df.where(keep).withColumn("_g", F.col(order) - F.row_number().over(w))
+    _by(keys, order)
+    # numbered in two phases, so a long group is many tasks
+    d = ordered.running_sum(ordered.dealt(df.where(keep).select(*keys, order), keys, order), keys, order, F.lit(1), "_n").withColumn("_g", F.col(order) - F.col("_n"))
     return d.groupBy(*keys, "_g").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("end")).withColumn("size", F.col("end") - F.col("start")).where(F.col("size") >= least).drop("_g")
 
 
-def safe_bands(df: DataFrame, keys: list[str], order: str, busy: str, margin: int, least: int) -> DataFrame:
+def safe_bands(df: DataFrame, keys: list[str], order: str, busy: str, margin: int, least: int, part_rows: int | None = None) -> DataFrame:
     """Islands of rows that no busy row comes within margin of."""
-    return islands(dilate(df, keys, order, busy, margin, "_b"), keys, order, ~F.col("_b"), least)
+    return islands(dilate(df, keys, order, busy, margin, "_b", part_rows), keys, order, ~F.col("_b"), least)
 
 
 def sessionise(df: DataFrame, keys: list[str], order: str, mask: str, gap: int) -> DataFrame:
     """keys, first, last: groups of true rows with at most gap other rows between neighbours."""
-    w = _by(keys, order)
-    d = df.where(F.col(mask)).withColumn("_n", (F.col(order) - F.lag(order).over(w) - 1 > gap).cast("int"))
-    d = d.withColumn("_s", F.sum(F.coalesce("_n", F.lit(0))).over(w))
+    _by(keys, order)
+    # a row after which a session ends counts for all rows after it; in two phases, so a long group is many tasks
+    d = ordered.next_values(ordered.dealt(df.where(F.col(mask)).select(*keys, order), keys, order), keys, order, [order])
+    d = ordered.running_sum(d, keys, order, (F.col(f"next_{order}") - F.col(order) - 1 > gap).cast("int"), "_s")
     return d.groupBy(*keys, "_s").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_s")
 
 
@@ -91,11 +93,11 @@ def percent_true(mask: str) -> Column:
 
 
 def nearest_free(df: DataFrame, keys: list[str], order: str, blocked: str, most: int | None = None) -> DataFrame:
-    """Adds nearest: the closest free row of the group, of equal distances the lower one; null beyond most rows away."""
-    w = _by(keys, order)
+    """Adds nearest: the closest free row of the group, of equal distances the lower one; null beyond most rows away. In two phases each way, so a long group is many tasks."""
+    _by(keys, order)
     free = F.when(~F.col(blocked), F.col(order))
-    down, up = F.last(free, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(free, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = df.withColumn("_d", down).withColumn("_u", up)
+    d = ordered.last_known(ordered.dealt(df, keys, order), keys, [order], free, "_d").drop(ordered.PART).withColumn("_back", -F.col(order))
+    d = ordered.last_known(ordered.dealt(d, keys, "_back"), keys, ["_back"], free, "_u").drop(ordered.PART, "_back")
     pick = F.when(F.col("_u").isNull() | (F.col(order) - F.col("_d") <= F.col("_u") - F.col(order)), F.col("_d")).otherwise(F.col("_u"))
     d = d.withColumn("nearest", pick).drop("_d", "_u")
     return d if most is None else d.withColumn("nearest", F.when(F.abs(F.col("nearest") - F.col(order)) <= most, F.col("nearest")))

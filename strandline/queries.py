@@ -106,14 +106,14 @@ def q_bundle_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EVENTS} SELECT event_id, bool_or(busy) OVER (PARTITION BY user_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS blocked FROM e")
 def q_dilate(spark: SparkSession, d: str) -> DataFrame:
-    return masks.dilate(event_rows(spark, d), ["user_id"], "y", "busy", 2).select("event_id", "blocked")
+    return masks.dilate(event_rows(spark, d), ["user_id"], "y", "busy", 2, part_rows=4096).select("event_id", "blocked")
 
 
 @query(f"""WITH {EVENTS}, b AS (SELECT user_id, y, bool_or(busy) OVER (PARTITION BY user_id ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS blocked FROM e),
 g AS (SELECT user_id, y, y - row_number() OVER (PARTITION BY user_id ORDER BY y) AS g FROM b WHERE NOT blocked)
 SELECT user_id, min(y) AS first_row, max(y) + 1 AS end_row, count(*) AS size FROM g GROUP BY user_id, g HAVING count(*) >= 3""")
 def q_safe_bands(spark: SparkSession, d: str) -> DataFrame:
-    return masks.safe_bands(event_rows(spark, d), ["user_id"], "y", "busy", 2, 3).select("user_id", F.col("start").alias("first_row"), F.col("end").alias("end_row"), "size")
+    return masks.safe_bands(event_rows(spark, d), ["user_id"], "y", "busy", 2, 3, 4096).select("user_id", F.col("start").alias("first_row"), F.col("end").alias("end_row"), "size")
 
 
 @query(f"""WITH {EVENTS}, b AS (SELECT user_id, y, CASE WHEN y - lag(y) OVER (PARTITION BY user_id ORDER BY y) - 1 > 3 THEN 1 ELSE 0 END AS fresh FROM e WHERE busy),
@@ -121,7 +121,7 @@ s AS (SELECT user_id, y, sum(fresh) OVER (PARTITION BY user_id ORDER BY y) AS s
 z AS (SELECT user_id, min(y) - CASE WHEN count(*) > 1 THEN 2 ELSE 0 END AS a, max(y) + CASE WHEN count(*) > 1 THEN 2 ELSE 0 END AS b FROM s GROUP BY user_id, s)
 SELECT event_id, EXISTS (SELECT 1 FROM z WHERE z.user_id = e.user_id AND e.y BETWEEN z.a AND z.b) AS zone FROM e""")
 def q_text_zones(spark: SparkSession, d: str) -> DataFrame:
-    return masks.zones(event_rows(spark, d), ["user_id"], "y", "busy", 3, 2).select("event_id", "zone")
+    return masks.zones(event_rows(spark, d), ["user_id"], "y", "busy", 3, 2, part_rows=4096).select("event_id", "zone")
 
 
 @query(f"""WITH {EVENTS}, b AS (SELECT user_id, y, CASE WHEN y - lag(y) OVER (PARTITION BY user_id ORDER BY y) - 1 > 3 THEN 1 ELSE 0 END AS fresh FROM e WHERE busy),
