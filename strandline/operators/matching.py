@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions import pixels
 from strandline.runtime import ship
 
 
@@ -69,6 +70,78 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 1e-9)
 
 
+def equalised(df: DataFrame, key: str, lum: str, out: str = "gray") -> DataFrame:
+    """Adds out: luminances spread over 0 to 255 by their rank, from each row's cumulative histogram; an image of one value stays as it is.
+
+    key names a row. The histograms are aggregates of at most 256 values a row; null and empty arrays give null and empty ones.
+    """
+    counts = df.select(key, F.explode(lum).alias("_v")).groupBy(key, "_v").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key)
+    upto, least = F.sum("_n").over(w.orderBy("_v")), F.first("_n").over(w.orderBy("_v"))
+    counts = counts.withColumn("_u", upto - least).withColumn("_all", F.sum("_n").over(w) - least)
+    level = F.when(F.col("_all") == 0, F.col("_v")).otherwise(F.rint(F.col("_u") * 255 / F.col("_all")).cast("int"))
+    tables = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_v", level))).alias("_t")).withColumnRenamed(key, "_k")
+    return df.join(tables, F.col(key) == F.col("_k"), "left").withColumn(out, F.transform(lum, lambda v: F.element_at("_t", v))).drop("_k", "_t")
+
+
+def _kept(flags: Column) -> Column:
+    return F.size(F.filter(flags, lambda x: x))
+
+
+def likeness(region: Column, template: Column, least_edge: int = 60, least_dark: int = 20) -> Column:
+    """struct<score, gray, edge, dark, mask, diff, width_difference> of a region and a template, structs of width, raw, gray, edge, dark and, for templates, mask.
+
+    All arrays are on one grid: raw and gray hold luminances, the others flags. Edges and dark parts count where both have more than the least of them. Differences are
+    looked at within the template's mask, and all over.
+    """
+    apart = lambda a, b: F.zip_with(a, b, lambda x, y: F.abs(x - y).cast("double"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
+    alike = lambda mean: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - mean / 255.0))
+    share = lambda r: F.greatest(F.lit(0.0), r)
+    ink = lambda flags: F.transform(flags, lambda x: x.cast("int"))
+
+    def scored(d: Column) -> Column:
+        masked = F.zip_with(d, template["mask"], lambda x, m: F.when(m, x).otherwise(0.0))
+        mask = alike(F.coalesce(F.try_divide(total(masked), _kept(template["mask"])), F.lit(0.0)))
+        diff = alike(F.coalesce(F.try_divide(total(d), F.size(d)), F.lit(0.0)))
+        gray = share(ncc(region["gray"], template["gray"]))
+        edge = F.when((_kept(region["edge"]) > least_edge) & (_kept(template["edge"]) > least_edge), share(ncc(ink(region["edge"]), ink(template["edge"])))).otherwise(0.0)
+        a, b = _kept(region["dark"]), _kept(template["dark"])
+        inter = _kept(F.zip_with(region["dark"], template["dark"], lambda x, y: x & y))
+        dark = F.when((a > least_dark) & (b > least_dark), pixels.overlap_score(inter, a, b)).otherwise(0.0)
+        width = F.abs(region["width"] - template["width"]) / region["width"]
+        parts = F.struct(gray.alias("gray"), edge.alias("edge"), dark.alias("dark"), mask.alias("mask"), diff.alias("diff"), width.alias("width_difference"))
+        whole = lambda p: F.struct(pixels.combined_score(p["mask"], p["gray"], p["edge"], p["dark"], p["diff"], pixels.width_confidence(p["width_difference"])).alias("score"), *(p[c].alias(c) for c in ("gray", "edge", "dark", "mask", "diff", "width_difference")))
+        return F.get(F.transform(F.array(parts), whole), F.lit(0))
+
+    # bound once: a lambda computes what it names for each element
+    return F.get(F.transform(F.array(apart(region["raw"], template["raw"])), scored), F.lit(0))
+
+
+def best_match(regions: DataFrame, templates: DataFrame, region: str, template_id: str, template: str, most_bytes: int = 8 << 20, digits: int | None = None, **least: int) -> DataFrame:
+    """regions with best_template, is_match and the parts of its likeness: the template of the highest score above 0, of equal ones the first by id; null if none.
+
+    The templates go along as one row, whose size is checked first; a region's scores are one pass over it, so no row is multiplied. digits: scores are rounded before they compete.
+    """
+    size = templates.agg(F.sum(F.octet_length(F.to_json(template).cast("binary")))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of templates; {most_bytes} go along at most")
+    held = templates.agg(F.array_sort(F.collect_list(F.struct(F.col(template_id).alias("i"), F.col(template).alias("t")))).alias("_all"))
+    kind = templates.schema[template_id].dataType.simpleString()
+    parts = "score double, gray double, edge double, dark double, mask double, diff double, width_difference double"
+    none = F.lit(None).cast(f"struct<i:{kind},s:struct<{parts.replace(' double', ':double')}>>")
+    near = lambda x: x if digits is None else F.round(x, digits)
+
+    def better(best: Column, x: Column) -> Column:
+        now = F.struct(x["i"].alias("i"), likeness(F.col(region), x["t"], **least).alias("s"))
+        return F.get(F.transform(F.array(now), lambda n: F.when(near(n["s"]["score"]) > F.coalesce(near(best["s"]["score"]), F.lit(0.0)), n).otherwise(best)), F.lit(0))
+
+    d = regions.crossJoin(F.broadcast(held)).withColumn("_b", F.aggregate("_all", none, better)).drop("_all")  # one row
+    s = F.col("_b.s")
+    hit = F.coalesce(pixels.is_match(s["score"], s["mask"], s["gray"], s["edge"], s["dark"], s["width_difference"]), F.lit(False))
+    return d.withColumn("best_template", F.col("_b.i")).withColumn("is_match", hit).select("*", "_b.s.*").drop("_b")
+
+
 def gate(df: DataFrame, keys: list[str], order: str, matches, vec: str, least: int = 3, out: str = "grouped") -> DataFrame:
     """out: the row matches its group's first row, if least rows or more do, or else its last row, if least rows or more do.
 
@@ -90,7 +163,5 @@ def crop_decision(score_tier: Column, in_gate: Column) -> Column:
 
 def side_crops(df: DataFrame, keys: list[str], order: str, side: str, matches, least: int = 3, out: str = "crop") -> DataFrame:
     """out: whether this side of a page is cropped, from the columns <side> (its edge's vector) and <side>_score (of its best template)."""
-    from strandline.functions.pixels import tier
-
     d = gate(df, keys, order, matches, side, least, "_gate")
-    return d.withColumn(out, crop_decision(tier(F.coalesce(f"{side}_score", F.lit(0.0))), F.col("_gate"))).drop("_gate")
+    return d.withColumn(out, crop_decision(pixels.tier(F.coalesce(f"{side}_score", F.lit(0.0))), F.col("_gate"))).drop("_gate")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import pixels
@@ -58,14 +58,17 @@ def profile(scanned: DataFrame, within: DataFrame, part_rows: int = PART_ROWS) -
     return masks.zones(rows, ["series"], "y", "structured", part_rows=part_rows).withColumn("taken", F.col("busy") | F.col("zone") | F.col("keep"))
 
 
-def plan_series(scanned: DataFrame, settings: Settings, crops: DataFrame | None = None, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+def plan_series(scanned: DataFrame, settings: Settings, crops: DataFrame | None = None, part_rows: int = PART_ROWS, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """(cuts: series, page, y, forced, gap, top, bottom, height; stats: series, busy and zone percent) of whole series.
 
     One plan goes over all pages of a series, so their ends are no cuts. Long series are planned in parts. Rows of a page are counted from its window's.
     """
     limit, margin = settings.max_height, PRESETS[settings.strictness][2]
     within = shared_table(windows(scanned, crops))
-    rows = shared_table(profile(scanned, within, part_rows))
+    rows = profile(scanned, within, part_rows)
+    if seen is not None:  # counted by the job that writes the rows
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(c) for c in ("taken", "zone", "keep")))
+    rows = shared_table(rows)
     stats = rows.groupBy("series").agg(masks.percent_true("taken").alias("busy_percent"), masks.percent_true("zone").alias("zone_percent"))
     widest = within.groupBy("series").agg(F.max("width").alias("strip_width"))
     most = F.greatest(F.lit(16), F.floor(F.lit(limit) * SCAN_WIDTH / F.col("strip_width")))
@@ -80,6 +83,21 @@ def plan_series(scanned: DataFrame, settings: Settings, crops: DataFrame | None
     return placed.select("series", "page", source.alias("y"), "forced", F.greatest(F.lit(1), F.floor(GAP * scale)).cast("int").alias("gap"), "top", "bottom", "height"), stats
 
 
+def measured_plan(scanned: DataFrame, settings: Settings, crops: DataFrame | None = None, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(cuts of plan_series(), one row of metrics: pages, rows, busy, zone and keep percent, cuts, forced).
+
+    The metrics are gathered by the jobs that write rows and cuts, so nothing is read for their sake. Without rows the percentages are 0.
+    """
+    pages, rows, cuts = Observation("pages"), Observation("rows"), Observation("cuts")
+    counted = shared_table(scanned.observe(pages, F.count(F.lit(1)).alias("pages")))
+    plan, _ = plan_series(counted, settings, crops, part_rows, rows)
+    plan = shared_table(plan.observe(cuts, F.count(F.lit(1)).alias("cuts"), F.count_if("forced").alias("forced")))
+    n = pages.get | rows.get | cuts.get
+    percent = {f"{k}_percent": n[c] * 100 // max(1, n["rows"]) for k, c in (("busy", "taken"), ("zone", "zone"), ("keep", "keep"))}
+    values = {"pages": n["pages"], "rows": n["rows"], **percent, "cuts": n["cuts"], "forced": n["forced"]}
+    return plan, scanned.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"{k} long" for k in values))
+
+
 def verify(cuts: DataFrame, pages: DataFrame, settings: Settings, text: DataFrame | None = None) -> DataFrame:
     """cuts with y moved to the nearest free row at full size, and bad where there is none. Only the rows around a cut are read.
 

@@ -710,15 +710,17 @@ def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return scanned, scanned.select("series", "page", ((F.col("page") % 4 == 0) & (F.col("height") > 2)).cast("int").alias("crop_top"), F.lit(0).alias("crop_bottom"))
 
 
-@query(f"""WITH RECURSIVE {PROFILES}, t AS (SELECT m.*, zone, busy OR keep OR zone AS taken FROM m JOIN z USING (series, y)),
+GLOBAL_PLAN = f"""WITH RECURSIVE {PROFILES}, t AS (SELECT m.*, zone, busy OR keep OR zone AS taken FROM m JOIN z USING (series, y)),
 w AS (SELECT *, bool_or(taken) OVER (PARTITION BY series ORDER BY y ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS blocked FROM t),
 r AS (SELECT *, y >= 10 AND y + 10 < h AND NOT bool_or(blocked) OVER (PARTITION BY series ORDER BY y ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS clear FROM w),
 p AS (SELECT DISTINCT series, 0::BIGINT AS n, 0::BIGINT AS y, false AS forced FROM r
   UNION ALL SELECT series, n + 1, coalesce(c1, c2.y, c5.y), c1 IS NULL FROM (
     SELECT p.series, p.n, max(r.y) FILTER (clear) AS c1, min({{'s': 2 * (p.y + 40 - r.y) + ink, 'y': r.y}}) FILTER (NOT blocked) AS c2, min({{'s': ink * 1000 + (p.y + 40 - r.y), 'y': r.y}}) AS c5
-    FROM p JOIN r ON r.series = p.series AND r.y BETWEEN p.y + 32 AND p.y + 40 AND r.h - p.y > 40 GROUP BY p.series, p.n, p.y))
-SELECT series, page, nth AS row, forced FROM p JOIN t USING (series, y)
-WHERE p.n > 0 AND NOT (forced AND keep)""")
+    FROM p JOIN r ON r.series = p.series AND r.y BETWEEN p.y + 32 AND p.y + 40 AND r.h - p.y > 40 GROUP BY p.series, p.n, p.y)),
+cuts AS (SELECT series, page, nth AS row, forced FROM p JOIN t USING (series, y) WHERE p.n > 0 AND NOT (forced AND keep))"""
+
+
+@query(f"{GLOBAL_PLAN} SELECT * FROM cuts")
 def q_global_plan(spark: SparkSession, d: str) -> DataFrame:
     scanned, crops = _profiles(spark, d)
     cuts, _ = strips.plan_series(scanned, Settings(max_height=40, strictness="LOOSE"), crops, part_rows=512)
@@ -763,3 +765,49 @@ def q_text_rows(spark: SparkSession, d: str) -> DataFrame:
     profiles = x.select("vec_id", "label", "y", (pixels.max_step(F.col("lum")) > 110).alias("structured"), F.floor(pixels.median(F.col("lum")) / 8).alias("max_run"), F.lit(64).alias("width"))
     lines = x.where("vec_id % 3 <> 0").select("label", F.col("y").alias("top"), (F.col("y") + 2 + F.col("vec_id") % 3).alias("bottom"), (F.col("vec_id") % 7 * 8).alias("left"), (F.col("vec_id") % 7 * 8 + 24).alias("right"))
     return textblocks.text_rows(profiles, lines, ["label"], "y").select("vec_id", "text")
+
+
+EQUAL = f"""{LUM}, hist AS (SELECT vec_id, x, count(*) AS n FROM (SELECT vec_id, unnest(lum) AS x FROM v) GROUP BY ALL),
+cum AS (SELECT vec_id, x, sum(n) OVER w - first_value(n) OVER w AS u, sum(n) OVER (PARTITION BY vec_id) - first_value(n) OVER w AS m FROM hist WINDOW w AS (PARTITION BY vec_id ORDER BY x)),
+lut AS (SELECT vec_id, map(list(x), list(CASE WHEN m = 0 THEN x ELSE round_even(u * 255.0 / m, 0) END::INT)) AS t FROM cum GROUP BY vec_id),
+eq AS (SELECT vec_id, label, lum, [t[x] FOR x IN lum] AS gray FROM v JOIN lut USING (vec_id))"""
+
+
+@query(f"WITH {EQUAL} SELECT vec_id, list_sum([gray[i] * i FOR i IN range(1, 65)])::BIGINT AS weighted, list_min(gray) AS low, list_max(gray) AS high FROM eq")
+def q_equalised(spark: SparkSession, d: str) -> DataFrame:
+    x = matching.equalised(vectors(spark, d), "vec_id", "lum")
+    weighted = F.aggregate(F.zip_with("gray", F.sequence(F.lit(1), F.size("gray")), lambda a, i: a * i), F.lit(0), lambda t, v: t + v)
+    return x.select("vec_id", weighted.cast("long").alias("weighted"), F.array_min("gray").alias("low"), F.array_max("gray").alias("high"))
+
+
+def _corr(a: str, b: str) -> str:
+    n, dot = f"len({a})", lambda p, q: f"list_dot_product({p}::DOUBLE[], {q}::DOUBLE[])"
+    total = lambda p: f"list_sum({p})::DOUBLE"
+    va, vb = (f"({n} * {dot(p, p)} - {total(p)} * {total(p)})" for p in (a, b))
+    return f"CASE WHEN {va} <= 0 OR {vb} <= 0 THEN 0 ELSE least(1, greatest(0, ({n} * {dot(a, b)} - {total(a)} * {total(b)}) / (sqrt({va}) * sqrt({vb})))) END"
+
+
+@query(f"""WITH {EQUAL}, x AS (SELECT vec_id, label, 64 + vec_id % 60 AS w, lum, gray, [(lum[i] < 135)::INT FOR i IN range(1, 65)] AS dark, [(i < 64 AND abs(lum[least(i + 1, 64)] - lum[i]) > 40)::INT FOR i IN range(1, 65)] AS edge, [(lum[i] < 200)::INT FOR i IN range(1, 65)] AS mask FROM eq),
+t AS (SELECT min(vec_id) AS id, arg_min(x, vec_id) AS t FROM x GROUP BY label),
+p AS (SELECT x.vec_id, id, {_corr('x.gray', 't.t.gray')} AS gray, CASE WHEN list_sum(x.edge) > 10 AND list_sum(t.t.edge) > 10 THEN {_corr('x.edge', 't.t.edge')} ELSE 0 END AS edge, list_sum(x.dark) AS a, list_sum(t.t.dark) AS b, list_dot_product(x.dark::DOUBLE[], t.t.dark::DOUBLE[]) AS i,
+  [abs(x.lum[i] - t.t.lum[i]) FOR i IN range(1, 65)] AS apart, t.t.mask AS m, abs(x.w - t.t.w) / x.w::DOUBLE AS wd FROM x, t),
+s AS (SELECT vec_id, id, gray, edge, wd, 1 - coalesce(list_dot_product(apart::DOUBLE[], m::DOUBLE[]) / nullif(list_sum(m), 0), 0) / 255 AS mask, 1 - list_avg(apart) / 255 AS diff, CASE WHEN a > 20 AND b > 20 THEN 0.75 * 2 * i / (a + b) + 0.25 * i / (a + b - i) ELSE 0 END AS dark FROM p),
+c AS (SELECT *, (mask * 0.25 + gray * 0.30 + edge * 0.18 + dark * 0.25 + diff * 0.02) * CASE WHEN wd <= 0.2 THEN 1.0 WHEN wd <= 0.5 THEN 0.7 ELSE 0.4 END AS score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, id) AS k FROM c)
+SELECT vec_id, id AS template, round(score, 6)::DOUBLE AS score, (score >= 0.58 AND (gray >= 0.30 OR edge >= 0.18 OR dark >= 0.28) AND wd <= 0.5) OR (dark >= 0.42 AND (gray >= 0.22 OR edge >= 0.12 OR mask >= 0.88)) OR (mask >= 0.93 AND gray >= 0.45) AS is_match FROM r WHERE k = 1""")
+def q_template_match(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector against the first of each label: grey, edge, dark and masked likeness at once."""
+    x = matching.equalised(vectors(spark, d), "vec_id", "lum")
+    after = F.zip_with("lum", F.slice("lum", 2, 64), lambda a, b: F.coalesce(F.abs(b - a) > 40, F.lit(False)))
+    picture = F.struct((F.col("vec_id") % 60 + 64).alias("width"), F.col("lum").alias("raw"), "gray", after.alias("edge"), F.transform("lum", lambda v: v < 135).alias("dark"), F.transform("lum", lambda v: v < 200).alias("mask"))
+    x = x.select("vec_id", "label", picture.alias("picture"))
+    templates = x.groupBy("label").agg(F.min("vec_id").alias("id"), F.min_by("picture", "vec_id").alias("picture"))
+    best = matching.best_match(x, templates, "picture", "id", "picture", digits=9, least_edge=10)
+    return best.select("vec_id", F.col("best_template").alias("template"), F.round("score", 6).alias("score"), "is_match")
+
+
+@query(f"""{GLOBAL_PLAN} SELECT (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS pages, count(*) AS rows, count(*) FILTER (taken) * 100 // count(*) AS busy_percent, count(*) FILTER (zone) * 100 // count(*) AS zone_percent, count(*) FILTER (keep) * 100 // count(*) AS keep_percent,
+  (SELECT count(*) FROM cuts) AS cuts, (SELECT count(*) FILTER (forced) FROM cuts) AS forced FROM t""")
+def q_plan_metrics(spark: SparkSession, d: str) -> DataFrame:
+    scanned, crops = _profiles(spark, d)
+    return strips.measured_plan(scanned, Settings(max_height=40, strictness="LOOSE"), crops, part_rows=512)[1]

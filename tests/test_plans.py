@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import masks, morphology, ordered, planner, rows, runs, textblocks, transitions
+from strandline.operators import lookup, masks, matching, morphology, ordered, planner, rows, runs, textblocks, transitions
 from strandline.plans import banners, strips
 from strandline.sources import images
 from strandline.sources.settings import Settings
@@ -228,3 +228,62 @@ def test_enclosed_rows_equal_their_array_form(spark):
     for part_rows in (8, 1 << 12):
         got = {(r["k"], r["y"]): r["enclosed"] for r in runs.enclosed_rows(df, ["k"], "y", "lum", part_rows=part_rows).collect()}
         assert got == want
+
+
+def test_two_phase_masks_on_one_long_key(spark):
+    rng = random.Random(12)
+    flags = [rng.random() < 0.3 for _ in range(3000)]
+    df = spark.createDataFrame([("k", y, f) for y, f in enumerate(flags)] + [(None, 0, True), (None, 1, False)], "k string, y long, m boolean").repartition(7)
+    assert ordered.dealt(df, ["k"], "y", 8).where("k = 'k'").select(ordered.PART).distinct().count() > 2
+    true, free = [y for y in range(3000) if flags[y]], [y for y in range(3000) if not flags[y]]
+    groups = [[true[0]]]
+    for y in true[1:]:
+        groups[-1].append(y) if y - groups[-1][-1] - 1 <= 3 else groups.append([y])
+    assert sorted((r["first"], r["last"]) for r in masks.sessionise(df, ["k"], "y", "m", 3).where("k = 'k'").collect()) == [(g[0], g[-1]) for g in groups]
+    runs_ = [(a, b) for a, b in planner.runs(np.array(flags), 2)]
+    assert sorted((r["start"], r["end"]) for r in masks.islands(df, ["k"], "y", F.col("m"), 2).where("k = 'k'").collect()) == runs_
+    near = {r["y"]: r["nearest"] for r in masks.nearest_free(df, ["k"], "y", "m", 9).where("k = 'k'").collect()}
+    assert near == {y: min((z for z in free if abs(z - y) <= 9), key=lambda z: (abs(z - y), z), default=None) for y in range(3000)}
+    last = {r["y"]: r["v"] for r in lookup.as_of(df, ["k"], ["y"], F.col("m"), F.col("y"), "v").where("k = 'k'").collect()}
+    assert last == {y: max((z for z in true[: y + 1] if z <= y), default=None) for y in range(3000)}
+
+
+def test_best_match_equals_a_plain_version(spark):
+    rng = np.random.default_rng(14)
+
+    def picture(i):
+        raw = rng.integers(0, 256, 40)
+        return {"width": int(rng.integers(30, 90)), "raw": raw.tolist(), "gray": raw[::-1].tolist(), "edge": (raw > 100).tolist(), "dark": (raw < 140).tolist(), "mask": (raw < 230).tolist() if i else [False] * 40}
+
+    def ncc(a, b):
+        a, b = np.asarray(a, float) - np.mean(a), np.asarray(b, float) - np.mean(b)
+        n = np.sqrt((a * a).sum() * (b * b).sum())
+        return max(0.0, float((a * b).sum() / n)) if n > 0 else 0.0
+
+    def plain(r, t):
+        d = np.abs(np.array(r["raw"]) - np.array(t["raw"]))
+        m = np.array(t["mask"])
+        mask, diff = 1 - (d[m].mean() if m.any() else 0) / 255, 1 - d.mean() / 255
+        edge = ncc(r["edge"], t["edge"]) if sum(r["edge"]) > 10 and sum(t["edge"]) > 10 else 0
+        a, b, i = sum(r["dark"]), sum(t["dark"]), sum(x and y for x, y in zip(r["dark"], t["dark"]))
+        dark = 0.75 * 2 * i / (a + b) + 0.25 * i / (a + b - i) if a > 20 and b > 20 else 0
+        w = abs(r["width"] - t["width"]) / r["width"]
+        return (mask * 0.25 + ncc(r["gray"], t["gray"]) * 0.3 + edge * 0.18 + dark * 0.25 + diff * 0.02) * (1.0 if w <= 0.2 else 0.7 if w <= 0.5 else 0.4)
+
+    kind = "struct<width:int,raw:array<int>,gray:array<int>,edge:array<boolean>,dark:array<boolean>,mask:array<boolean>>"
+    regions, templates = [(i, picture(i)) for i in range(60)], [(i, picture(i)) for i in range(7)]
+    regions.append((60, templates[3][1]))
+    templates.append((9, templates[3][1]))  # of equal templates the first
+    r, t = spark.createDataFrame(regions, f"id int, p {kind}"), spark.createDataFrame(templates, f"t int, p {kind}")
+    got = {x["id"]: (x["best_template"], round(x["score"], 9)) for x in matching.best_match(r, t, "p", "t", "p", digits=9, least_edge=10).collect()}
+    want = {i: max(((k, round(plain(p, q), 9)) for k, q in templates), key=lambda x: (x[1], -x[0])) for i, p in regions}
+    assert got == want and got[60][0] == 3
+    assert {x["best_template"] for x in matching.best_match(r, t.where("false"), "p", "t", "p").collect()} == {None}
+    with pytest.raises(ValueError):
+        matching.best_match(r, t, "p", "t", "p", most_bytes=10)
+
+
+def test_equalised(spark):
+    df = spark.createDataFrame([(1, [10, 10, 20, 30]), (2, [7, 7]), (3, []), (4, None)], "id int, lum array<int>")
+    got = {r["id"]: r["gray"] for r in matching.equalised(df, "id", "lum").collect()}
+    assert got == {1: [0, 0, 128, 255], 2: [7, 7], 3: [], 4: None}
