@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,35 +13,60 @@ from strandline.operators import ordered
 from strandline.operators.folds import fold_sorted
 
 
-def bundles_of(sheets: Iterable[tuple], limit: int) -> Iterator[tuple[list[tuple], bool, bool]]:
-    """(sheets, tall, seam cut) of each bundle, for sheets (id, height, safe to break before, linked to the one before).
+class Sheet(NamedTuple):
+    """name, height, and of the boundary before it: whether a break is safe there, and whether it is linked to the sheet above."""
 
-    A bundle holds what fits the limit. A sheet above it stands alone. Where the next sheet doesn't fit and is linked, the bundle
-    is closed at its last unlinked boundary and the rest goes on with the sheet; without one, the link is cut and flagged.
+    name: object
+    height: int
+    safe: bool
+    linked: bool
+
+
+@dataclass
+class Pile:
+    """The sheets of an open bundle, with the last boundary in it that no link crosses (0: none) and whether it began at a bad one."""
+
+    sheets: list[Sheet] = field(default_factory=list)
+    total: int = 0
+    loose: int = 0
+    bad: bool = False
+
+    def put(self, sheet: Sheet) -> None:
+        if self.sheets and not sheet.linked:
+            self.loose = len(self.sheets)
+        self.sheets.append(sheet)
+        self.total += sheet.height
+
+    def break_for(self, sheet: Sheet) -> tuple[Pile, Pile]:
+        """(what is closed, what goes on) where sheet doesn't fit: at the boundary before it, or, as a link crosses that, at the last loose one."""
+        at = (sheet.linked and self.loose) or len(self.sheets)
+        rest = self.sheets[at:]
+        first = (rest or [sheet])[0]
+        bad = first.linked or not first.safe
+        on = Pile(bad=bad)
+        for s in rest:
+            on.put(s)
+        return Pile(self.sheets[:at], bad=self.bad or (bad and bool(rest))), on
+
+
+def bundles_of(sheets: Iterable[tuple], limit: int) -> Iterator[tuple[list[Sheet], bool, bool]]:
+    """(sheets, tall, seam cut) of bundles of sheets (tuples as Sheet) that hold what fits the limit (none, if 0 or less); a sheet above it stands alone, and starts anew what follows.
+
+    A seam is cut where a bundle begins at a bad boundary, or was closed at one to keep a link.
     """
-    held: list[tuple] = []
-    total, seam = 0, False
-    for sheet in sheets:
-        height, safe, linked = sheet[1:4]
-        if 0 < limit < height:
-            if held:
-                yield held, False, seam
+    pile = Pile()
+    for sheet in map(Sheet._make, sheets):
+        tall = 0 < limit < sheet.height
+        if pile.sheets and (tall or 0 < limit < pile.total + sheet.height):
+            done, pile = (pile, Pile()) if tall else pile.break_for(sheet)
+            yield done.sheets, False, done.bad
+        if tall:
             yield [sheet], True, False
-            held, total, seam = [], 0, False
-        elif held and 0 < limit < total + height:
-            cut = len(held)
-            if linked:
-                cut = next((j for j in range(len(held) - 1, 0, -1) if not held[j][3]), cut)
-            rest_unsafe = cut < len(held) and not held[cut][2]
-            yield held[:cut], False, seam or rest_unsafe
-            seam = (cut == len(held) and (linked or not safe)) or rest_unsafe
-            held = [*held[cut:], sheet]
-            total = sum(s[1] for s in held)
+            pile = Pile()
         else:
-            held.append(sheet)
-            total += height
-    if held:
-        yield held, False, seam
+            pile.put(sheet)
+    if pile.sheets:
+        yield pile.sheets, False, pile.bad
 
 
 def by_height(df: DataFrame, keys: list[str], order: str, height: str, limit: int, safe: str | None = None, linked: str | None = None) -> DataFrame:
@@ -48,7 +75,7 @@ def by_height(df: DataFrame, keys: list[str], order: str, height: str, limit: in
     def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         for n, (sheets, tall, seam) in enumerate(bundles_of(rows, limit), 1):
             for s in sheets:
-                yield s[0], s[1], n, tall, seam
+                yield s.name, s.height, n, tall, seam
 
     d = df.withColumn("_s", F.coalesce(F.col(safe), F.lit(True)) if safe else F.lit(True)).withColumn("_l", F.coalesce(F.col(linked), F.lit(False)) if linked else F.lit(False))
     kind = df.schema[order].dataType.simpleString()
