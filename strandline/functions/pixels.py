@@ -111,6 +111,14 @@ def seam_continues(bottom: Column, bottom_width: Column, top: Column, top_width:
     return F.coalesce(seam_fraction(bottom, bottom_width, top, top_width, delta) >= least, F.lit(False))
 
 
+def variance(lum: Column) -> Column:
+    """Of all values of an image, over their number; 0 of an empty one. One pass over whole sums."""
+    sums = F.aggregate(lum, F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("q")), lambda t, v: F.struct((t["s"] + v).alias("s"), (t["q"] + v.cast("long") * v).alias("q")))
+    n = F.size(lum)
+    of = lambda t: F.coalesce(F.try_divide(n * t["q"] - t["s"] * t["s"], n.cast("double") * n), F.lit(0.0))
+    return F.get(F.transform(F.array(sums), of), F.lit(0))
+
+
 def paper_bin(lum: Column) -> Column:
     """Bins 0..15 of the sampled row, for paper_estimate."""
     return F.transform(strided(lum, 64), lambda v: F.least(F.lit(15), F.greatest(F.lit(0), F.shiftright(v * 16, 8))))

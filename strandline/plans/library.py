@@ -63,8 +63,20 @@ def import_archives(files: DataFrame, name: str = "path", content: str = "conten
 def outcomes(library: DataFrame, settings: Settings, strips: DataFrame) -> DataFrame:
     """series, archive, strips, flagged, error: one row per series with pages, by its own pack or the setting's."""
     made = strips.groupBy("series").agg(F.countDistinct("bundle").alias("strips"), F.count_if(F.col("tall") | F.col("seam_cut") | F.col("forced")).alias("flagged"))
-    d = library.join(made, "series", "left").withColumn("pack", names.resolved_pack(F.col("pack"), settings.pack))
-    return d.select("series", names.pack_name(F.coalesce("origin", "series"), F.col("pack")).alias("archive"), F.coalesce("strips", F.lit(0)).alias("strips"), F.coalesce("flagged", F.lit(0)).alias("flagged"), F.when(F.col("strips").isNull(), F.lit("no readable page")).alias("error"))
+    d = with_pages(library).join(made, "series", "left").withColumn("pack", names.resolved_pack(F.col("pack"), settings.pack))
+    return d.select("series", names.batch_name(F.coalesce("origin", "series"), F.col("pack")).alias("archive"), F.coalesce("strips", F.lit(0)).alias("strips"), F.coalesce("flagged", F.lit(0)).alias("flagged"), F.when(F.col("strips").isNull(), F.lit("no readable page")).alias("error"))
+
+
+def with_pages(library: DataFrame) -> DataFrame:
+    """The series that have pages; others are no work for a batch."""
+    return library.where(F.size("uris") > 0)
+
+
+def results(strips: DataFrame) -> DataFrame:
+    """series, bundle, pieces, height, flagged, reason, banner_cut: one row per strip of strips.build(), for review."""
+    one = strips.groupBy("series", "bundle").agg(F.count("*").alias("pieces"), F.sum("rendered").alias("height"), *(F.bool_or(c).alias(c) for c in ("tall", "forced", "seam_cut", "banner_cut")))
+    reason = grouping.flag_reason(F.col("tall"), F.col("forced"), F.col("seam_cut"))
+    return one.select("series", "bundle", "pieces", "height", reason.isNotNull().alias("flagged"), reason.alias("reason"), "banner_cut")
 
 
 def swept(files: DataFrame, referenced: DataFrame, path: str = "path", size: str = "length") -> tuple[DataFrame, DataFrame]:

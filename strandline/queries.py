@@ -811,3 +811,35 @@ def q_template_match(spark: SparkSession, d: str) -> DataFrame:
 def q_plan_metrics(spark: SparkSession, d: str) -> DataFrame:
     scanned, crops = _profiles(spark, d)
     return strips.measured_plan(scanned, Settings(max_height=40, strictness="LOOSE"), crops, part_rows=512)[1]
+
+
+CLEAN_SQL = r"""regexp_replace(regexp_replace(regexp_replace({0}, '[\\\\/:*?"<>|]', '_', 'g'), '^\\s+|\\s+$', '', 'g'), '^\\.+|\\.+$', '', 'g')"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, ['CBZ', 'ZIP', 'FILES'][p_partkey % 3 + 1] AS pack, CASE WHEN p_partkey % 7 = 0 THEN ' ' ELSE p_brand || ':' END AS series, p_partkey % 5 AS chapter FROM part),
+f AS (SELECT *, CASE WHEN series = ' ' THEN 'series' ELSE series END AS s, chapter::VARCHAR AS c FROM p)
+SELECT p_partkey, CASE pack WHEN 'CBZ' THEN s || '_ch' || c || '.cbz' WHEN 'ZIP' THEN s || '_ch' || c || '.zip' ELSE s || '_' || c || '_001.jpg' END AS file, {CLEAN_SQL.format('s')} || '_ch' || c || CASE WHEN pack = 'CBZ' THEN '.cbz' ELSE '.zip' END AS archive,
+CASE pack WHEN 'CBZ' THEN 'application/x-cbz' WHEN 'ZIP' THEN 'application/zip' ELSE 'image/jpeg' END AS mime FROM f""")
+def q_default_names(spark: SparkSession, d: str) -> DataFrame:
+    pack = F.element_at(F.array(*map(F.lit, ("CBZ", "ZIP", "FILES"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    series, chapter = F.when(F.col("p_partkey") % 7 == 0, F.lit(" ")).otherwise(F.concat("p_brand", F.lit(":"))), (F.col("p_partkey") % 5).cast("string")
+    x = table(spark, d, "part").select("p_partkey", pack.alias("pack"), series.alias("series"), chapter.alias("chapter"))
+    file = names.default_file_name(F.col("pack"), F.col("series"), F.col("chapter"), F.lit("JPG"), F.lit("{series}_{chapter}_{n}"), 3)
+    return x.select("p_partkey", file.alias("file"), names.default_archive_name(F.col("pack"), F.col("series"), F.col("chapter")).alias("archive"), names.export_mime(F.col("pack"), F.lit("JPG")).alias("mime"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, 'box/' || p_name AS title, {ENDING_SQL} AS e FROM part), f AS (SELECT p_partkey, CASE WHEN e = '' THEN title ELSE title || '.' || e END AS origin, lower(e) AS e, title FROM p)
+SELECT p_partkey, CASE WHEN e IN ('zip', 'cbz', 'rar', 'cbr', '7z', 'cb7') THEN title[5:] WHEN e IN ('png', 'jpg') THEN 'box_' || title[5:] ELSE 'box_' || origin[5:] END || '.zip' AS name FROM f""")
+def q_batch_names(spark: SparkSession, d: str) -> DataFrame:
+    return _named_parts(spark, d).select("p_partkey", names.batch_name(F.col("file"), F.lit("ZIP")).alias("name"))
+
+
+@query(f"WITH {LUM} SELECT vec_id, round((64 * list_dot_product(lum::DOUBLE[], lum::DOUBLE[]) - list_sum(lum)::DOUBLE * list_sum(lum)) / 4096, 6) AS variance FROM v")
+def q_gray_variance(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).select("vec_id", F.round(pixels.variance(F.col("lum")), 6).alias("variance"))
+
+
+@query("""WITH RECURSIVE """ + BUNDLES + """ SELECT lang AS series, bundle, count(*) AS pieces, sum(n_chars)::BIGINT AS height, bool_or(tall) OR bool_or(doc_id % 11 = 0) AS flagged, CASE WHEN bool_or(tall) THEN 'tall' WHEN bool_or(doc_id % 11 = 0) THEN 'forced' END AS reason, bool_or(doc_id % 5 = 0) AS banner_cut FROM f GROUP BY lang, bundle""")
+def q_results(spark: SparkSession, d: str) -> DataFrame:
+    x = q_group_height(spark, d).withColumnsRenamed({"lang": "series", "n_chars": "rendered"})
+    return library.results(x.withColumn("forced", F.col("doc_id") % 11 == 0).withColumn("banner_cut", F.col("doc_id") % 5 == 0))
