@@ -13,6 +13,7 @@ from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -25,12 +26,15 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], columns: list[
     """keys and fields of what fold yields for each group. fold gets the group's rows, in order, as tuples of columns.
 
     Rows come in Arrow batches, so whole numbers stay exact beside nulls. A null key is a group of its own.
+
+    Rows are dealt by a hash of the keys, not by the keys: a shuffle by keys is left out where the rows seem to lie so already, and then adaptive execution,
+    which sees no need of it after a map, may still split them (parts of a union read apart, a skewed side of a join).
     """
     ship(df.sparkSession)
     picked = df.select(*keys, *order, *columns)
     names = [f"k{i}" for i in range(len(keys))] + [f"o{i}" for i in range(len(order))] + [f"c{i}" for i in range(len(columns))]
     sort_keys = names[: len(keys) + len(order)]
-    dealt = picked.toDF(*names).repartition(*names[: len(keys)]).sortWithinPartitions(*sort_keys)
+    dealt = picked.toDF(*names).repartition(F.xxhash64(*names[: len(keys)])).sortWithinPartitions(*sort_keys)
     schema = T.StructType([T.StructField(k, f.dataType) for k, f in zip(keys, picked.schema.fields)] + T.StructType.fromDDL(fields).fields)
     nk, skip = len(keys), len(keys) + len(order)
 

@@ -5,12 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline import runtime
 from strandline.functions import names, pixels
 from strandline.functions.natural import natural_key
-from strandline.operators import grouping, lookup, masks, matching, morphology, ordered, planner, rows, textblocks
+from strandline.operators import folds, grouping, lookup, masks, matching, morphology, ordered, planner, rows, textblocks
 from strandline.plans import library, strips
 from strandline.sources import archives, images
 from strandline.sources.settings import Settings
@@ -386,3 +387,18 @@ def test_probe_finds_a_late_jpeg_header(spark):
     rows = [(b"\xff\xd8" + segment * n + frame + b"\xff\xd9",) for n in (0, 2)] + [(b"\xff\xd8" + segment * 2,), (None,)]
     got = images.probe(spark.createDataFrame(rows, "content binary"), "content").collect()
     assert sorted((r["width"], r["height"]) for r in got) == [(0, 0), (0, 0), (40, 30), (40, 30)]
+
+
+def test_a_fold_sees_whole_groups_of_a_union(spark):
+    """Both halves are dealt by k already, in shuffles that adaptive execution reads apart."""
+    adaptive = {"advisoryPartitionSizeInBytes": "4000", "coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1"}
+    wide, narrow = spark.range(4000).selectExpr("id % 10 k", "id y", "repeat(md5(string(id)), 9) v"), spark.range(40).selectExpr("id % 10 k", "id y", "'' v")
+    numbered = [d.withColumn("y", F.row_number().over(Window.partitionBy("k").orderBy("y", "v"))) for d in (wide, narrow)]
+    try:
+        for k, v in adaptive.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+        got = folds.fold_sorted(numbered[0].unionByName(numbered[1]), ["k"], ["y"], ["y"], lambda rows: [(sum(1 for _ in rows),)], "n long").collect()
+    finally:
+        for k in adaptive:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+    assert sorted(map(tuple, got)) == [(k, 404) for k in range(10)]
