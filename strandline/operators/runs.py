@@ -6,24 +6,84 @@ runs on either side of a part's edge take part in joining parts. So an image is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.folds import fold_sorted
 from strandline.operators.masks import in_parts
-from strandline.runtime import shared_table
+from strandline.runtime import shared_table, ship
 
 PART_ROWS = 1 << 12
 
 
+def _flat(masks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of the arrays of a batch, one after the other; null arrays are empty, null values false."""
+    return masks.flatten().fill_null(False).to_numpy(zero_copy_only=False).astype(bool), masks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _rows(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, pa.bool_()))
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the row) of each flat value."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _runs_of(masks: pa.Array) -> pa.Array:
+    v, n = _flat(masks)
+    row, x = _places(n)
+    starts = np.flatnonzero(v & ((x == 0) | ~np.r_[False, v[:-1]]))
+    ends = np.flatnonzero(v & ((x == n[row] - 1) | ~np.r_[v[1:], False]))
+    ofs = np.r_[0, np.cumsum(np.bincount(row[starts], minlength=len(n)))]
+    return pa.ListArray.from_arrays(pa.array(ofs, pa.int32()), pa.StructArray.from_arrays([pa.array(x[starts], pa.int32()), pa.array(x[ends] + 1, pa.int32())], names=["x0", "x1"]))
+
+
+def _all_of(masks: pa.Array, *others: pa.Array) -> pa.Array:
+    """masks where all others of the row are true too; what they don't hold is false."""
+    v, n = _flat(masks)
+    row, x = _places(n)
+    for o in others:
+        w, m = _flat(o)
+        there = x < m[row]
+        at = (np.cumsum(m) - m)[row] + x
+        v[~there] = False
+        v[there] &= w[at[there]]
+    return _rows(v, n)
+
+
+def _within(masks: pa.Array, spans: pa.Array) -> pa.Array:
+    """masks where one of the row's spans (x0, x1) holds the place."""
+    v, n = _flat(masks)
+    row, _ = _places(n)
+    of = np.repeat(np.arange(len(n)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    a, b = (np.clip(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64), 0, n[of]) for i in (0, 1))
+    # one place more a row, where what goes on to its end is closed
+    first = np.cumsum(n + 1) - n - 1
+    edge = np.zeros(int((n + 1).sum()) + 1, np.int64)
+    np.add.at(edge, first[of] + a, 1)
+    np.add.at(edge, first[of] + np.maximum(a, b), -1)
+    return _rows(v & (np.cumsum(edge)[np.arange(len(v)) + row] > 0), n)
+
+
+def _on_arrays(work: Callable[..., pa.Array], gives: str, *columns: Column) -> Column:
+    """work on whole batches of arrays. Not to be moved or repeated: a filter on what it gives would run it twice."""
+    return F.arrow_udf(work, gives).asNondeterministic()(*columns)
+
+
 def row_runs(mask: Column) -> Column:
     """array<struct<x0, x1>>: the maximal stretches of true values, x1 exclusive; null and empty masks have none."""
-    here = lambda x: F.coalesce(F.get(mask, x), F.lit(False))
-    columns = F.when(F.size(mask) > 0, F.sequence(F.lit(0), F.size(mask) - 1)).otherwise(F.array().cast("array<int>"))
-    starts, ends = F.filter(columns, lambda x: here(x) & ~here(x - 1)), F.filter(columns, lambda x: here(x) & ~here(x + 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("x0"), (b + 1).alias("x1")))
+
+    def work(masks: pa.Array) -> pa.Array:
+        return _runs_of(masks)
+
+    return _on_arrays(work, "array<struct<x0: int, x1: int>>", mask)
 
 
 class Sets:
@@ -90,6 +150,7 @@ def labelled_runs(rows: DataFrame, keys: list[str], order: str, mask: str, part_
 
     rows: keys, order (whole numbers; rows that aren't there part regions) and a boolean array. Only runs on part edges pass through one task an image.
     """
+    ship(rows.sparkSession)
     d = rows.select(*keys, F.col(order).cast("long").alias("_y"), row_runs(F.col(mask)).alias("_r")).where(F.size("_r") > 0).withColumn("_part", F.floor(F.col("_y") / part_rows))
     local = fold_sorted(d, [*keys, "_part"], ["_y"], ["_y", "_r"], part_labels, "y long, x0 int, x1 int, label_y long, label_x int")
     local = shared_table(local.drop("_part"))
@@ -132,22 +193,26 @@ def paper_level(rows: DataFrame, keys: list[str], order: str, lum: str, images:
 
 def thinned(rows: DataFrame, keys: list[str], order: str, mask: str, by: int, out: str, part_rows: int = PART_ROWS) -> DataFrame:
     """out: values all of whose neighbours up to by rows and columns away are true; what lies outside an image counts as false."""
-    # within a row: true where the run that holds the value goes on for by to both sides; the runs are bound first, as a lambda computes what it names for each element
-    long = F.filter(row_runs(F.col(mask)), lambda r: r["x1"] - r["x0"] > 2 * by)
-    within = F.transform(F.array(long), lambda rs: F.transform(mask, lambda v, x: v & F.exists(rs, lambda r: (x >= r["x0"] + by) & (x < r["x1"] - by))))
-    d = rows.withColumn(out, F.get(within, F.lit(0)))
+    ship(rows.sparkSession)
+
+    def across(masks: pa.Array) -> pa.Array:
+        v, n = _flat(masks)
+        row, x = _places(n)
+        upto, at = np.r_[0, np.cumsum(v)], np.arange(len(v))
+        inside = (x >= by) & (x + by < n[row])
+        return _rows(inside & (upto[np.minimum(at + by + 1, len(v))] - upto[np.maximum(at - by, 0)] == 2 * by + 1), n)
+
+    def down(masks: pa.Array, *others: pa.Array) -> pa.Array:
+        return _all_of(masks, *others)
+
+    d = rows.withColumn(out, _on_arrays(across, "array<boolean>", F.col(mask)))
 
     def work(e: DataFrame, k: list[str]) -> DataFrame:
         w = Window.partitionBy(*k).orderBy(order)
         near = [f(out, i).over(w) for i in range(1, by + 1) for f in (F.lag, F.lead)]
         e = e.withColumns({f"_n{i}": c for i, c in enumerate(near)})
-        all_there = F.lit(True)
-        for i in range(len(near)):
-            all_there = all_there & F.col(f"_n{i}").isNotNull()
-        both = F.col(out)
-        for i in range(len(near)):
-            both = F.zip_with(both, F.col(f"_n{i}"), lambda a, b: a & b)
-        return e.withColumn(out, F.when(all_there, both).otherwise(F.transform(out, lambda _: F.lit(False)))).drop(*(f"_n{i}" for i in range(len(near))))
+        # rows beyond the image are null, and so false
+        return e.withColumn(out, _on_arrays(down, "array<boolean>", F.col(out), *(F.col(f"_n{i}") for i in range(len(near))))).drop(*(f"_n{i}" for i in range(len(near))))
 
     return in_parts(d, keys, order, by, part_rows, work)
 
@@ -171,7 +236,11 @@ def enclosed_rows(rows: DataFrame, keys: list[str], order: str, lum: str, tolera
     # a run grows by close to all sides: into the rows around it, and in each of them
     grown = seeds.select(*keys, F.explode(F.sequence(F.col("y") - close, F.col("y") + close)).alias(order), F.struct((F.col("x0") - close).alias("x0"), (F.col("x1") + close).alias("x1")).alias("r"))
     grown = grown.groupBy(*keys, order).agg(F.collect_set("r").alias("grown"))
-    shut = d.join(grown, [*keys, order]).withColumn("shut", F.transform("bright", lambda b, x: b & F.exists("grown", lambda r: (x >= r["x0"]) & (x < r["x1"]))))
+
+    def held(masks: pa.Array, spans: pa.Array) -> pa.Array:
+        return _within(masks, spans)
+
+    shut = d.join(grown, [*keys, order]).withColumn("shut", _on_arrays(held, "array<boolean>", F.col("bright"), F.col("grown")))
     found = labelled_runs(shut.select(*keys, order, "shut"), keys, order, "shut", part_rows)
     # 32-bit floats, as the limits are
     limit = F.floor(((F.col("rows") * F.col("columns")).cast("float").cast("double") * F.lit(largest).cast("float").cast("double")).cast("float"))

@@ -1,6 +1,7 @@
 """Plans over whole series: banners, text, long profiles, safe masks and regions, each against a plain version."""
 
 import random
+import re
 from collections import deque
 
 import numpy as np
@@ -287,3 +288,23 @@ def test_equalised(spark):
     df = spark.createDataFrame([(1, [10, 10, 20, 30]), (2, [7, 7]), (3, []), (4, None)], "id int, lum array<int>")
     got = {r["id"]: r["gray"] for r in matching.equalised(df, "id", "lum").collect()}
     assert got == {1: [0, 0, 128, 255], 2: [7, 7], 3: [], 4: None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_zones_look_ahead_without_frames_that_grow_with_the_part(spark):
+    """A frame that ends with the part is gone through anew for each row, so the work of a part was its square."""
+    df = spark.createDataFrame([("a", y, y in (100, 110, 400)) for y in range(500)], "k string, y long, m boolean")
+    found = masks.zones(df, ["k"], "y", "m", part_rows=64)
+    assert "unboundedfollowing" not in _plan(found)
+    assert sorted(r["y"] for r in found.where("zone").collect()) == [*range(88, 123), 400]
+
+
+def test_thinned_rows_have_no_work_by_element(spark):
+    """Lambdas that name a row's thinned values computed them anew for each element."""
+    df = spark.createDataFrame([("a", y, [True] * 9) for y in range(9)], "k string, y long, m array<boolean>")
+    thin = runs.thinned(df, ["k"], "y", "m", 2, "t", 4)
+    assert not {"zip_with", "transform(", "exists("} & set(re.findall(r"zip_with|transform\(|exists\(", _plan(thin.select(runs.row_runs(F.col("t"))))))
+    assert {(r["y"], x) for r in thin.collect() for x, v in enumerate(r["t"]) if v} == {(y, x) for y in range(2, 7) for x in range(2, 7)}
