@@ -62,17 +62,17 @@ def zones(df: DataFrame, keys: list[str], order: str, mask: str, gap: int = 16,
     """
     if part_rows:  # a row within expand of a true one, which has another within gap
         return in_parts(df, keys, order, gap + expand + 2, part_rows, lambda d, k: zones(d, k, order, mask, gap, expand, out))
-    w = _by(keys, order)
+    # what follows is looked for from the end: a frame that ends with the group is gone through anew for each row
+    w, up = _by(keys, order), Window.partitionBy(*keys).orderBy(F.col(order).desc())
     d = df.withColumn("_m", F.when(F.col(mask), F.col(order)))
-    before, after = F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before, after = (F.last("_m", True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, up))
     d = d.withColumn("_p", before).withColumn("_q", after)
-    pp = F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    nn = F.first("_m", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    pp, nn = (F.last("_m", True).over(x.rowsBetween(Window.unboundedPreceding, -1)) for x in (w, up))
     linked = F.col(mask) & ((F.col(order) - pp - 1 <= gap) | (nn - F.col(order) - 1 <= gap))
     d = d.withColumn("_wide", F.coalesce(linked, F.lit(False)))
     # whether the neighbouring true rows belong to sessions of more than one row
     d = d.withColumn("_pw", F.last(F.when(F.col("_m").isNotNull(), F.col("_wide")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_qw", F.first(F.when(F.col("_m").isNotNull(), F.col("_wide")), True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    d = d.withColumn("_qw", F.last(F.when(F.col("_m").isNotNull(), F.col("_wide")), True).over(up.rowsBetween(Window.unboundedPreceding, 0)))
     inside = F.col("_q") - F.col("_p") - 1 <= gap
     widened = lambda wide, distance: F.coalesce(F.col(wide) & (distance <= expand), F.lit(False))
     hit = F.col(mask) | F.coalesce(inside, F.lit(False)) | widened("_pw", F.col(order) - F.col("_p")) | widened("_qw", F.col("_q") - F.col(order))

@@ -58,18 +58,28 @@ def profile(scanned: DataFrame, within: DataFrame, part_rows: int = PART_ROWS) -
     return masks.zones(rows, ["series"], "y", "structured", part_rows=part_rows).withColumn("taken", F.col("busy") | F.col("zone") | F.col("keep"))
 
 
+def series_rows(scanned: DataFrame, crops: DataFrame | None = None, part_rows: int = PART_ROWS, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(windows(), profile()) of whole series, written."""
+    within = shared_table(windows(scanned, crops))
+    rows = profile(scanned, within, part_rows)
+    if seen is not None:  # counted by the job that writes the rows
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(c) for c in ("taken", "zone", "keep")))
+    return within, shared_table(rows)
+
+
+def series_stats(rows: DataFrame) -> DataFrame:
+    """series, busy_percent, zone_percent of the rows of series_rows()."""
+    return rows.groupBy("series").agg(masks.percent_true("taken").alias("busy_percent"), masks.percent_true("zone").alias("zone_percent"))
+
+
 def plan_series(scanned: DataFrame, settings: Settings, crops: DataFrame | None = None, part_rows: int = PART_ROWS, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """(cuts: series, page, y, forced, gap, top, bottom, height; stats: series, busy and zone percent) of whole series.
 
     One plan goes over all pages of a series, so their ends are no cuts. Long series are planned in parts. Rows of a page are counted from its window's.
     """
     limit, margin = settings.max_height, PRESETS[settings.strictness][2]
-    within = shared_table(windows(scanned, crops))
-    rows = profile(scanned, within, part_rows)
-    if seen is not None:  # counted by the job that writes the rows
-        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(c) for c in ("taken", "zone", "keep")))
-    rows = shared_table(rows)
-    stats = rows.groupBy("series").agg(masks.percent_true("taken").alias("busy_percent"), masks.percent_true("zone").alias("zone_percent"))
+    within, rows = series_rows(scanned, crops, part_rows, seen)
+    stats = series_stats(rows)
     widest = within.groupBy("series").agg(F.max("width").alias("strip_width"))
     most = F.greatest(F.lit(16), F.floor(F.lit(limit) * SCAN_WIDTH / F.col("strip_width")))
     sized = rows.join(widest.select("series", most.alias("most")), "series")
