@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandline.operators import ordered
 from strandline.operators.folds import fold_sorted
@@ -78,25 +80,33 @@ def plan_long(df: DataFrame, keys: list[str], order: str, busy: str, ink: str, m
     rows = ordered.halo(d.select(*keys, "_y", "_b", "_i"), keys, "_y", reach, size)
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     named = groups.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_h", "_m", "_l")
-    rows = rows.join(named, on).where((F.col(ordered.PART) >= 0) & (F.col(ordered.PART) * size < F.col("_h")))
-
-    def part(rs: Iterator[tuple]) -> Iterator[tuple]:
-        taken, inked, head = bytearray(), [], None
-        for y, b, i, p, h, m, low in rs:
-            head = head or (y, p, h, m, low)
-            taken.append(bool(b))
-            inked.append(i)
-        base, p, h, m, low = head
-        tiers = Tiers(np.frombuffer(bytes(taken), dtype=np.bool_), np.array(inked, dtype=np.int64), m, low, beyond, margin, band, base, h)
+    # a part travels as one row of arrays: it is short, and Python is spared its rows
+    cells = F.array_sort(F.collect_list(F.struct("_y", F.coalesce("_b", F.lit(False)).alias("_b"), F.col("_i").cast("long").alias("_i"))))
+    packed = rows.where(F.col(ordered.PART) >= 0).groupBy(*keys, ordered.PART).agg(cells.alias("_c")).join(named, on).where(F.col(ordered.PART) * size < F.col("_h"))
+    packed = packed.select(*keys, ordered.PART, F.get("_c._y", F.lit(0)).alias("_y"), F.col("_c._b").alias("_b"), F.col("_c._i").alias("_i"), "_h", "_m", "_l")
+
+    def part(base: int, taken: np.ndarray, inked: np.ndarray, p: int, h: int, m: int, low: int) -> tuple:
+        tiers = Tiers(taken, inked, m, low, beyond, margin, band, base, h)
         first, last = p * size, min((p + 1) * size, h)
         entries = range(0, 1) if p == 0 else range(max(0, first - m - tiers.beyond - 1), first)
         edges = edges_of(tiers, first, last, entries)
         runs = exit_runs(edges, first, last, entries)
         at = sorted(edges)
-        yield first, last, [list(r) for r in runs], at, [edges[a][0] for a in at], [edges[a][1] for a in at]
+        return first, last, [list(r) for r in runs], at, [edges[a][0] for a in at], [edges[a][1] for a in at]
+
+    nk = len(keys)
+    schema = T.StructType([*(packed.schema[i] for i in range(nk + 1)), *T.StructType.fromDDL("first long, last long, runs array<array<long>>, at array<long>, to array<long>, forced array<boolean>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(schema)
+        for b in batches:
+            for i in range(b.num_rows):
+                p, y, taken, inked, h, m, low = (b.column(nk + j)[i] for j in range(7))
+                busy, ink = (x.values.to_numpy(zero_copy_only=False) for x in (taken, inked))
+                found = part(y.as_py(), busy, ink, p.as_py(), h.as_py(), m.as_py(), low.as_py())
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1).cast(types.field(j).type) for j in range(nk + 1)), *(pa.array([x], f.type) for x, f in zip(found, list(types)[nk + 1 :]))], schema=types)
 
-    fields = "first long, last long, runs array<array<long>>, at array<long>, to array<long>, forced array<boolean>"
-    parts = shared_table(fold_sorted(rows, [*keys, ordered.PART], ["_y"], ["_y", "_b", "_i", ordered.PART, "_h", "_m", "_l"], part, fields, batch=4))
+    parts = shared_table(packed.mapInArrow(run, schema))
 
     def compose(rs: Iterator[tuple]) -> Iterator[tuple]:
         entry, before = 0, 0
@@ -110,7 +120,7 @@ def plan_long(df: DataFrame, keys: list[str], order: str, busy: str, ink: str, m
 
     entries = fold_sorted(parts.select(*keys, ordered.PART, "runs"), keys, [ordered.PART], [ordered.PART, "runs"], compose, f"{ordered.PART} long, entry long, before long")
     known = ordered.with_parts(parts.drop("runs"), entries, keys)
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, y long, forced boolean"
+    cut_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", n long, y long, forced boolean"
 
     def read_off(rows: pa.Table) -> pa.Table:
         out: list[dict] = []
@@ -120,4 +130,4 @@ def plan_long(df: DataFrame, keys: list[str], order: str, busy: str, ink: str, m
             out += [{**{k: r[k] for k in keys}, "n": n, "y": y, "forced": f} for n, (y, f) in enumerate(cuts, r["before"] + 1)]
         return pa.Table.from_pylist(out, schema=pa.schema([*(rows.schema.field(k) for k in keys), ("n", pa.int64()), ("y", pa.int64()), ("forced", pa.bool_())]))
 
-    return known.groupBy(*keys, ordered.PART).applyInArrow(read_off, schema)
+    return known.groupBy(*keys, ordered.PART).applyInArrow(read_off, cut_schema)
